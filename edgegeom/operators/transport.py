@@ -13,7 +13,7 @@ of a, all amounts are integers and the values do not depend on tolerances or row
 from __future__ import annotations
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..columns import EDGE_KEY, GRAPH
 from .clean import adjacency, neighbor_lists
@@ -22,7 +22,7 @@ from .flow import best_savings
 #: Nodes above this degree are never turned into a neighbour array.
 HEAVY_DEGREE = 512
 
-SAVED = "struct<lazy: bigint, plain: bigint>"
+SAVED = T.StructType([T.StructField("lazy", T.LongType()), T.StructField("plain", T.LongType())])
 
 
 def by_degree(degreed: DataFrame) -> DataFrame:
