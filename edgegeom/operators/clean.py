@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..columns import EDGE_KEY, GRAPH
+from ..staging import stage
 
 ARC_AGGREGATES = {
     "mean": lambda value, pos: F.avg(value),
@@ -45,17 +46,9 @@ def degrees(edges: DataFrame) -> DataFrame:
     return adjacency(edges).groupBy(GRAPH, "s").agg(F.count("*").alias("k"))
 
 
-def neighbor_lists(edges: DataFrame, max_degree: int | None = None) -> DataFrame:
-    """Sorted neighbour arrays ``(graph_id, s, ns)``.
-
-    With ``max_degree`` only nodes up to that degree get an array. Nodes above it are removed
-    before the lists are built; callers that set it treat those nodes by joins.
-    """
-    arcs = adjacency(edges)
-    if max_degree is not None:
-        small = degrees(edges).filter(F.col("k") <= max_degree)
-        arcs = arcs.join(small, [GRAPH, "s"], "left_semi")
-    return arcs.groupBy(GRAPH, "s").agg(F.sort_array(F.collect_set("d")).alias("ns"))
+def neighbor_lists(edges: DataFrame) -> DataFrame:
+    """Sorted neighbour arrays ``(graph_id, s, ns)``."""
+    return adjacency(edges).groupBy(GRAPH, "s").agg(F.sort_array(F.collect_set("d")).alias("ns"))
 
 
 def node_degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -80,6 +73,16 @@ def with_degrees(edges: DataFrame) -> DataFrame:
     )
 
 
+def prepare(edges: DataFrame) -> DataFrame:
+    """Edges with degrees, written once and spread evenly over the cores.
+
+    Every later step starts from this table. Rows are spread by the whole edge key, so the edges
+    of a hub lie in all partitions; later steps expand rows, so small partitions pay off.
+    """
+    cores = edges.sparkSession.sparkContext.defaultParallelism
+    return stage(with_degrees(edges).repartition(cores, *EDGE_KEY), "edges")
+
+
 def arc_values_to_edges(edges: DataFrame, arc_values: DataFrame, agg: str = "mean") -> DataFrame:
     """One value per edge from values on arcs ``(graph_id, pos, src, dst, value)``.
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 
 from ..functions import params as P
 from .local import local_structure
-from .transport import with_transport
+from .transport import HEAVY_DEGREE, with_transport
 
 
 def forman_table(degreed: DataFrame) -> DataFrame:
@@ -18,6 +18,6 @@ def forman_table(degreed: DataFrame) -> DataFrame:
     )
 
 
-def curvature_table(degreed: DataFrame) -> DataFrame:
+def curvature_table(degreed: DataFrame, heavy_degree: int = HEAVY_DEGREE) -> DataFrame:
     """Local structure, Balanced Forman and both transport curvatures."""
-    return with_transport(forman_table(degreed), degreed)
+    return with_transport(forman_table(degreed), degreed, heavy_degree)

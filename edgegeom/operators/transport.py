@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..columns import EDGE_KEY, GRAPH
-from .clean import adjacency, neighbor_lists
+from .clean import adjacency
 from .flow import best_savings
 
 #: Nodes above this degree are never turned into a neighbour array.
@@ -37,13 +37,27 @@ def by_degree(degreed: DataFrame) -> DataFrame:
     )
 
 
+def short_lists(degreed: DataFrame, heavy_degree: int = HEAVY_DEGREE) -> DataFrame:
+    """Sorted neighbour arrays of the nodes with degree up to ``heavy_degree`` only."""
+    ends = F.array(
+        F.struct(F.col("u").alias("s"), F.col("v").alias("d"), F.col("deg_u").alias("k")),
+        F.struct(F.col("v").alias("s"), F.col("u").alias("d"), F.col("deg_v").alias("k")),
+    )
+    return (
+        degreed.select(GRAPH, F.inline(ends))
+        .filter(F.col("k") <= heavy_degree)
+        .groupBy(GRAPH, "s")
+        .agg(F.sort_array(F.collect_list("d")).alias("ns"))
+    )
+
+
 def near_pairs(degreed: DataFrame, heavy_degree: int = HEAVY_DEGREE) -> DataFrame:
     """Pairs ``(graph_id, p, q, dist)``, p < q, at distance 1, or 2 through a node of small degree.
 
     A middle node of degree k adds k(k-1)/2 pairs; nodes above ``heavy_degree`` are left out, so
     the table stays within ``heavy_degree`` times the number of edges.
     """
-    lists = neighbor_lists(degreed, heavy_degree).filter(F.size("ns") > 1)
+    lists = short_lists(degreed, heavy_degree).filter(F.size("ns") > 1)
     wedges = (
         lists.select(GRAPH, "ns", F.posexplode("ns").alias("at", "p"))
         .select(GRAPH, "p", F.explode(F.expr("slice(ns, at + 2, size(ns))")).alias("q"))
@@ -73,7 +87,6 @@ def _light_cells(edges: DataFrame, near: DataFrame, lists: DataFrame) -> DataFra
     )
     pairs = (
         with_lists.select(*EDGE_KEY, only_a.alias("only_a"), right.alias("right"))
-        .filter((F.size("only_a") > 0) & (F.size("right") > 0))
         .select(*EDGE_KEY, "only_a", F.inline("right"))
         .select(*EDGE_KEY, F.explode("only_a").alias("l"), "r", "common")
         .withColumn("p", F.least("l", "r"))
@@ -162,7 +175,7 @@ def near_cells(degreed: DataFrame, heavy_degree: int = HEAVY_DEGREE) -> DataFram
     """
     edges = by_degree(degreed)
     near = near_pairs(degreed, heavy_degree)
-    lists = neighbor_lists(degreed, heavy_degree)
+    lists = short_lists(degreed, heavy_degree)
     cells = _light_cells(edges, near, lists)
     if degreed.filter(F.greatest("deg_u", "deg_v") > heavy_degree).limit(1).count():
         ends = F.array(F.struct(F.col("u").alias("s"), F.col("deg_u").alias("k")),
