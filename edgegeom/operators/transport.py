@@ -69,6 +69,16 @@ def near_pairs(degreed: DataFrame, heavy_degree: int = HEAVY_DEGREE) -> DataFram
     return adjacent.unionByName(wedges).groupBy(GRAPH, "p", "q").agg(F.min("dist").alias("dist"))
 
 
+def heavy_nodes(degreed: DataFrame, heavy_degree: int = HEAVY_DEGREE) -> DataFrame | None:
+    """Nodes above ``heavy_degree``, or None when the graph has none."""
+    if not degreed.filter(F.greatest("deg_u", "deg_v") > heavy_degree).limit(1).count():
+        return None
+    ends = F.array(F.struct(F.col("u").alias("s"), F.col("deg_u").alias("k")),
+                   F.struct(F.col("v").alias("s"), F.col("deg_v").alias("k")))
+    return degreed.select(GRAPH, F.inline(ends)).filter(F.col("k") > heavy_degree).select(
+        GRAPH, "s").distinct()
+
+
 def _light_cells(edges: DataFrame, near: DataFrame, lists: DataFrame) -> DataFrame:
     """Near cells of edges whose ends both have small degree, from their neighbour arrays."""
     with_lists = edges.join(
@@ -177,11 +187,8 @@ def near_cells(degreed: DataFrame, heavy_degree: int = HEAVY_DEGREE) -> DataFram
     near = near_pairs(degreed, heavy_degree)
     lists = short_lists(degreed, heavy_degree)
     cells = _light_cells(edges, near, lists)
-    if degreed.filter(F.greatest("deg_u", "deg_v") > heavy_degree).limit(1).count():
-        ends = F.array(F.struct(F.col("u").alias("s"), F.col("deg_u").alias("k")),
-                       F.struct(F.col("v").alias("s"), F.col("deg_v").alias("k")))
-        heavy = degreed.select(GRAPH, F.inline(ends)).filter(F.col("k") > heavy_degree).select(
-            GRAPH, "s").distinct()
+    heavy = heavy_nodes(degreed, heavy_degree)
+    if heavy is not None:
         cells = (
             cells.unionByName(
                 _met_at_heavy(edges.filter(F.col("deg_a") <= heavy_degree), degreed, heavy))

@@ -8,7 +8,10 @@ from ..columns import EDGE_KEY, REPORT_COLUMNS
 from ..functions import bounds as B, params as P
 from ..operators.clean import canonical_edges, edgewise, pairs_to_arcs, prepare
 from ..operators.curvature import curvature_table
+from ..operators.stats import summarize_run
 from ..operators.transport import HEAVY_DEGREE
+from ..sources.reports import read_report_csv, write_report_csv, write_summary
+from ..staging import stage
 
 
 def with_envelopes(table: DataFrame) -> DataFrame:
@@ -67,3 +70,12 @@ def edge_report(pairs: DataFrame, heavy_degree: int = HEAVY_DEGREE) -> DataFrame
     """Report of any table of pairs ``(graph_id, u, v)``: cleaned, then one row per edge."""
     edges = canonical_edges(pairs_to_arcs(pairs)).select(*EDGE_KEY)
     return report_of(prepare(edges), heavy_degree)
+
+
+def analyze(pairs: DataFrame, report_path: str, summary_path: str) -> DataFrame:
+    """Write the report as CSV and the run summary as JSON; return the written report."""
+    spark = pairs.sparkSession
+    report = stage(edge_report(pairs), "report")
+    write_report_csv(report, report_path)
+    write_summary(summarize_run(report), summary_path)
+    return read_report_csv(spark, report_path)
