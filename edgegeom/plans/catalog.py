@@ -40,14 +40,22 @@ def prepared(spark: SparkSession, sf_dir: str) -> DataFrame:
     return N.prepare(co_order(spark, sf_dir))
 
 
-def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
-    """Doubles cut to the given digits, without negative zeros."""
+def rounded(df: DataFrame) -> DataFrame:
+    """Doubles cut to six digits, without negative zeros.
+
+    The grid is shifted by 3e-8, so a value that is an exact half does not depend on the last bit.
+    """
     return df.select(*[
-        (F.round(c, digits) + F.lit(0.0)).alias(c) if kind == "double" else F.col(c)
+        (F.round(F.col(c) + 3e-8, 6) + F.lit(0.0)).alias(c) if kind == "double" else F.col(c)
         for c, kind in df.dtypes
     ])
 
 
+def tidy(df: DataFrame, *names: str) -> DataFrame:
+    """Columns cut to nine digits before binning, so bin edges do not depend on the last bit."""
+    return df.withColumns({c: F.round(c, 9) + F.lit(0.0) for c in names})
+
+
 def supply_arcs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Order lines as valued arcs between supplier and part numbers, loops included."""
     cents = F.round(F.col("l_extendedprice") * 100).cast("bigint")
@@ -238,7 +246,7 @@ def arc_values(spark, sf_dir):
     for agg in N.ARC_AGGREGATES:
         values = N.arc_values_to_edges(edges, arcs, agg).withColumnRenamed("value", f"v_{agg}")
         out = out.join(values, EDGE_KEY)
-    return rounded(out, 2)
+    return rounded(out)
 
 
 def edgewise_threshold(spark, sf_dir):
@@ -528,20 +536,21 @@ def run_summary(spark, sf_dir):
 
 def histogram(spark, sf_dir):
     t = stage(forman_table(N.prepare(by_flag(spark, sf_dir))), "forman")
-    return rounded(Q.histogram(Q.long_metrics(t, ["bf", "n_tri"]), [GRAPH, "metric"], "value", 60).select(
+    return rounded(Q.histogram(Q.long_metrics(tidy(t, "bf"), ["bf", "n_tri"]), [GRAPH, "metric"], "value", 60).select(
         GRAPH, "metric", "bin", "left", "right", "count"))
 
 
 def density_histogram(spark, sf_dir):
     """Densities of the curvature and both ends of its band, each over its own range."""
-    values = Q.long_metrics(_flag_report(spark, sf_dir), ["or_lazy", "or_lo", "or_hi"])
+    bands = ["or_lazy", "or_lo", "or_hi"]
+    values = Q.long_metrics(tidy(_flag_report(spark, sf_dir), *bands), bands)
     return rounded(Q.histogram(values, [GRAPH, "metric"], "value", 40).select(
         GRAPH, "metric", "bin", "density"))
 
 
 def bin_rules(spark, sf_dir):
     t = forman_table(N.prepare(by_flag(spark, sf_dir)))
-    return Q.bin_counts(t, [GRAPH], "bf")
+    return Q.bin_counts(tidy(t, "bf"), [GRAPH], "bf")
 
 
 def binned_quantiles(spark, sf_dir):
@@ -552,11 +561,12 @@ def binned_quantiles(spark, sf_dir):
 
 
 def ribbon(spark, sf_dir):
-    return rounded(Q.ribbon(_flag_report(spark, sf_dir)))
+    return rounded(Q.ribbon(tidy(_flag_report(spark, sf_dir), "bf")))
 
 
 def histogram_2d(spark, sf_dir):
-    return Q.histogram_2d(_flag_report(spark, sf_dir), [GRAPH], "bf", "or_lazy", 30)
+    t = tidy(_flag_report(spark, sf_dir), "bf", "or_lazy")
+    return Q.histogram_2d(t, [GRAPH], "bf", "or_lazy", 30)
 
 
 def quantile_profile(spark, sf_dir):
@@ -586,13 +596,13 @@ def tolerant_series(spark, sf_dir):
 
 
 def _chosen_rows(spark, sf_dir) -> DataFrame:
-    """Grids and random graphs picked from part sizes and prices."""
+    """Grids and random graphs picked from part sizes and numbers."""
     part = table(spark, sf_dir, "part")
     grids = part.select(F.lit("grid").alias("family"), F.array(
         F.col("p_size").cast("double"), (F.col("p_partkey") % 7 + 2).cast("double")).alias("params"))
     randoms = part.select(F.lit("er").alias("family"), F.array(
         (F.col("p_partkey") + 10).cast("double"),
-        F.round(F.col("p_retailprice") / 100000, 5)).alias("params"))
+        (F.col("p_partkey") % 90 + 10) / 10000.0).alias("params"))
     return grids.unionByName(randoms).distinct()
 
 
