@@ -255,8 +255,8 @@ def thinned(ranges: str) -> str:
         return f"(CASE WHEN {k} <= 0 THEN 1.0 ELSE exp({k} * ln(1.0 - p)) END)"
 
     w = "(2 ** (lev - 1))::BIGINT"
-    nl, nr = empty("at", w), empty(f"(at + {w})", w)
-    u = f"({draw(str(SEED), 'g', 'a', 'lev - 1', 'at')} * (1.0 - {nl} * {nr}))"
+    nl, nr = empty("pos", w), empty(f"(pos + {w})", w)
+    u = f"({draw(str(SEED), 'g', 'a', 'lev - 1', 'pos')} * (1.0 - {nl} * {nr}))"
     lo_only = f"((1.0 - {nl}) * {nr})"
     hi_only = f"({nl} * (1.0 - {nr}))"
     return f"""
@@ -264,12 +264,12 @@ WITH RECURSIVE {NODES},
 top AS (SELECT max(n) AS n, ceil(log2(max(n)))::INT AS levels FROM p),
 ranges AS ({ranges}),
 blocks AS (
-  SELECT g, a, lo, hi, p, 0::BIGINT AS at, levels AS lev FROM ranges, top
+  SELECT g, a, lo, hi, p, 0::BIGINT AS pos, levels AS lev FROM ranges, top
   WHERE p > 0 AND {draw(str(SEED), 'g', 'a', 'levels', '0')} < 1.0 - {empty('0', '(2 ** levels)::BIGINT')}
   UNION ALL
-  SELECT g, a, lo, hi, p, unnest(CASE WHEN {u} < {lo_only} THEN [at] WHEN {u} < {lo_only} + {hi_only}
-    THEN [at + {w}] ELSE [at, at + {w}] END), lev - 1 FROM blocks WHERE lev > 0)
-SELECT g AS graph_id, a AS u, at AS v FROM blocks WHERE lev = 0"""
+  SELECT g, a, lo, hi, p, unnest(CASE WHEN {u} < {lo_only} THEN [pos] WHEN {u} < {lo_only} + {hi_only}
+    THEN [pos + {w}] ELSE [pos, pos + {w}] END), lev - 1 FROM blocks WHERE lev > 0)
+SELECT g AS graph_id, a AS u, pos AS v FROM blocks WHERE lev = 0"""
 
 
 def block_ranges(cuts: list[str], odds: list[list[str]]) -> str:
