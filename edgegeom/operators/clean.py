@@ -63,16 +63,50 @@ def node_count(edges: DataFrame) -> DataFrame:
     return edges.groupBy(GRAPH).agg((F.max(F.greatest("u", "v")) + 1).alias("n"))
 
 
-def with_degrees(edges: DataFrame) -> DataFrame:
-    """Edges with the degrees of both ends."""
-    deg = degrees(edges)
-    of_u = deg.select(GRAPH, F.col("s").alias("u"), F.col("k").alias("deg_u"))
-    of_v = deg.select(GRAPH, F.col("s").alias("v"), F.col("k").alias("deg_v"))
-    return edges.join(of_u, [GRAPH, "u"]).join(of_v, [GRAPH, "v"]).select(
-        *EDGE_KEY, "deg_u", "deg_v"
+#: A node holding more than one in this many edge ends is looked up by broadcast.
+HOT_SHARE = 1000
+#: Keys over which the edges of such nodes are spread in the remaining lookup.
+HOT_SPREAD = 1024
+#: Edges of one node that a single task takes without further care.
+ARCS_PER_KEY = 1 << 16
+
+
+def _attach_degree(rows: DataFrame, deg: DataFrame, end: str, limit: float | None) -> DataFrame:
+    """Add ``deg_<end>``; nodes above ``limit`` are served by broadcast.
+
+    All other edges meet their node's row by key, while the edges already served spread over
+    unused keys, so no task receives all edges of a hub.
+    """
+    named = deg.select(GRAPH, F.col("s").alias(end), F.col("k").alias(f"deg_{end}"))
+    if limit is None:
+        return rows.join(named, [GRAPH, end])
+    hot = deg.filter(F.col("k") > limit).select(GRAPH, F.col("s").alias(end), F.col("k").alias("hot_k"))
+    served = F.when(F.col("hot_k").isNull(), 0).otherwise(
+        F.pmod(F.xxhash64("u", "v"), F.lit(HOT_SPREAD)).cast("int") + 1)
+    return (
+        rows.join(F.broadcast(hot), [GRAPH, end], "left")
+        .withColumn("spread", served)
+        .join(named.withColumn("spread", F.lit(0)), [GRAPH, end, "spread"], "left")
+        .withColumn(f"deg_{end}", F.coalesce("hot_k", f"deg_{end}"))
+        .drop("hot_k", "spread")
     )
 
 
+def with_degrees(edges: DataFrame, arcs_per_key: int = ARCS_PER_KEY) -> DataFrame:
+    """Edges with the degrees of both ends.
+
+    Where some node may have more than ``arcs_per_key`` edges, the nodes holding more than one in
+    ``HOT_SHARE`` of all edge ends are broadcast: at most ``HOT_SHARE`` rows for any graph.
+    """
+    ends = 2 * edges.count()
+    limit = max(arcs_per_key, ends / HOT_SHARE) if ends > 2 * arcs_per_key else None
+    deg = degrees(edges)
+    rows = edges.select(*EDGE_KEY)
+    for end in ("u", "v"):
+        rows = _attach_degree(rows, deg, end, limit)
+    return rows.select(*EDGE_KEY, "deg_u", "deg_v")
+
+
 def prepare(edges: DataFrame) -> DataFrame:
     """Edges with degrees, written once and spread evenly over the cores.
 
@@ -80,7 +114,8 @@ def prepare(edges: DataFrame) -> DataFrame:
     of a hub lie in all partitions; later steps expand rows, so small partitions pay off.
     """
     cores = edges.sparkSession.sparkContext.defaultParallelism
-    return stage(with_degrees(edges).repartition(cores, *EDGE_KEY), "edges")
+    edges = stage(edges.select(*EDGE_KEY), "edges")
+    return stage(with_degrees(edges).repartition(cores, *EDGE_KEY), "degreed")
 
 
 def arc_values_to_edges(edges: DataFrame, arc_values: DataFrame, agg: str = "mean") -> DataFrame:

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..columns import EDGE_KEY, GRAPH
+from .clean import ARCS_PER_KEY
 
 
 def _below(deg_a, a, deg_b, b) -> Column:
@@ -17,6 +18,10 @@ def _below(deg_a, a, deg_b, b) -> Column:
     return (deg_a < deg_b) | ((deg_a == deg_b) & (a < b))
 
 
+def _shares(degree: str) -> Column:
+    return (F.floor(F.col(degree) / ARCS_PER_KEY) + 1).cast("int")
+
+
 def upward_arcs(degreed: DataFrame) -> DataFrame:
     """Each edge once, from its lower-ranked end ``lo`` to its higher-ranked end ``hi``."""
     u_first = _below("deg_u", "u", "deg_v", "v")
@@ -30,11 +35,12 @@ def upward_arcs(degreed: DataFrame) -> DataFrame:
 
 
 def arcs_with_degree(degreed: DataFrame) -> DataFrame:
-    """Both directions with the degree of the far end: ``(graph_id, s, d, deg_d)``."""
-    ends = F.array(
-        F.struct(F.col("u").alias("s"), F.col("v").alias("d"), F.col("deg_v").alias("deg_d")),
-        F.struct(F.col("v").alias("s"), F.col("u").alias("d"), F.col("deg_u").alias("deg_d")),
-    )
+    """Both directions with both degrees: ``(graph_id, s, d, deg_s, deg_d)``."""
+    ends = F.array(*[
+        F.struct(F.col(s).alias("s"), F.col(d).alias("d"),
+                 F.col(f"deg_{s}").alias("deg_s"), F.col(f"deg_{d}").alias("deg_d"))
+        for s, d in (("u", "v"), ("v", "u"))
+    ])
     return degreed.select(GRAPH, F.inline(ends))
 
 
@@ -70,14 +76,19 @@ def four_cycles(degreed: DataFrame) -> DataFrame:
 
     ``chord_ends`` tells whether top and far are adjacent, ``chord_mid`` whether p and q are.
     """
+    # The arcs of a large middle node are dealt out over several keys by its known degree; its few
+    # higher neighbours (at most 2 * edges / degree) are copied to each of them.
     up = upward_arcs(degreed)
-    climb = up.select(GRAPH, F.col("lo").alias("mid"), F.col("hi").alias("top"),
-                      F.col("deg_hi").alias("deg_top"))
+    climb = up.select(
+        GRAPH, F.col("lo").alias("mid"), F.col("hi").alias("top"), F.col("deg_hi").alias("deg_top"),
+        F.explode(F.sequence(F.lit(0), _shares("deg_lo") - 1)).alias("share"),
+    )
     step = arcs_with_degree(degreed).select(
-        GRAPH, F.col("s").alias("mid"), F.col("d").alias("far"), F.col("deg_d").alias("deg_far")
+        GRAPH, F.col("s").alias("mid"), F.col("d").alias("far"), F.col("deg_d").alias("deg_far"),
+        F.pmod(F.xxhash64("d"), _shares("deg_s")).cast("int").alias("share"),
     )
     wedges = (
-        climb.join(step, [GRAPH, "mid"])
+        climb.join(step, [GRAPH, "mid", "share"])
         .filter(_below("deg_far", "far", "deg_top", "top"))
         .select(GRAPH, "top", "far", "mid")
     )

@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from ..columns import EDGE_KEY, GRAPH
 from .clean import adjacency
 from .flow import best_savings
+from .local import arcs_with_degree
 
 #: Nodes above this degree are never turned into a neighbour array.
 HEAVY_DEGREE = 512
@@ -39,13 +40,9 @@ def by_degree(degreed: DataFrame) -> DataFrame:
 
 def short_lists(degreed: DataFrame, heavy_degree: int = HEAVY_DEGREE) -> DataFrame:
     """Sorted neighbour arrays of the nodes with degree up to ``heavy_degree`` only."""
-    ends = F.array(
-        F.struct(F.col("u").alias("s"), F.col("v").alias("d"), F.col("deg_u").alias("k")),
-        F.struct(F.col("v").alias("s"), F.col("u").alias("d"), F.col("deg_v").alias("k")),
-    )
     return (
-        degreed.select(GRAPH, F.inline(ends))
-        .filter(F.col("k") <= heavy_degree)
+        arcs_with_degree(degreed)
+        .filter(F.col("deg_s") <= heavy_degree)
         .groupBy(GRAPH, "s")
         .agg(F.sort_array(F.collect_list("d")).alias("ns"))
     )
@@ -69,14 +66,15 @@ def near_pairs(degreed: DataFrame, heavy_degree: int = HEAVY_DEGREE) -> DataFram
     return adjacent.unionByName(wedges).groupBy(GRAPH, "p", "q").agg(F.min("dist").alias("dist"))
 
 
-def heavy_nodes(degreed: DataFrame, heavy_degree: int = HEAVY_DEGREE) -> DataFrame | None:
-    """Nodes above ``heavy_degree``, or None when the graph has none."""
-    if not degreed.filter(F.greatest("deg_u", "deg_v") > heavy_degree).limit(1).count():
-        return None
-    ends = F.array(F.struct(F.col("u").alias("s"), F.col("deg_u").alias("k")),
-                   F.struct(F.col("v").alias("s"), F.col("deg_v").alias("k")))
-    return degreed.select(GRAPH, F.inline(ends)).filter(F.col("k") > heavy_degree).select(
-        GRAPH, "s").distinct()
+def has_heavy(degreed: DataFrame, heavy_degree: int = HEAVY_DEGREE) -> bool:
+    """Whether any node lies above ``heavy_degree``."""
+    return degreed.filter(F.greatest("deg_u", "deg_v") > heavy_degree).limit(1).count() > 0
+
+
+def arcs_to_heavy(degreed: DataFrame, heavy_degree: int = HEAVY_DEGREE) -> DataFrame:
+    """``(graph_id, node, hub)``: every node next to a heavy one."""
+    return arcs_with_degree(degreed).filter(F.col("deg_d") > heavy_degree).select(
+        GRAPH, F.col("s").alias("node"), F.col("d").alias("hub"))
 
 
 def _light_cells(edges: DataFrame, near: DataFrame, lists: DataFrame) -> DataFrame:
@@ -105,25 +103,22 @@ def _light_cells(edges: DataFrame, near: DataFrame, lists: DataFrame) -> DataFra
     return pairs.join(near, [GRAPH, "p", "q"]).select(*EDGE_KEY, "l", "r", "common", "dist")
 
 
-def _met_at_heavy(edges: DataFrame, degreed: DataFrame, heavy: DataFrame) -> DataFrame:
+def _met_at_heavy(edges: DataFrame, degreed: DataFrame, heavy_degree: int) -> DataFrame:
     """Cells of small-degree edges whose nodes meet at a heavy node: distance 2 at most.
 
     ``(edge, l)`` and ``(edge, r)`` are matched on the edge and the heavy node, so the heavy
     node's own neighbour list is never expanded.
     """
-    arcs = adjacency(degreed)
-    to_heavy = arcs.join(heavy.withColumnRenamed("s", "d"), [GRAPH, "d"], "left_semi").select(
-        GRAPH, F.col("s").alias("node"), F.col("d").alias("hub")
-    )
+    short = arcs_with_degree(degreed).filter(F.col("deg_s") <= heavy_degree)
+    to_heavy = arcs_to_heavy(degreed, heavy_degree)
 
     def side(end: str, other: str, name: str) -> DataFrame:
-        around = arcs.select(GRAPH, F.col("s").alias(end), F.col("d").alias("node"))
-        beyond = arcs.select(GRAPH, F.col("s").alias(other), F.col("d").alias("node"))
+        around = short.select(GRAPH, F.col("s").alias(end), F.col("d").alias("node"))
+        beyond = short.select(GRAPH, F.col("s").alias(other), F.col("d").alias("node"))
         return (
             edges.join(around, [GRAPH, end])
             .join(to_heavy, [GRAPH, "node"])
-            .filter((F.col("node") != F.col(other)) & (F.col("hub") != F.col("a"))
-                    & (F.col("hub") != F.col("b")))
+            .filter(F.col("node") != F.col(other))
             .join(beyond, [GRAPH, other, "node"], "left_anti")
             .select(*EDGE_KEY, "hub", F.col("node").alias(name))
         )
@@ -134,11 +129,12 @@ def _met_at_heavy(edges: DataFrame, degreed: DataFrame, heavy: DataFrame) -> Dat
 
 
 def _heavy_cells(
-    edges: DataFrame, degreed: DataFrame, near: DataFrame, heavy: DataFrame
+    edges: DataFrame, degreed: DataFrame, near: DataFrame, heavy_degree: int
 ) -> DataFrame:
     """Near cells of edges at a heavy end, walked outwards from the lower-degree end.
 
-    The heavy end's neighbours are only probed, by the key (heavy node, neighbour).
+    The heavy end's neighbours are only probed, by the key (heavy node, neighbour). Two heavy nodes
+    meet through the table of nodes next to both, which each such node builds from its own list.
     """
     arcs = adjacency(degreed)
     around_b = arcs.select(GRAPH, F.col("s").alias("b"), F.col("d").alias("r"))
@@ -153,13 +149,16 @@ def _heavy_cells(
     both_ways = near.select(GRAPH, F.col("p").alias("r"), F.col("q").alias("l"), "dist").unionByName(
         near.select(GRAPH, F.col("q").alias("r"), F.col("p").alias("l"), "dist")
     )
-    to_heavy = arcs.join(heavy.withColumnRenamed("s", "d"), [GRAPH, "d"], "left_semi")
-    out = arcs.select(GRAPH, F.col("s").alias("hub"), F.col("d").alias("l"))
+    to_heavy = arcs_to_heavy(degreed, heavy_degree)
+    shared = (
+        to_heavy.withColumnsRenamed({"node": "l", "hub": "a"})
+        .join(to_heavy.withColumnRenamed("node", "l"), [GRAPH, "l"])
+        .filter(F.col("a") != F.col("hub"))
+    )
     through_heavy = (
         right.filter(~F.col("common"))
-        .join(to_heavy.select(GRAPH, F.col("s").alias("r"), F.col("d").alias("hub")), [GRAPH, "r"])
-        .filter((F.col("hub") != F.col("a")) & (F.col("hub") != F.col("b")))
-        .join(out, [GRAPH, "hub"])
+        .join(to_heavy.withColumnRenamed("node", "r"), [GRAPH, "r"])
+        .join(shared, [GRAPH, "a", "hub"])
         .withColumn("dist", F.lit(2))
     )
     columns = [*EDGE_KEY, "a", "b", "l", "r", "common", "dist"]
@@ -185,15 +184,13 @@ def near_cells(degreed: DataFrame, heavy_degree: int = HEAVY_DEGREE) -> DataFram
     """
     edges = by_degree(degreed)
     near = near_pairs(degreed, heavy_degree)
-    lists = short_lists(degreed, heavy_degree)
-    cells = _light_cells(edges, near, lists)
-    heavy = heavy_nodes(degreed, heavy_degree)
-    if heavy is not None:
+    short = edges.filter(F.col("deg_a") <= heavy_degree)
+    cells = _light_cells(short, near, short_lists(degreed, heavy_degree))
+    if has_heavy(degreed, heavy_degree):
+        at_heavy = edges.filter(F.col("deg_a") > heavy_degree)
         cells = (
-            cells.unionByName(
-                _met_at_heavy(edges.filter(F.col("deg_a") <= heavy_degree), degreed, heavy))
-            .unionByName(
-                _heavy_cells(edges.filter(F.col("deg_a") > heavy_degree), degreed, near, heavy))
+            cells.unionByName(_met_at_heavy(short, degreed, heavy_degree))
+            .unionByName(_heavy_cells(at_heavy, degreed, near, heavy_degree))
             .groupBy(*EDGE_KEY, "l", "r", "common")
             .agg(F.min("dist").alias("dist"))
         )

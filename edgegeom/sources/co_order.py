@@ -27,7 +27,6 @@ def co_order_edges(
         lineitem.filter(F.col("l_quantity") >= min_quantity)
         .select(graph.cast("string").alias("graph_id"), "l_orderkey",
                 F.col("l_linenumber").alias("line"), F.col("l_partkey").alias("part"))
-        .distinct()
         .withColumn("block", F.floor(F.col("line") / width))
     )
     left = lines.withColumnsRenamed({"line": "line_a", "part": "part_a"})

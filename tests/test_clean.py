@@ -91,3 +91,13 @@ def test_safe_ratio(spark):
     df = spark.createDataFrame([(0, 5), (3, 0), (3, 6)], "a BIGINT, b BIGINT")
     got = [r[0] for r in df.select(N.safe_ratio(F.col("a"), F.col("b"))).collect()]
     assert got == [0.0, 0.0, 0.5]
+
+
+@pytest.mark.parametrize("arcs_per_key", [1, 3, 1 << 16])
+def test_degrees_of_hot_nodes(spark, arcs_per_key):
+    edges = frame(spark, {"star": [(0, i) for i in range(1, 40)] + [(1, 2)], "tri3": NAMED["tri3"]})
+    got = {(r.graph_id, r.u, r.v): (r.deg_u, r.deg_v)
+           for r in N.with_degrees(edges, arcs_per_key).collect()}
+    assert len(got) == 43
+    assert got["star", 0, 1] == (39, 2) and got["star", 0, 9] == (39, 1)
+    assert got["star", 1, 2] == (2, 2) and got["tri3", 0, 2] == (2, 2)
