@@ -8,10 +8,11 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..columns import EDGE_KEY, GRAPH
 from ..functions.draws import uniform
+from ..staging import stage
 from .clean import canonical_edges
 
 
@@ -87,7 +88,8 @@ def bernoulli_ranges(ranges: DataFrame, seed: int, max_id: int) -> DataFrame:
     ``ranges`` is ``(graph_id, a, lo, hi, p)`` with ``hi <= max_id + 1``. The ids are halved again
     and again: a block known to hold a kept id is split into left, right or both by one draw with
     the exact conditional odds. Empty blocks stop at once, so the work grows with the kept pairs
-    and not with all pairs, and there is no shuffle.
+    and not with all pairs, and there is no shuffle. The ranges of one ``a`` must not overlap; the
+    result is ``(graph_id, a, b, p)``.
     """
     levels = max(1, math.ceil(math.log2(max_id + 1)))
     drop = F.log(F.lit(1.0) - F.col("p"))
@@ -104,7 +106,7 @@ def bernoulli_ranges(ranges: DataFrame, seed: int, max_id: int) -> DataFrame:
     zero = F.lit(0).cast("long")
     whole = size(zero, 1 << levels)
     blocks = ranges.filter(F.col("p") > 0).withColumn("at", zero).filter(
-        uniform(seed, F.col(GRAPH), F.col("a"), F.lit(levels), F.col("at"))
+        uniform(seed, F.col(GRAPH), F.col("a"), F.col("lo"), F.lit(levels), F.col("at"))
         < F.lit(1.0) - empty(whole)
     )
     for level in range(levels - 1, -1, -1):
@@ -112,7 +114,7 @@ def bernoulli_ranges(ranges: DataFrame, seed: int, max_id: int) -> DataFrame:
         none_left = empty(size(F.col("at"), width))
         none_right = empty(size(F.col("at") + width, width))
         some = F.lit(1.0) - none_left * none_right
-        u = uniform(seed, F.col(GRAPH), F.col("a"), F.lit(level), F.col("at")) * some
+        u = uniform(seed, F.col(GRAPH), F.col("a"), F.col("lo"), F.lit(level), F.col("at")) * some
         left_only = (F.lit(1.0) - none_left) * none_right
         right_only = none_left * (F.lit(1.0) - none_right)
         left = F.array(F.col("at"))
@@ -123,7 +125,7 @@ def bernoulli_ranges(ranges: DataFrame, seed: int, max_id: int) -> DataFrame:
             .otherwise(F.concat(left, right))
         )
         blocks = blocks.select(GRAPH, "a", "lo", "hi", "p", F.explode(chosen).alias("at"))
-    return blocks.select(GRAPH, "a", F.col("at").alias("b"))
+    return blocks.select(GRAPH, "a", F.col("at").alias("b"), "p")
 
 
 def bernoulli_edges(nodes: DataFrame, p: float, seed: int, max_id: int) -> DataFrame:
@@ -299,3 +301,114 @@ def hyperbolic_edges(points: DataFrame, radius: float, alpha: float) -> DataFram
                 & (spread <= limit))
         .select(GRAPH, F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v"))
     )
+
+
+def soft_hyperbolic_edges(
+    points: DataFrame, radius: float, alpha: float, temperature: float, seed: int
+) -> DataFrame:
+    """Pairs of points, each kept with probability ``1 / (1 + exp((d - radius) / (2 T)))``.
+
+    Every pair has a chance, but far pairs a tiny one. The points of a ring lie in narrow sectors
+    with numbered slots. Seen from a point, the sectors of each ring outwards form blocks that
+    double in width with the angle; a block is searched with the largest odds any of its points can
+    have (``bernoulli_ranges`` skips what it does not keep), and a found point is accepted with its
+    own odds over these. Each pair lies in one block of its inner point, so the result has exactly
+    the wanted odds while the work grows with the links and not with all pairs.
+    """
+    if temperature <= 0:
+        return hyperbolic_edges(points, radius, alpha)
+    limit, turn = math.cosh(alpha * radius), 2.0 * math.pi
+    rings = max(1, math.ceil(alpha * radius))
+    n = points.count()
+    # Odd numbers of sectors, about one point each: no two sectors are exactly opposite.
+    expected = [n * (math.cosh(k + 1) - math.cosh(k)) / (limit - 1.0) for k in range(rings)]
+    sectors = [2 * int(min(x, n) / 2) + 1 for x in expected]
+    sector_of = F.element_at(F.array(*[F.lit(x).cast("long") for x in sectors]), F.col("ring") + 1)
+    placed = (
+        points.withColumn("ring", F.least(
+            F.floor(F.acosh(F.greatest(F.lit(1.0), F.col("c")))), F.lit(rings - 1)).cast("int"))
+        .withColumn("sector", F.least(sector_of - 1, F.floor(F.col("theta") / (F.lit(turn) / sector_of))))
+    )
+    in_sector = Window.partitionBy(GRAPH, "ring", "sector").orderBy("id")
+    placed = stage(placed.withColumn("slot", F.row_number().over(in_sector) - 1)
+                   .select(GRAPH, "id", "theta", "c", "s", "ring", "sector", "slot"), "hyperbolic")
+    # One row per ring comes to the driver: the slots each ring needs per sector.
+    depth = {r.ring: r.slots for r in placed.groupBy("ring").agg((F.max("slot") + 1).alias("slots")).collect()}
+    slots = [depth.get(k, 0) for k in range(rings)]
+    starts = [sum(sectors[i] * slots[i] for i in range(k)) for k in range(rings + 1)]
+    layout = F.array(*[
+        F.struct(F.lit(k).alias("out"), F.lit(sectors[k]).cast("long").alias("n_sec"),
+                 F.lit(slots[k]).cast("long").alias("depth"), F.lit(starts[k]).cast("long").alias("start"))
+        for k in range(rings) if slots[k]
+    ])
+    views = placed.select(
+        GRAPH, "id", "theta", "c", "s", "ring", "sector",
+        F.inline(F.filter(layout, lambda r: r["out"] >= F.col("ring"))),
+    ).withColumn("width", F.lit(turn) / F.col("n_sec")).withColumn(
+        "home", F.least(F.col("n_sec") - 1, F.floor(F.col("theta") / F.col("width"))))
+    # Offsets 0, 1, 2-3, 4-7, .. up to half a turn, on both sides of another ring.
+    half = F.floor((F.col("n_sec") - 1) / 2)
+    doublings = F.when(half >= 1, F.sequence(F.lit(0), F.floor(F.log2(half.cast("double"))).cast("int"))
+                       ).otherwise(F.array().cast("array<int>"))
+
+    def block(side: int):
+        def make(m: Column) -> Column:
+            near = F.pow(F.lit(2.0), m).cast("long")
+            far = F.least(near * 2 - 1, half)
+            first, last = (near, far) if side > 0 else (-far, -near)
+            return F.struct((F.col("home") + first).alias("first"), (F.col("home") + last).alias("last"),
+                            ((near - 1) * F.col("width")).alias("apart"))
+        return make
+
+    own = F.array(F.struct(F.col("home").alias("first"), F.col("home").alias("last"), F.lit(0.0).alias("apart")))
+    ahead = F.transform(doublings, block(1))
+    behind = F.when(F.col("out") > F.col("ring"), F.transform(doublings, block(-1))).otherwise(
+        F.filter(ahead, lambda b: F.lit(False)))
+    blocks = views.select(GRAPH, "id", "c", "s", "out", "n_sec", "depth", "start",
+                          F.inline(F.concat(own, ahead, behind)))
+
+    def odds(spread: Column) -> Column:
+        d = F.acosh(F.greatest(F.lit(1.0), spread)) / alpha
+        return F.lit(1.0) / (F.lit(1.0) + F.exp((d - radius) / (2.0 * temperature)))
+
+    cosine = F.cos(F.least(F.lit(math.pi), F.col("apart")))
+    closest = F.greatest(F.col("out").cast("double"), F.least(
+        F.col("out") + 1.0, F.atanh(F.least(F.lit(1.0 - 1e-15), F.col("s") / F.col("c") * cosine))))
+    best = odds((F.col("c") * F.cosh(closest) - F.col("s") * F.sinh(closest) * cosine) * (1.0 - 1e-12))
+
+    def cut(first: Column, last: Column) -> Column:
+        return F.struct((F.col("start") + first * F.col("depth")).alias("lo"),
+                        (F.col("start") + (last + 1) * F.col("depth")).alias("hi"))
+
+    top, zero = F.col("n_sec") - 1, F.lit(0).cast("long")
+    pieces = F.array(
+        cut(F.greatest(zero, F.col("first")), F.least(top, F.col("last"))),
+        cut(F.col("first") + F.col("n_sec"), F.least(top, F.col("last") + F.col("n_sec"))),
+        cut(F.greatest(zero, F.col("first") - F.col("n_sec")), F.col("last") - F.col("n_sec")),
+    )
+    inside = [
+        F.least(top, F.col("last")) >= F.greatest(zero, F.col("first")),
+        F.col("first") < 0,
+        F.col("last") > top,
+    ]
+    pieces = F.array_compact(F.array(*[F.when(keep, pieces[k]) for k, keep in enumerate(inside)]))
+    ranges = blocks.select(GRAPH, F.col("id").alias("a"), best.alias("p"), F.inline(pieces))
+    found = bernoulli_ranges(ranges, seed, max(1, starts[-1] - 1)).withColumnRenamed("b", "at")
+
+    def ends(mark: str) -> DataFrame:
+        return placed.select(GRAPH, F.col("id").alias(mark), *[
+            F.col(c).alias(f"{mark}_{c}") for c in ("theta", "c", "s", "ring", "sector")])
+
+    slot_start = F.element_at(F.array(*[F.lit(x).cast("long") for x in starts]), F.col("ring") + 1)
+    slot_depth = F.element_at(F.array(*[F.lit(x).cast("long") for x in slots]), F.col("ring") + 1)
+    by_slot = placed.select(GRAPH, (slot_start + F.col("sector") * slot_depth + F.col("slot")).alias("at"),
+                            F.col("id").alias("b"))
+    pairs = found.join(by_slot, [GRAPH, "at"]).join(ends("a"), [GRAPH, "a"]).join(ends("b"), [GRAPH, "b"])
+    twice = (F.col("a_ring") == F.col("b_ring")) & (F.col("a_sector") == F.col("b_sector"))
+    spread = F.col("a_c") * F.col("b_c") - F.col("a_s") * F.col("b_s") * F.cos(F.col("a_theta") - F.col("b_theta"))
+    draw = uniform(seed, F.lit("keep"), F.col(GRAPH), F.col("a"), F.col("b"))
+    return (
+        pairs.filter(~twice | (F.col("a") < F.col("b")))
+        .filter(draw * F.col("p") < odds(spread))
+        .select(GRAPH, F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v"))
+    )

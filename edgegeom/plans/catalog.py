@@ -223,6 +223,14 @@ def hyperbolic_graph(spark, sf_dir):
     return G.hyperbolic_edges(G.hyperbolic_points(nodes, radius, 0.9, SEED), radius, 0.9)
 
 
+def soft_hyperbolic_graph(spark, sf_dir):
+    """Hyperbolic links at a temperature; random in a way of its own, so without check SQL."""
+    nodes = parts_as_nodes(spark, sf_dir)
+    radius = 2.0 * math.log(nodes.count()) - 1.0
+    points = G.hyperbolic_points(nodes, radius, 0.9, SEED)
+    return G.soft_hyperbolic_edges(points, radius, 0.9, 0.5, SEED)
+
+
 # ---- cleaning, adjacency, values
 
 
@@ -649,7 +657,7 @@ QUERIES = {f.__name__: f for f in [
     edge_report, scan_edge_csv, node_count, pairs_to_arcs, report_parquet, report_csv,
     report_for_tag, graph_sizes, stray_reports, summary_json, manifest_round_trip,
     cycle, grid, torus, tree, complete, bernoulli, block_model, two_blocks, radius_graph,
-    hyperbolic_graph, canonical_edges, neighbor_lists, degrees, arc_values, edgewise_threshold,
+    hyperbolic_graph, soft_hyperbolic_graph, canonical_edges, neighbor_lists, degrees, arc_values, edgewise_threshold,
     bounded_distances, set_distances, node_degrees, triangles, exclusive_neighbors, quads,
     quad_nodes, codegree_max, quad_cap, local_structure, cost_lazy, cost_plain,
     uniform_transport, transport_value, transport_plan, quad_term, balanced_forman,

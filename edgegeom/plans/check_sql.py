@@ -256,7 +256,7 @@ def thinned(ranges: str) -> str:
 
     w = "(2 ** (lev - 1))::BIGINT"
     nl, nr = empty("pos", w), empty(f"(pos + {w})", w)
-    u = f"({draw(str(SEED), 'g', 'a', 'lev - 1', 'pos')} * (1.0 - {nl} * {nr}))"
+    u = f"({draw(str(SEED), 'g', 'a', 'lo', 'lev - 1', 'pos')} * (1.0 - {nl} * {nr}))"
     lo_only = f"((1.0 - {nl}) * {nr})"
     hi_only = f"({nl} * (1.0 - {nr}))"
     return f"""
@@ -265,7 +265,7 @@ top AS (SELECT max(n) AS n, ceil(log2(max(n)))::INT AS levels FROM p),
 ranges AS ({ranges}),
 blocks AS (
   SELECT g, a, lo, hi, p, 0::BIGINT AS pos, levels AS lev FROM ranges, top
-  WHERE p > 0 AND {draw(str(SEED), 'g', 'a', 'levels', '0')} < 1.0 - {empty('0', '(2 ** levels)::BIGINT')}
+  WHERE p > 0 AND {draw(str(SEED), 'g', 'a', 'lo', 'levels', '0')} < 1.0 - {empty('0', '(2 ** levels)::BIGINT')}
   UNION ALL
   SELECT g, a, lo, hi, p, unnest(CASE WHEN {u} < {lo_only} THEN [pos] WHEN {u} < {lo_only} + {hi_only}
     THEN [pos + {w}] ELSE [pos, pos + {w}] END), lev - 1 FROM blocks WHERE lev > 0)

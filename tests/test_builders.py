@@ -99,3 +99,33 @@ def test_hyperbolic_edges_match_all_pairs(spark, radius, alpha):
     want = sorted((a.id, b.id) for a in rows for b in rows if a.id < b.id
                   and a.c * b.c - a.s * b.s * math.cos(a.theta - b.theta) <= limit)
     assert pairs(G.hyperbolic_edges(points, radius, alpha)) == want
+
+
+def pair_odds(rows, radius, alpha, temperature):
+    out = {}
+    for a in rows:
+        for b in rows:
+            if a.id < b.id:
+                f = max(1.0, a.c * b.c - a.s * b.s * math.cos(a.theta - b.theta))
+                x = (math.acosh(f) / alpha - radius) / (2 * temperature)
+                out[a.id, b.id] = 1 / (1 + math.exp(min(x, 700.0)))
+    return out
+
+
+@pytest.mark.parametrize("radius,alpha,temperature", [(8.0, 0.9, 0.5), (5.0, 1.0, 0.9), (6.0, 0.7, 0.2)])
+def test_soft_hyperbolic_share(spark, radius, alpha, temperature):
+    """Numbers of links among near, middling and far pairs agree with their summed odds."""
+    points = G.hyperbolic_points(nodes(spark, 300), radius, alpha, 4)
+    odds = pair_odds(points.collect(), radius, alpha, temperature)
+    found = set(pairs(G.soft_hyperbolic_edges(points, radius, alpha, temperature, 6)))
+    assert found <= set(odds)
+    for low, high in ((0.0, 0.05), (0.05, 0.5), (0.5, 1.01)):
+        group = {k: p for k, p in odds.items() if low <= p < high}
+        spread = math.sqrt(sum(p * (1 - p) for p in group.values()))
+        assert abs(len(found & set(group)) - sum(group.values())) <= 4.5 * spread + 1
+
+
+def test_soft_hyperbolic_at_low_temperature_is_hard(spark):
+    points = G.hyperbolic_points(nodes(spark, 250), 7.0, 0.8, 2)
+    soft = pairs(G.soft_hyperbolic_edges(points, 7.0, 0.8, 1e-7, 3))
+    assert soft == pairs(G.hyperbolic_edges(points, 7.0, 0.8))
