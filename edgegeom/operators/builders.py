@@ -94,38 +94,42 @@ def bernoulli_ranges(ranges: DataFrame, seed: int, max_id: int) -> DataFrame:
     levels = max(1, math.ceil(math.log2(max_id + 1)))
     drop = F.log(F.lit(1.0) - F.col("p"))
 
-    def size(start: Column, width: int) -> Column:
-        return F.greatest(
-            F.lit(0), F.least(F.col("hi"), start + width) - F.greatest(F.col("lo"), start)
-        )
-
     def empty(count: Column) -> Column:
+        """Chance that none of ``count`` ids is kept."""
         return F.when(count <= 0, F.lit(1.0)).when(F.col("p") >= 1, F.lit(0.0)).otherwise(
             F.exp(count * drop))
 
-    zero = F.lit(0).cast("long")
-    whole = size(zero, 1 << levels)
-    blocks = ranges.filter(F.col("p") > 0).withColumn("at", zero).filter(
-        uniform(seed, F.col(GRAPH), F.col("a"), F.col("lo"), F.lit(levels), F.col("at"))
-        < F.lit(1.0) - empty(whole)
+    def draw(level: int) -> Column:
+        return uniform(seed, F.col(GRAPH), F.col("a"), F.col("lo"), F.lit(level), F.col("at"))
+
+    # ``at`` counts from ``lo``, so a short range passes the wide levels without a draw. Rows grow
+    # from here on without another shuffle, so they are spread over all cores first.
+    cores = ranges.sparkSession.sparkContext.defaultParallelism
+    blocks = (
+        ranges.filter((F.col("p") > 0) & (F.col("hi") > F.col("lo")))
+        .repartition(cores, GRAPH, "a", "lo")
+        .withColumn("size", F.col("hi") - F.col("lo"))
+        .withColumn("at", F.lit(0).cast("long"))
+        .filter(draw(levels) < F.lit(1.0) - empty(F.col("size")))
     )
     for level in range(levels - 1, -1, -1):
         width = 1 << level
-        none_left = empty(size(F.col("at"), width))
-        none_right = empty(size(F.col("at") + width, width))
-        some = F.lit(1.0) - none_left * none_right
-        u = uniform(seed, F.col(GRAPH), F.col("a"), F.col("lo"), F.lit(level), F.col("at")) * some
+        rest = F.col("size") - F.col("at")
+        none_left = empty(F.least(rest, F.lit(width)))
+        none_right = empty(F.least(rest - width, F.lit(width)))
+        u = draw(level) * (F.lit(1.0) - none_left * none_right)
         left_only = (F.lit(1.0) - none_left) * none_right
         right_only = none_left * (F.lit(1.0) - none_right)
         left = F.array(F.col("at"))
         right = F.array(F.col("at") + width)
         chosen = (
-            F.when(u < left_only, left)
+            F.when(rest <= width, left)
+            .when(u < left_only, left)
             .when(u < left_only + right_only, right)
             .otherwise(F.concat(left, right))
         )
-        blocks = blocks.select(GRAPH, "a", "lo", "hi", "p", F.explode(chosen).alias("at"))
-    return blocks.select(GRAPH, "a", F.col("at").alias("b"), "p")
+        blocks = blocks.select(GRAPH, "a", "lo", "size", "p", F.explode(chosen).alias("at"))
+    return blocks.select(GRAPH, "a", (F.col("lo") + F.col("at")).alias("b"), "p")
 
 
 def bernoulli_edges(nodes: DataFrame, p: float, seed: int, max_id: int) -> DataFrame:
@@ -320,9 +324,9 @@ def soft_hyperbolic_edges(
     limit, turn = math.cosh(alpha * radius), 2.0 * math.pi
     rings = max(1, math.ceil(alpha * radius))
     n = points.count()
-    # Odd numbers of sectors, about one point each: no two sectors are exactly opposite.
+    # Odd numbers of sectors, about four points each: no two sectors are exactly opposite.
     expected = [n * (math.cosh(k + 1) - math.cosh(k)) / (limit - 1.0) for k in range(rings)]
-    sectors = [2 * int(min(x, n) / 2) + 1 for x in expected]
+    sectors = [2 * int(min(x, n) / 8) + 1 for x in expected]
     sector_of = F.element_at(F.array(*[F.lit(x).cast("long") for x in sectors]), F.col("ring") + 1)
     placed = (
         points.withColumn("ring", F.least(
@@ -330,8 +334,13 @@ def soft_hyperbolic_edges(
         .withColumn("sector", F.least(sector_of - 1, F.floor(F.col("theta") / (F.lit(turn) / sector_of))))
     )
     in_sector = Window.partitionBy(GRAPH, "ring", "sector").orderBy("id")
-    placed = stage(placed.withColumn("slot", F.row_number().over(in_sector) - 1)
-                   .select(GRAPH, "id", "theta", "c", "s", "ring", "sector", "slot"), "hyperbolic")
+    cores = points.sparkSession.sparkContext.defaultParallelism
+    placed = stage(
+        placed.withColumn("slot", F.row_number().over(in_sector) - 1)
+        .select(GRAPH, "id", "theta", "c", "s", "ring", "sector", "slot")
+        .repartition(cores, GRAPH, "id"),
+        "hyperbolic",
+    )
     # One row per ring comes to the driver: the slots each ring needs per sector.
     depth = {r.ring: r.slots for r in placed.groupBy("ring").agg((F.max("slot") + 1).alias("slots")).collect()}
     slots = [depth.get(k, 0) for k in range(rings)]

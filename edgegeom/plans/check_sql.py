@@ -248,14 +248,12 @@ def links(*targets: str, where: str = "TRUE") -> str:
 
 def thinned(ranges: str) -> str:
     """Halving of id blocks with one draw per block, level by level."""
-    size = "greatest(0, least(hi, {at} + {w}) - greatest(lo, {at}))"
-
-    def empty(at: str, w: str) -> str:
-        k = size.format(at=at, w=w)
-        return f"(CASE WHEN {k} <= 0 THEN 1.0 ELSE exp({k} * ln(1.0 - p)) END)"
+    def empty(k: str) -> str:
+        return f"(CASE WHEN {k} <= 0 THEN 1.0 ELSE exp(({k}) * ln(1.0 - p)) END)"
 
     w = "(2 ** (lev - 1))::BIGINT"
-    nl, nr = empty("pos", w), empty(f"(pos + {w})", w)
+    rest = "(hi - lo - pos)"
+    nl, nr = empty(f"least({rest}, {w})"), empty(f"least({rest} - {w}, {w})")
     u = f"({draw(str(SEED), 'g', 'a', 'lo', 'lev - 1', 'pos')} * (1.0 - {nl} * {nr}))"
     lo_only = f"((1.0 - {nl}) * {nr})"
     hi_only = f"({nl} * (1.0 - {nr}))"
@@ -265,11 +263,12 @@ top AS (SELECT max(n) AS n, ceil(log2(max(n)))::INT AS levels FROM p),
 ranges AS ({ranges}),
 blocks AS (
   SELECT g, a, lo, hi, p, 0::BIGINT AS pos, levels AS lev FROM ranges, top
-  WHERE p > 0 AND {draw(str(SEED), 'g', 'a', 'lo', 'levels', '0')} < 1.0 - {empty('0', '(2 ** levels)::BIGINT')}
+  WHERE p > 0 AND hi > lo AND {draw(str(SEED), 'g', 'a', 'lo', 'levels', '0')} < 1.0 - {empty('hi - lo')}
   UNION ALL
-  SELECT g, a, lo, hi, p, unnest(CASE WHEN {u} < {lo_only} THEN [pos] WHEN {u} < {lo_only} + {hi_only}
-    THEN [pos + {w}] ELSE [pos, pos + {w}] END), lev - 1 FROM blocks WHERE lev > 0)
-SELECT g AS graph_id, a AS u, pos AS v FROM blocks WHERE lev = 0"""
+  SELECT g, a, lo, hi, p, unnest(CASE WHEN {rest} <= {w} OR {u} < {lo_only} THEN [pos]
+    WHEN {u} < {lo_only} + {hi_only} THEN [pos + {w}] ELSE [pos, pos + {w}] END), lev - 1
+  FROM blocks WHERE lev > 0)
+SELECT g AS graph_id, a AS u, lo + pos AS v FROM blocks WHERE lev = 0"""
 
 
 def block_ranges(cuts: list[str], odds: list[list[str]]) -> str:
