@@ -46,7 +46,7 @@ def lazy_upper_from_forman(zeta, du, dv) -> Column:
 
     The bound is the maximum over a relaxed triangle count t of a function built from four
     falling lines; it peaks at an end of the range or where two of the lines cross, so it is
-    evaluated at those points only. Parallel lines drop out as nulls.
+    evaluated at those points only.
     """
     du, dv = P._c(du), P._c(dv)
     over_base = P.positive_part(P._c(zeta) - P.base_term(du, dv))
@@ -76,7 +76,8 @@ def lazy_upper_from_forman(zeta, du, dv) -> Column:
         return (F.lit(2.0) * t * F.least(mu, mv) + P.positive_part(F.least(*heights))
                 + F.least(t * gap, heights[0] + heights[1]))
 
-    best = F.array_max(F.transform(F.array_compact(F.array(*points)), value))
+    # A missing crossing is read as the end of the range, which is tried anyway.
+    best = F.greatest(*[value(t) for t in points])
     start = F.lit(-1.0) + F.lit(4.0) * P.shared_mass(du, dv) + F.lit(2.0) * gap
     return start + best
 
