@@ -384,7 +384,7 @@ def plain_curvature_reused(spark, sf_dir):
     """Plain curvature kept as a table and read by two consumers."""
     kept = stage(curvature_table(prepared(spark, sf_dir)).select(*EDGE_KEY, "or_plain"), "plain")
     mean = kept.groupBy(GRAPH).agg(F.avg("or_plain").alias("mean"))
-    return rounded(kept.join(F.broadcast(mean), GRAPH).groupBy(GRAPH).agg(
+    return rounded(kept.join(mean, GRAPH).groupBy(GRAPH).agg(
         F.count("*").alias("edges"), F.max("mean").alias("mean"),
         F.sum((F.col("or_plain") > F.col("mean")).cast("bigint")).alias("above")))
 
