@@ -98,3 +98,18 @@ def test_hub_with_shared_neighbors(spark):
         for key, row in brute.edge_rows(graphs["hubs"]).items():
             for name, value in row.items():
                 assert math.isclose(got[key][name], value, abs_tol=1e-12), (key, name)
+
+
+def test_large_hub_gives_the_same_either_way(spark):
+    """A hub above the default heavy degree: walked around, or expanded as if it were small."""
+    rng = random.Random(1)
+    edges = {(0, i) for i in range(1, 1201)} | {(i, i + 1) for i in range(1, 1500)}
+    while len(edges) < 3600:
+        u, v = sorted(rng.sample(range(1500), 2))
+        edges.add((u, v))
+    pairs = frame(spark, {"hub": sorted(edges)})
+    around = {tuple(r)[:3]: r for r in edge_report(pairs).collect()}
+    expanded = {tuple(r)[:3]: r for r in edge_report(pairs, heavy_degree=5000).collect()}
+    assert len(around) == 3600 and around == expanded
+    for r in around.values():
+        check_invariants(r)
