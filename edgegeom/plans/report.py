@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..columns import EDGE_KEY, REPORT_COLUMNS
+from ..columns import GRAPH, REPORT_COLUMNS
 from ..functions import bounds as B, params as P
-from ..operators.clean import canonical_edges, edgewise, pairs_to_arcs, prepare
+from ..operators.clean import canonical_edges, edgewise, prepare
 from ..operators.curvature import curvature_table
 from ..operators.stats import summarize_run
 from ..operators.transport import HEAVY_DEGREE
@@ -68,8 +68,8 @@ def report_of(degreed: DataFrame, heavy_degree: int = HEAVY_DEGREE) -> DataFrame
 
 def edge_report(pairs: DataFrame, heavy_degree: int = HEAVY_DEGREE) -> DataFrame:
     """Report of any table of pairs ``(graph_id, u, v)``: cleaned, then one row per edge."""
-    edges = canonical_edges(pairs_to_arcs(pairs)).select(*EDGE_KEY)
-    return report_of(prepare(edges), heavy_degree)
+    arcs = pairs.select(GRAPH, F.col("u").alias("src"), F.col("v").alias("dst"))
+    return report_of(prepare(canonical_edges(arcs)), heavy_degree)
 
 
 def analyze(pairs: DataFrame, report_path: str, summary_path: str) -> DataFrame:
