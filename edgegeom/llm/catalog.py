@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import queries_text
+from . import queries_dedup, queries_text
 
-QUERIES = dict(queries_text.QUERIES)
-SQL = dict(queries_text.SQL)
+QUERIES = {**queries_dedup.QUERIES, **queries_text.QUERIES}
+SQL = {**queries_dedup.SQL, **queries_text.SQL}

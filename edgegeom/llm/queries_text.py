@@ -67,7 +67,8 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
     model = language.fit(docs.where(~held_out))
-    return language.predict(docs.select("doc_id", "text", held_out.alias("held_out")), model)
+    out = language.predict(docs.select("doc_id", "text", held_out.alias("held_out")), model)
+    return out.select("doc_id", "held_out", "lang_pred", "score", "rejected")
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
