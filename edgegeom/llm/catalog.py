@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import queries_dedup, queries_text
+from . import queries_dedup, queries_files, queries_text
 
-QUERIES = {**queries_dedup.QUERIES, **queries_text.QUERIES}
-SQL = {**queries_dedup.SQL, **queries_text.SQL}
+QUERIES = {**queries_dedup.QUERIES, **queries_files.QUERIES, **queries_text.QUERIES}
+SQL = {**queries_dedup.SQL, **queries_files.SQL, **queries_text.SQL}
