@@ -15,6 +15,8 @@ as the results are replaced.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -44,6 +46,8 @@ COMMON = (
 COMMON = tuple(dict.fromkeys(COMMON))
 CLASSES = ("letter", "capital", "digit", "space", "punctuation", "symbol", "other")
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+#: A document has fewer word positions than this; a power of two.
+POSITIONS = 1 << 24
 #: Names of working columns; a table's own columns never have them.
 W = "__quality_"
 
@@ -70,72 +74,101 @@ def _histograms(docs: DataFrame) -> DataFrame:
         f"{W}digit": n - _kept_length(rest, "0123456789"),
         f"{W}capital": F.length(text) - F.col(f"{W}small"),
         f"{W}rest_n": n,
-        f"{W}found": F.filter(f"{W}words", lambda w: F.lower(w).isin(*COMMON)),
-    }).withColumn(f"{W}found", F.transform(f"{W}found", F.lower))
+        f"{W}found": F.sort_array(F.transform(F.filter(f"{W}words", lambda w: F.lower(w).isin(*COMMON)), F.lower)),
+    })
     part = lambda name: F.col(W + name)
     counts = [part("n") - part("rest_n") - part("capital"), *map(part, ("capital", "digit", "space", "punctuation", "symbol"))]
     other = part("rest_n") - part("digit") - part("space") - part("punctuation") - part("symbol")
-    found = F.col(f"{W}found")
-    each = [F.size(found) - F.size(F.array_remove(found, w)) for w in COMMON]
-    rare = F.size(f"{W}words") - F.size(found)
-    return docs.withColumns({
+    # Runs of equal words, by their last positions: the histogram's bins that are not empty.
+    found = part("found")
+    ends = F.filter(F.sequence(F.lit(1), F.size(found)), lambda i: F.coalesce(F.get(found, i) != F.get(found, i - 1), F.lit(True)))
+    ends = F.when(F.size(found) > 0, ends).otherwise(F.array().cast("array<int>"))
+    bins = F.lit(list(COMMON))
+    docs = docs.withColumns({
         f"{W}classes": F.array(*[c.cast("double") for c in (*counts, other)]),
-        f"{W}common": F.array(*[c.cast("double") for c in (*each, rare)]),
-    })
+        f"{W}ends": ends,
+    }).withColumn(f"{W}runs", F.transform(f"{W}ends", lambda i: F.struct((F.array_position(bins, F.get(found, i - 1)) - 1).cast("int").alias("bin"), i.alias("end"))))
+    runs = part("runs")
+    each = F.transform(runs, lambda x, i: F.struct(x["bin"].alias("bin"), (x["end"] - F.coalesce(F.get(runs, i - 1)["end"], F.lit(0))).cast("double").alias("n")))
+    rare = F.array(F.struct(F.lit(len(COMMON)).alias("bin"), (F.size(f"{W}words") - F.size(found)).cast("double").alias("n")))
+    return docs.withColumn(f"{W}common", F.concat(each, rare))
 
 
 def references(docs: DataFrame) -> list[tuple[list[float], list[float]]]:
     """Class and word shares of each language, from all its documents of ``MIN_WORDS`` words or more."""
     rows = _histograms(docs.select("lang", "text")).where(F.size(f"{W}words") >= MIN_WORDS)
-    sums = [F.sum(F.get(name, F.lit(i))) for name, n in ((f"{W}classes", len(CLASSES)), (f"{W}common", len(COMMON) + 1)) for i in range(n)]
-    made = rows.groupBy("lang").agg(F.array(*sums).alias("sums")).take(MAX_LANGUAGES + 1)
-    if len(made) > MAX_LANGUAGES:
+    # Both histograms as (bin, n), classes with bins below 0: one aggregation of a few rows a document.
+    classes = F.transform(f"{W}classes", lambda n, i: F.struct((i - len(CLASSES)).alias("bin"), n.alias("n")))
+    made = rows.select("lang", F.explode(F.concat(classes, F.col(f"{W}common"))).alias("x")).groupBy("lang", "x.bin").agg(F.sum("x.n").alias("n"))
+    most = MAX_LANGUAGES * (len(CLASSES) + len(COMMON) + 1)
+    sums: dict[str | None, dict[int, float]] = {}
+    found = made.take(most + 1)
+    for lang, at, n in found:
+        sums.setdefault(lang, {})[at] = n
+    if len(sums) > MAX_LANGUAGES or len(found) > most:
         raise ValueError(f"lang has more than {MAX_LANGUAGES} values")
     out = []
-    for (_, values) in sorted(made, key=lambda r: (r[0] is not None, r[0] or "")):
-        classes, common = values[: len(CLASSES)], values[len(CLASSES):]
-        out.append(([x / sum(classes) for x in classes], [x / sum(common) for x in common]))
+    for lang in sorted(sums, key=lambda x: (x is not None, x or "")):
+        own = [[sums[lang].get(i, 0.0) for i in span] for span in (range(-len(CLASSES), 0), range(len(COMMON) + 1))]
+        out.append(tuple([x / max(1.0, sum(values)) for x in values] for values in own))
     return out
 
 
+def _x_log_x(x: float) -> float:
+    return x * math.log2(x) if x > 0 else 0.0
+
+
 def distance(shares: Column, reference: list[float]) -> Column:
-    """Jensen-Shannon distance, base 2, between an array column of shares and given shares."""
-    def term(a: Column, both: Column) -> Column:
-        return F.when(a > 0, a * F.log2(F.lit(2.0) * a / both)).otherwise(F.lit(0.0))
+    """Jensen-Shannon distance, base 2, of an array of (bin, p), all of p > 0, from given shares q.
+
+    The divergence is the entropy of the mean less the mean of both entropies. Bins that the document
+    lacks have the mean q / 2, so their part is that of all bins less that of the document's own.
+    """
+    q = F.lit(reference)
+    halves = [_x_log_x(x / 2) for x in reference]
+    lacking = F.lit(halves)
+
+    def step(acc: Column, x: Column) -> Column:
+        mean = (x["p"] + F.get(q, x["bin"])) / 2
+        return acc + x["p"] * F.log2(x["p"]) / 2 - mean * F.log2(mean) + F.get(lacking, x["bin"])
 
-    terms = F.zip_with(shares, F.lit(reference), lambda p, q: term(p, p + q) + term(q, p + q))
-    total = F.aggregate(terms, F.lit(0.0), lambda acc, x: acc + x)
-    return F.sqrt(F.greatest(total / 2, F.lit(0.0)))
+    start = sum(map(_x_log_x, reference)) / 2 - sum(halves)
+    return F.sqrt(F.greatest(F.aggregate(shares, F.lit(start), step), F.lit(0.0)))
 
 
-def _nearest(counts: str, given: list[list[float]]) -> Column:
-    shares = F.col(counts)
-    each = [distance(shares, q) for q in given]
+def _nearest(name: str, given: list[list[float]]) -> Column:
+    each = [distance(F.col(f"{W}{name}_shares"), q) for q in given]
     return F.least(*each) if len(each) > 1 else each[0] if each else F.lit(0.0)
 
 
-def _shares(counts: str) -> Column:
-    total = F.aggregate(counts, F.lit(0.0), lambda acc, x: acc + x)
-    return F.transform(counts, lambda x: x / F.greatest(total, F.lit(1.0)))
+def _shares(counts: Column, total: Column) -> Column:
+    present = F.filter(counts, lambda x: x["n"] > 0)
+    return F.transform(present, lambda x: F.struct(x["bin"].alias("bin"), (x["n"] / total).alias("p")))
 
 
 def judge(docs: DataFrame, known: list[tuple[list[float], list[float]]] | None = None) -> DataFrame:
     """``docs`` with the base counts, both distances, ``base_failed`` and ``kept``."""
     known = references(docs) if known is None else known
     words = F.col(f"{W}words")
-    lines = F.filter(F.split(F.col(f"{W}text"), "\n"), lambda x: _kept_length(x, SPACES) > 0)
-    window = lambda w, i: F.struct(
-        F.xxhash64(w, F.get(words, i + 1), F.get(words, i + 2)).alias("h"), i.alias("i")
-    )
+    lines = F.filter(F.split(F.col(f"{W}text"), "\n"), lambda x: F.ltrim(x, F.lit(SPACES)) != "")
     first = F.slice(words, F.lit(1), F.greatest(F.size(words) - 2, F.lit(0)))
     out = _histograms(docs).withColumns({
         f"{W}lines": lines,
-        f"{W}windows": F.sort_array(F.transform(first, window)),
+        f"{W}chars": F.greatest(F.col(f"{W}n"), F.lit(1)).cast("double"),
+        f"{W}number": F.greatest(F.size(words), F.lit(1)).cast("double"),
+        f"{W}hashes": F.transform(first, lambda w, i: F.xxhash64(w, F.get(words, i + 1), F.get(words, i + 2))),
     })
+    # Windows sorted by the upper bits of their hash, each with its position in the lower ones; equal
+    # neighbours are told by the whole hash.
+    hashes = F.col(f"{W}hashes")
+    placed = F.sort_array(F.transform(hashes, lambda h, i: h.bitwiseAND(F.lit(-POSITIONS)).bitwiseOR(i.cast("bigint"))))
+    some = F.size(F.array_distinct(hashes)) < F.size(hashes)
+    out = out.withColumn(f"{W}windows", F.when(some, placed).otherwise(F.array().cast("array<bigint>")))
     windows = F.col(f"{W}windows")
-    same = lambda e, i: F.coalesce(e["h"] == F.get(windows, i)["h"], F.lit(False))
+    position = lambda e: e.bitwiseAND(F.lit(POSITIONS - 1)).cast("int")
+    same = lambda e, i: F.coalesce(F.get(hashes, position(e)) == F.get(hashes, position(F.get(windows, i))), F.lit(False))
     twice = F.filter(windows, lambda e, i: same(e, i - 1) | same(e, i + 1))
-    out = out.withColumn(f"{W}starts", F.transform(twice, lambda e: e["i"]))
+    out = out.withColumn(f"{W}starts", F.transform(twice, position))
     starts = F.col(f"{W}starts")
     covered = F.array_distinct(F.concat(starts, F.transform(starts, lambda i: i + 1), F.transform(starts, lambda i: i + 2)))
     out = out.withColumns({
@@ -144,13 +177,13 @@ def judge(docs: DataFrame, known: list[tuple[list[float], list[float]]] | None =
         "n_symbols": F.col(f"{W}symbol").cast("bigint"),
         "n_dup_lines": (F.size(f"{W}lines") - F.size(F.array_distinct(f"{W}lines"))).cast("bigint"),
         "n_repeat_words": F.size(covered).cast("bigint"),
-        f"{W}class_shares": _shares(f"{W}classes"),
-        f"{W}word_shares": _shares(f"{W}common"),
+        f"{W}class_shares": _shares(F.transform(f"{W}classes", lambda n, i: F.struct(i.alias("bin"), n.alias("n"))), F.col(f"{W}chars")),
+        f"{W}word_shares": _shares(F.col(f"{W}common"), F.col(f"{W}number")),
     })
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED * F.col("n_words"))
     out = out.withColumns({
-        "class_distance": F.when(F.col(f"{W}n") >= MIN_CHARS_CLASSES, _nearest(f"{W}class_shares", [c for c, _ in known])).otherwise(0.0),
-        "word_distance": F.when(F.col("n_words") >= MIN_WORDS_COMMON, _nearest(f"{W}word_shares", [w for _, w in known])).otherwise(0.0),
+        "class_distance": F.when(F.col(f"{W}n") >= MIN_CHARS_CLASSES, _nearest("class", [c for c, _ in known])).otherwise(0.0),
+        "word_distance": F.when(F.col("n_words") >= MIN_WORDS_COMMON, _nearest("word", [w for _, w in known])).otherwise(0.0),
         "base_failed": failed,
     })
     near = (F.col("class_distance") <= MAX_CLASS_DISTANCE) & (F.col("word_distance") <= MAX_WORD_DISTANCE)
