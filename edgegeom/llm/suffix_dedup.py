@@ -27,6 +27,7 @@ replaced; an empty table gives no rows.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -142,15 +143,22 @@ def repeated_offsets(contexts: list[tuple[bytes, bytes]], length: int) -> list[l
         symbols.append(1)  # the end of a context, smaller than all edges
         weights.append(0)
     order = suffix_order(symbols)
+    rank = [0] * len(symbols)
+    for at, i in enumerate(order):
+        rank[i] = at
+    sums = [0, *accumulate(weights)]
     most = [0] * len(symbols)
-    for x, y in zip(order, order[1:], strict=False):
-        if symbols[x] == 1 or symbols[y] == 1:
+    shared = 0  # symbols shared with the suffix before in order: one less at most from one suffix to the next
+    for i in range(len(symbols)):
+        if not rank[i]:
+            shared = 0
             continue
-        total, i, j = 0, x, y
-        while symbols[i] == symbols[j] != 1:
-            total += weights[i]
-            i, j = i + 1, j + 1
-        most[x], most[y] = max(most[x], total), max(most[y], total)
+        j = order[rank[i] - 1]
+        while symbols[i + shared] == symbols[j + shared] != 1:
+            shared += 1
+        total = sums[i + shared] - sums[i]
+        most[i], most[j] = max(most[i], total), max(most[j], total)
+        shared = max(0, shared - 1)
     out = []
     for start, middle, end in spans:
         found = [(0, 0)] if middle < end and most[middle] >= length else []
