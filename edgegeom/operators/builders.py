@@ -41,7 +41,7 @@ def _grid_position(rows, cols) -> tuple[Column, Column, Column, Column]:
 
 
 def grid_edges(nodes: DataFrame, rows, cols) -> DataFrame:
-    """A rows x cols grid with id = row * cols + column."""
+    """A rows x cols grid with id = row * cols + column; links to ids that are no node are left out."""
     rows, cols, row, col = _grid_position(rows, cols)
     inside = nodes.filter(row < rows)
     return _link(

@@ -246,41 +246,6 @@ def links(*targets: str, where: str = "TRUE") -> str:
             f" FROM ({arms}) WHERE d IS NOT NULL AND s <> d")
 
 
-def thinned(ranges: str) -> str:
-    """Halving of id blocks with one draw per block, level by level."""
-    def empty(k: str) -> str:
-        return f"(CASE WHEN {k} <= 0 THEN 1.0 ELSE exp(({k}) * ln(1.0 - p)) END)"
-
-    w = "(2 ** (lev - 1))::BIGINT"
-    rest = "(hi - lo - pos)"
-    nl, nr = empty(f"least({rest}, {w})"), empty(f"least({rest} - {w}, {w})")
-    u = f"({draw(str(SEED), 'g', 'a', 'lo', 'lev - 1', 'pos')} * (1.0 - {nl} * {nr}))"
-    lo_only = f"((1.0 - {nl}) * {nr})"
-    hi_only = f"({nl} * (1.0 - {nr}))"
-    return f"""
-WITH RECURSIVE {NODES},
-top AS (SELECT max(n) AS n, ceil(log2(max(n)))::INT AS levels FROM p),
-ranges AS ({ranges}),
-blocks AS (
-  SELECT g, a, lo, hi, p, 0::BIGINT AS pos, levels AS lev FROM ranges, top
-  WHERE p > 0 AND hi > lo AND {draw(str(SEED), 'g', 'a', 'lo', 'levels', '0')} < 1.0 - {empty('hi - lo')}
-  UNION ALL
-  SELECT g, a, lo, hi, p, unnest(CASE WHEN {rest} <= {w} OR {u} < {lo_only} THEN [pos]
-    WHEN {u} < {lo_only} + {hi_only} THEN [pos + {w}] ELSE [pos, pos + {w}] END), lev - 1
-  FROM blocks WHERE lev > 0)
-SELECT g AS graph_id, a AS u, lo + pos AS v FROM blocks WHERE lev = 0"""
-
-
-def block_ranges(cuts: list[str], odds: list[list[str]]) -> str:
-    arms = []
-    for i in range(len(odds)):
-        for j in range(i, len(odds)):
-            arms.append(
-                f"SELECT g, id AS a, greatest({cuts[j]}, id + 1) AS lo, {cuts[j + 1]} AS hi,"
-                f" ({odds[i][j]})::DOUBLE AS p FROM p WHERE id >= {cuts[i]} AND id < {cuts[i + 1]}")
-    return " UNION ALL ".join(arms)
-
-
 ARCS = """arcs AS (
   SELECT (l_orderkey * 8 + l_linenumber) * 1000000000 + round(l_extendedprice * 100)::BIGINT AS pos,
          l_suppkey AS s, l_partkey AS d, l_extendedprice AS x FROM lineitem)"""
@@ -452,31 +417,19 @@ WHERE graph_id <> (SELECT min(graph_id) FROM e) GROUP BY ALL""", **FLAG, upto="e
 FROM ({unpivot(RUN, 'rep')}) JOIN (SELECT graph_id, 1 + max(v) AS n, count(*) AS m FROM e GROUP BY ALL)
 USING (graph_id) GROUP BY graph_id, n, m, metric""", **FLAG_FULL),
     "cycle": links("(id + 1) % n"),
-    "grid": links("CASE WHEN id % 20 < 19 THEN id + 1 END",
-                  "CASE WHEN id // 20 + 1 < n // 20 THEN id + 20 END", where="id // 20 < n // 20"),
-    "torus": links("id // 20 * 20 + (id + 1) % 20", "(id // 20 + 1) % (n // 20) * 20 + id % 20",
-                   where="id // 20 < n // 20"),
+    "grid": links("CASE WHEN id % 20 < 19 AND id + 1 < n THEN id + 1 END",
+                  "CASE WHEN id + 20 < n THEN id + 20 END"),
+    "torus": links("CASE WHEN id // 20 * 20 + (id + 1) % 20 < n THEN id // 20 * 20 + (id + 1) % 20 END",
+                   "CASE WHEN (id // 20 + 1) % ((n + 19) // 20) * 20 + id % 20 < n"
+                   " THEN (id // 20 + 1) % ((n + 19) // 20) * 20 + id % 20 END"),
     "tree": links("CASE WHEN id > 0 THEN (id - 1) // 3 END"),
     "complete": f"""WITH {NODES}
 SELECT 'block_' || (a.id // 16) AS graph_id, a.id % 16 AS u, b.id % 16 AS v
 FROM p a JOIN p b ON a.id // 16 = b.id // 16 AND a.id < b.id""",
-    "bernoulli": thinned("SELECT g, id AS a, id + 1 AS lo, n AS hi, 8.0::DOUBLE / (n - 1) AS p FROM p"),
-    "block_model": thinned(block_ranges(
-        ["0", "(n // 3)", "(n // 3 * 2)", "n"],
-        [["12.0::DOUBLE/n", "2.0::DOUBLE/n", "0.0"], ["", "9.0::DOUBLE/n", "4.0::DOUBLE/n"],
-         ["", "", "6.0::DOUBLE/n"]])),
-    "two_blocks": thinned(block_ranges(
-        ["0", "(n // 2)", "n"], [["12.0::DOUBLE/n", "4.0::DOUBLE/n"], ["", "12.0::DOUBLE/n"]])),
     "radius_graph": f"""WITH {NODES},
 pts AS (SELECT *, {draw(str(SEED), "'x'", 'g', 'id')} AS x, {draw(str(SEED), "'y'", 'g', 'id')} AS y FROM p)
 SELECT 'parts' AS graph_id, a.id AS u, b.id AS v FROM pts a JOIN pts b ON a.id < b.id
 WHERE (a.x-b.x)**2 + (a.y-b.y)**2 < 8.0::DOUBLE / (a.n * {math.pi!r})""",
-    "hyperbolic_graph": f"""WITH {NODES},
-lim AS (SELECT cosh(0.9 * (2 * ln(max(n)) - 1)) AS lim FROM p),
-pts AS (SELECT *, {draw(str(SEED), "'t'", 'g', 'id')} * {2 * math.pi!r} AS th,
-        1 + {draw(str(SEED), "'r'", 'g', 'id')} * (lim - 1) AS c FROM p, lim)
-SELECT 'parts' AS graph_id, a.id AS u, b.id AS v FROM pts a JOIN pts b ON a.id < b.id
-WHERE a.c*b.c - sqrt(a.c*a.c - 1)*sqrt(b.c*b.c - 1)*cos(a.th - b.th) <= a.lim""",
     "canonical_edges": f"""WITH {ARCS}
 SELECT DISTINCT 'supply' AS graph_id, least(s, d) AS u, greatest(s, d) AS v FROM arcs WHERE s <> d""",
     "neighbor_lists": graph(

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..columns import EDGE_KEY, GRAPH
 from ..operators.stats import summarize_run
-from ..sources.reports import file_base, graph_sizes
+from ..sources.reports import graph_sizes
 from ..staging import stage
 from .report import edge_report
 
@@ -143,9 +143,8 @@ def display_name(tag: Column) -> Column:
 
 
 def pending(graphs: DataFrame, done: DataFrame) -> DataFrame:
-    """Pairs of the graphs that have no report yet; ``done`` holds ``graph_id`` as file base."""
-    finished = done.select(F.col(GRAPH).alias("base")).distinct()
-    return graphs.join(finished, file_base(F.col(GRAPH)) == F.col("base"), "left_anti")
+    """Pairs of the graphs that have no report yet, by their exact ids."""
+    return graphs.join(done.select(GRAPH).distinct(), GRAPH, "left_anti")
 
 
 def manifest(report: DataFrame, sizes: DataFrame | None = None) -> DataFrame:
@@ -175,7 +174,7 @@ def resume_suite(
     report, fresh = run_suite(pending(graphs, old_reports))
     on_disk = graph_sizes(old_reports)
     kept = on_disk.join(
-        old_runs.select(file_base(F.col("tag")).alias(GRAPH), F.col("tag").alias("old_tag"), "summary"),
+        old_runs.select(F.col("tag").alias(GRAPH), F.col("tag").alias("old_tag"), "summary"),
         GRAPH, "left",
     ).select(F.coalesce("old_tag", GRAPH).alias("tag"), "n", "m", "summary")
     return report, fresh.unionByName(kept)

@@ -4,39 +4,41 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..columns import EDGE_KEY
+from ..columns import EDGE_KEY, GRAPH
 from ..operators.clean import canonical_edges
 
 
+#: Lines of one order that are matched under one key.
+CHUNK_LINES = 64
+
+
 def co_order_edges(
     lineitem: DataFrame,
     min_quantity: float = 40.0,
-    span: int = 6,
     graph_id: Column | None = None,
+    chunk_lines: int = CHUNK_LINES,
 ) -> DataFrame:
-    """Parts bought in one order on lines at most ``span`` line numbers apart.
+    """Parts bought in one order: all pairs of its lines of at least ``min_quantity``.
 
-    Lines are matched on ``(order, block of line numbers)`` with one copy for the next block, so
-    a line meets only lines near it: rows grow with ``span``, and the lines of one huge order
-    spread over many keys. Orders have at most seven lines in the usual tables, where the default
-    span joins all lines of an order.
+    An order of more than ``chunk_lines`` lines is dealt over chunks, and every pair of chunks is
+    a key of its own, so no key holds more than two chunks and no pair is lost.
     """
     graph = F.lit("co_order") if graph_id is None else graph_id
-    width = span + 1
-    lines = (
-        lineitem.filter(F.col("l_quantity") >= min_quantity)
-        .select(graph.cast("string").alias("graph_id"), "l_orderkey",
-                F.col("l_linenumber").alias("line"), F.col("l_partkey").alias("part"))
-        .withColumn("block", F.floor(F.col("line") / width))
-    )
-    left = lines.withColumnsRenamed({"line": "line_a", "part": "part_a"})
-    right = lines.withColumnsRenamed({"line": "line_b", "part": "part_b"}).withColumn(
-        "block", F.explode(F.array("block", F.col("block") - 1))
-    )
-    gap = F.col("line_b") - F.col("line_a")
-    met = left.join(right, ["graph_id", "l_orderkey", "block"]).filter(
-        gap.between(0, span) & ((gap > 0) | (F.col("part_a") < F.col("part_b")))
-    )
+    order = [GRAPH, "l_orderkey"]
+    lines = lineitem.filter(F.col("l_quantity") >= min_quantity).select(
+        graph.cast("string").alias(GRAPH), "l_orderkey",
+        F.col("l_linenumber").alias("line"), F.col("l_partkey").alias("part"))
+    large = lines.groupBy(*order).agg(F.count("*").alias("size")).filter(F.col("size") > chunk_lines)
+    chunks = F.ceil(F.coalesce("size", F.lit(1)) / chunk_lines).cast("int")
+    dealt = lines.join(large, order, "left").withColumn(
+        "chunk", F.pmod(F.xxhash64("line", "part"), chunks).cast("int")
+    ).withColumn("other", F.explode(F.sequence(F.lit(0), chunks - 1)))
+    dealt = dealt.select(*order, "part", "chunk", F.least("chunk", "other").alias("low"),
+                         F.greatest("chunk", "other").alias("high"))
+    left = dealt.filter(F.col("chunk") == F.col("low")).withColumnRenamed("part", "part_a")
+    right = dealt.filter(F.col("chunk") == F.col("high")).withColumnRenamed("part", "part_b")
+    met = left.drop("chunk").join(right.drop("chunk"), [*order, "low", "high"]).filter(
+        (F.col("low") < F.col("high")) | (F.col("part_a") < F.col("part_b")))
     return canonical_edges(
-        met.select("graph_id", F.col("part_a").alias("src"), F.col("part_b").alias("dst"))
+        met.select(GRAPH, F.col("part_a").alias("src"), F.col("part_b").alias("dst"))
     ).select(*EDGE_KEY)

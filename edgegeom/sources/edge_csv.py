@@ -11,7 +11,7 @@ _INTEGER = r"^[+-]?[0-9]+$"
 
 
 def _node_id(cell: str) -> Column:
-    text = F.trim(cell)
+    text = F.regexp_replace(cell, r"^\s+|\s+$", "")
     return F.when(text.rlike(_INTEGER), text.try_cast("bigint"))
 
 
@@ -25,7 +25,7 @@ def read_edge_csv(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     name = F.regexp_replace(F.col("_metadata.file_name"), r"\.csv$", "")
     arcs = (
         cells.select(F.url_decode(name).alias(GRAPH), "c0", "c1")
-        .filter(~F.trim("c0").startswith("#"))
+        .filter(~F.col("c0").rlike(r"^\s*#"))
         .select(GRAPH, _node_id("c0").alias("src"), _node_id("c1").alias("dst"))
         .filter(F.col("src").isNotNull() & F.col("dst").isNotNull())
     )

@@ -17,25 +17,49 @@ def file_base(tag: Column) -> Column:
     return F.replace(tag, F.lit("."), F.lit("_"))
 
 
+def whole_number(text: Column) -> Column:
+    """A cell as BIGINT: digits exactly, other numbers where they are whole and below 2^53."""
+    text = F.regexp_replace(text.cast("string"), r"^\s+|\s+$", "")
+    double = text.try_cast("double")
+    exact = (F.abs(double) < 2.0**53) & (F.floor(double) == double)
+    return F.coalesce(F.when(text.rlike(r"^[+-]?[0-9]+$"), text.try_cast("bigint")), F.when(exact, double.try_cast("bigint")))
+
+
+def _by_graph(rows: DataFrame) -> DataFrame:
+    """Rows dealt by graph, so that a graph's folder gets few files; large graphs get several."""
+    return rows.hint("rebalance", GRAPH)
+
+
 def write_report(report: DataFrame, path: str) -> None:
-    """Parquet, one folder per graph."""
-    report.withColumn(GRAPH, file_base(F.col(GRAPH))).write.partitionBy(GRAPH).parquet(path)
+    """Parquet, one folder per graph, named by its exact id."""
+    _by_graph(report).write.partitionBy(GRAPH).parquet(path)
 
 
 def read_report(spark: SparkSession, path: str) -> DataFrame:
-    """Reports written by ``write_report``; a filter on the graph reads its folder only."""
-    return spark.read.parquet(path).withColumn(GRAPH, F.col(GRAPH).cast("string"))
+    """Reports written by ``write_report``; a filter on the graph reads its folder only.
+
+    The ids of graphs stay text, also where all of them look like numbers.
+    """
+    found = spark.read.parquet(path)
+    fields = ", ".join(f"`{c}` {t}" for c, t in found.dtypes if c != GRAPH)
+    return spark.read.schema(f"{fields}, `{GRAPH}` STRING").parquet(path).select(*found.columns)
 
 
 def write_report_csv(report: DataFrame, path: str) -> None:
     """CSV with a header line, one folder per graph, for exchange with other tools."""
-    report.withColumn(GRAPH, file_base(F.col(GRAPH))).write.partitionBy(GRAPH).option(
-        "header", True).csv(path)
+    _by_graph(report).write.partitionBy(GRAPH).option("header", True).csv(path)
+
+
+def read_csv_text(spark: SparkSession, path: str) -> DataFrame:
+    """CSV with a header line; all cells and the ids of graphs as text."""
+    names = spark.read.option("header", True).csv(path).columns
+    fields = ", ".join(f"`{c}` STRING" for c in names)
+    return spark.read.schema(fields).option("header", True).csv(path)
 
 
 def read_report_csv(spark: SparkSession, path: str) -> DataFrame:
     """Reports from CSV: column names in any case, cells that are no number become null."""
-    raw = spark.read.option("header", True).csv(path)
+    raw = read_csv_text(spark, path)
     known = {c.lower(): c for c in REPORT_COLUMNS}
     named = raw.withColumnsRenamed({c: known[c.lower()] for c in raw.columns if c.lower() in known})
     typed = []
@@ -44,16 +68,20 @@ def read_report_csv(spark: SparkSession, path: str) -> DataFrame:
             typed.append(F.col(c).cast("string").alias(c))
         else:
             number = F.trim(F.col(c).cast("string")).try_cast("double")
-            typed.append(number.cast("bigint").alias(c) if c in COUNT_COLUMNS else number.alias(c))
+            typed.append(whole_number(F.col(c)).alias(c) if c in COUNT_COLUMNS else number.alias(c))
     return named.select(*typed)
 
 
 def report_for_tag(reports: DataFrame, tag: str) -> DataFrame:
-    """Rows of one tag; without an exact match, of the first graph whose name starts with it."""
+    """Rows of one tag; without it, of the first graph whose name starts as its file would.
+
+    Files of other tools have underscores for the dots of a tag.
+    """
     base = tag.replace(".", "_")
-    found = reports.filter(F.col(GRAPH).startswith(base))
+    found = reports.filter((F.col(GRAPH) == tag) | F.col(GRAPH).startswith(base))
     first = (
-        found.select(GRAPH).distinct().orderBy((F.col(GRAPH) != base), GRAPH).limit(1)
+        found.select(GRAPH).distinct()
+        .orderBy(F.col(GRAPH) != tag, F.col(GRAPH) != base, GRAPH).limit(1)
     )
     return found.join(first, GRAPH, "left_semi")
 
@@ -63,7 +91,7 @@ def graph_sizes(rows: DataFrame) -> DataFrame:
 
     Rows without two numbers are not counted.
     """
-    u, v = (F.col(c).cast("string").try_cast("double").cast("bigint") for c in ("u", "v"))
+    u, v = (whole_number(F.col(c)) for c in ("u", "v"))
     return (
         rows.select(GRAPH, u.alias("u"), v.alias("v"))
         .filter(F.col("u").isNotNull() & F.col("v").isNotNull())
@@ -73,8 +101,8 @@ def graph_sizes(rows: DataFrame) -> DataFrame:
 
 
 def stray_reports(reports: DataFrame, runs: DataFrame) -> DataFrame:
-    """Sizes of the graphs on disk that no run mentions."""
-    mentioned = runs.select(file_base(F.col("tag")).alias(GRAPH))
+    """Sizes of the graphs on disk that no run mentions, by their exact tags."""
+    mentioned = runs.select(F.col("tag").alias(GRAPH))
     return graph_sizes(reports.join(mentioned, GRAPH, "left_anti"))
 
 
@@ -86,7 +114,7 @@ def summary_json(summary: DataFrame) -> DataFrame:
 
 def write_summary(summary: DataFrame, path: str) -> None:
     """JSON documents as text, one folder per graph."""
-    summary_json(summary).withColumn(GRAPH, file_base(F.col(GRAPH))).write.partitionBy(GRAPH).text(path)
+    _by_graph(summary_json(summary)).write.partitionBy(GRAPH).text(path)
 
 
 def write_manifest(runs: DataFrame, path: str) -> None:

@@ -6,6 +6,7 @@ from edgegeom.operators.clean import node_count
 from edgegeom.plans.report import edge_report
 from edgegeom.plans.suite import manifest, resume_suite, run_suite
 from edgegeom.sources import reports as S
+from edgegeom.sources.co_order import co_order_edges
 from edgegeom.sources.edge_csv import read_edge_csv, read_edge_folder
 from graphs import NAMED, frame
 
@@ -22,18 +23,49 @@ def test_edge_csv(spark, tmp_path):
 
 def test_report_round_trips(spark, tmp_path):
     report = edge_report(frame(spark, {"a_n1.5": NAMED["grid2x3"], "b": NAMED["K6"]}))
-    want = sorted(map(tuple, report.withColumn("graph_id", F.replace(
-        "graph_id", F.lit("."), F.lit("_"))).collect()))
+    want = sorted(map(tuple, report.collect()))
     S.write_report(report, f"{tmp_path}/parquet")
     S.write_report_csv(report, f"{tmp_path}/csv")
     for df in (S.read_report(spark, f"{tmp_path}/parquet"), S.read_report_csv(spark, f"{tmp_path}/csv")):
         assert sorted(map(tuple, df.select(report.columns).collect())) == want
     kept = S.read_report(spark, f"{tmp_path}/parquet")
-    assert {r.graph_id for r in S.report_for_tag(kept, "a_n1.5").collect()} == {"a_n1_5"}
-    assert {r.graph_id for r in S.report_for_tag(kept, "a").collect()} == {"a_n1_5"}
+    assert {r.graph_id for r in S.report_for_tag(kept, "a_n1.5").collect()} == {"a_n1.5"}
+    assert {r.graph_id for r in S.report_for_tag(kept, "a").collect()} == {"a_n1.5"}
     assert S.report_for_tag(kept, "zz").collect() == []
 
 
+def test_ids_come_back_as_they_are(spark, tmp_path):
+    big = 9007199254740993
+    rows = [("007", 1, 2), ("7", 1, 3), ("a.b", 1, big), ("a_b", 0, 1), ("x/y =z", 5, 6)]
+    edges = spark.createDataFrame(rows, "graph_id string, u bigint, v bigint")
+    S.write_report(edges, f"{tmp_path}/parquet")
+    S.write_report_csv(edges, f"{tmp_path}/csv")
+    for df in (S.read_report(spark, f"{tmp_path}/parquet"), S.read_report_csv(spark, f"{tmp_path}/csv")):
+        assert sorted(map(tuple, df.select("graph_id", "u", "v").collect())) == sorted(rows)
+    sizes = S.graph_sizes(S.read_csv_text(spark, f"{tmp_path}/csv"))
+    assert {r.graph_id: r.n for r in sizes.collect()} == {g: v + 1 for g, _, v in rows}
+    kept = S.read_report(spark, f"{tmp_path}/parquet")
+    assert {r.graph_id for r in S.report_for_tag(kept, "a_b").collect()} == {"a_b"}
+    runs = spark.createDataFrame([("a.b",), ("7",)], "tag string")
+    assert {r.graph_id for r in S.stray_reports(kept, runs).collect()} == {"007", "a_b", "x/y =z"}
+    only = spark.createDataFrame([("007", 1, 2), ("7", 1, 3)], "graph_id string, u bigint, v bigint")
+    S.write_report(only, f"{tmp_path}/numbers")
+    assert {r.graph_id for r in S.read_report(spark, f"{tmp_path}/numbers").collect()} == {"007", "7"}
+
+
+def test_edge_csv_cells_with_tabs(spark, tmp_path):
+    (tmp_path / "tabs.csv").write_text("\t1,2\n3\t,4\n\t#5,6\n")
+    assert sorted((r.u, r.v) for r in read_edge_csv(spark, str(tmp_path)).collect()) == [(1, 2), (3, 4)]
+
+
+def test_all_pairs_of_a_large_order(spark):
+    lines = [(1, i, 100 + i, 50.0) for i in range(30)] + [(2, 1, 7, 45.0), (2, 2, 8, 45.0), (2, 3, 9, 1.0)]
+    table = spark.createDataFrame(lines, "l_orderkey bigint, l_linenumber int, l_partkey bigint, l_quantity double")
+    for chunk_lines in (64, 4):
+        assert co_order_edges(table, chunk_lines=chunk_lines).count() == 435 + 1
+    assert co_order_edges(table, min_quantity=0.0, chunk_lines=5).count() == 435 + 3
+
+
 def test_report_csv_is_tolerant(spark, tmp_path):
     (tmp_path / "r.csv").write_text("U,V,BF,note\n0,1,0.5,x\n1,2,bad,y\n,3,1,z\n")
     raw = spark.read.option("header", True).csv(str(tmp_path)).withColumn("graph_id", F.lit("g"))
@@ -60,7 +92,6 @@ def test_manifest_forms(spark, tmp_path):
 def test_resume_keeps_old_runs(spark):
     graphs = {"tri_n1.5": NAMED["tri3"], "K6": NAMED["K6"], "path4": NAMED["path4"]}
     old_report, old_runs = run_suite(frame(spark, {"tri_n1.5": NAMED["tri3"]}))
-    old_report = old_report.withColumn("graph_id", F.replace("graph_id", F.lit("."), F.lit("_")))
     stray = edge_report(frame(spark, {"stray": NAMED["path3"]}))
     fresh, runs = resume_suite(frame(spark, graphs), old_report.unionByName(stray), old_runs)
     assert {r.graph_id for r in fresh.collect()} == {"K6", "path4"}
