@@ -7,11 +7,11 @@ at another place of the same. The work is exact and split as follows.
 2. In every text the least of each run of ``LENGTH - GRAM + 1`` hashed ``GRAM``-byte strings is an
    anchor. The choice depends on the string of ``LENGTH`` bytes alone, so equal strings have equal anchors
    at equal places. Anchors are counted over all texts; those met once can be forgotten.
-3. The bytes around each anchor that is met again, all that a string with this anchor can reach, go to
-   one task per anchor. There the contexts to the right, and those to the left read backwards, form two
+3. The bytes around each anchor that is met again, all that the strings with this anchor reach, go to
+   one task per anchor; every string has one anchor, so a byte travels about four times. There the contexts to the right, and those to the left read backwards, form two
    compact tries; a context becomes the sequence of trie edges on its way, from its left end to its
    right. Two contexts share such an edge only together with all bytes between it and the anchor, so
-   suffixes of these sequences compare as the byte strings do, and a few symbols stand for 700 bytes.
+   suffixes of these sequences compare as the byte strings do, and a few symbols stand for some 540 bytes.
    The suffix order of all sequences (``suffix_order``) puts beside each suffix the one it shares most
    with: their common bytes say from which offset on a string occurs twice.
 4. The start ranges found are gathered per text and cut out.
@@ -42,7 +42,7 @@ from .suffix_order import suffix_order
 
 LENGTH, GRAM = 400, 128
 #: Contexts of an anchor in one chunk.
-CHUNK = 16384
+CHUNK = 4096
 #: Odd base of the rolling hash, and random values of the 256 bytes.
 BASE = 0x9E3779B97F4A7C15
 _BYTES = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(BASE))
@@ -72,11 +72,14 @@ class Anchors:
         rest = self.width - span
         return least(x[:-rest], x[rest:]) if rest else x
 
-    def __call__(self, data: bytes) -> tuple[np.ndarray, np.ndarray]:
-        """Hashes and positions of the anchors, by position."""
+    def __call__(self, data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Hash and position of each anchor, and the least and largest offset at which strings have it.
+
+        A string's anchor is the leftmost of its least hashes, so every string has just one.
+        """
         n = len(data)
         if n < self.length:
-            return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int32)
+            return np.zeros(0, dtype=np.int64), *(np.zeros(0, dtype=np.int32),) * 3
         if n + 1 > len(self.powers):
             self._grow(2 * n)
         sums = np.zeros(n + 1, dtype=np.uint64)
@@ -84,8 +87,17 @@ class Anchors:
         hashes = mix((sums[self.gram :] - sums[: -self.gram]) * self.inverse[: n - self.gram + 1])
         least = self._sliding(hashes, np.minimum)
         around = np.concatenate([np.zeros(self.width - 1, dtype=np.uint64), least, np.zeros(self.width - 1, dtype=np.uint64)])
-        at = np.flatnonzero(self._sliding(around, np.maximum) == hashes)
-        return hashes[at].view(np.int64), at.astype(np.int32)
+        chosen = self._sliding(around, np.maximum) == hashes
+        at = np.flatnonzero(chosen)
+        own = (np.cumsum(chosen) - chosen)[: len(least)]  # for each string, the first anchor from its start on
+        open_ = np.flatnonzero(hashes[at[own]] != least)
+        while len(open_):
+            own[open_] += 1
+            open_ = open_[hashes[at[own[open_]]] != least[open_]]
+        ends = np.flatnonzero(np.append(own[1:] != own[:-1], True))
+        places = at[own[ends]]
+        starts = np.append(0, ends[:-1] + 1)
+        return hashes[places].view(np.int64), *(x.astype(np.int32) for x in (places, places - ends, places - starts))
 
 
 def _common(a: bytes, b: bytes) -> int:
@@ -173,6 +185,9 @@ def repeated_offsets(contexts: list[tuple[bytes, bytes]], length: int) -> list[l
     return out
 
 
+_ANCHOR = ("hashes", "places", "lows", "highs")
+
+
 def _texts(docs: DataFrame, length: int, gram: int) -> DataFrame:
     """Distinct texts with their digest, number, one doc_id and anchors."""
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -180,15 +195,15 @@ def _texts(docs: DataFrame, length: int, gram: int) -> DataFrame:
         for batch in batches:
             made = [anchors(x) for x in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array([h for h, _ in made], pa.list_(pa.int64())), pa.array([p for _, p in made], pa.list_(pa.int32()))],
-                ["doc_id", "digest", "hashes", "places"],
+                [*batch.columns[:2], *(pa.array([m[i] for m in made], pa.list_(pa.int64() if not i else pa.int32())) for i in range(4))],
+                ["doc_id", "digest", *_ANCHOR],
             )
 
     given = docs.select("doc_id", _digest().alias("digest"), text_of().cast("binary").alias("data"))
-    found = given.mapInArrow(find, "doc_id bigint, digest binary, hashes array<bigint>, places array<int>")
+    found = given.mapInArrow(find, "doc_id bigint, digest binary, hashes array<bigint>, places array<int>, lows array<int>, highs array<int>")
     texts = found.groupBy("digest").agg(
-        F.min("doc_id").alias("rep_id"), F.count(F.lit(1)).alias("copies"), F.any_value("hashes").alias("hashes"), F.any_value("places").alias("places")
-    )
+        F.min("doc_id").alias("rep_id"), F.count(F.lit(1)).alias("copies"), F.any_value(F.struct(*_ANCHOR)).alias("x")
+    ).select("digest", "rep_id", "copies", "x.*")
     return stage(texts.withColumn("text_no", F.monotonically_increasing_id()), "texts")
 
 
@@ -196,27 +211,27 @@ def _digest():
     return F.unhex(F.md5(text_of().cast("binary")))
 
 
-def _contexts(docs: DataFrame, texts: DataFrame, length: int, gram: int, chunk: int) -> DataFrame:
+def _contexts(docs: DataFrame, texts: DataFrame, length: int, chunk: int) -> DataFrame:
     """A row per text, anchor met again and context of it, for every pair of chunks it is in.
 
     ``places`` are where the text has that context: texts that repeat themselves have it often.
     """
-    met = texts.select("text_no", F.explode(F.arrays_zip("hashes", "places")).alias("x")).select("text_no", F.col("x.hashes").alias("anchor"), F.col("x.places").alias("place"))
+    met = texts.select("text_no", F.explode(F.arrays_zip(*_ANCHOR)).alias("x")).select(
+        "text_no", F.col("x.hashes").alias("anchor"), F.col("x.places").alias("place"), F.col("x.lows").alias("low"), F.col("x.highs").alias("high")
+    )
     again = met.groupBy("anchor").agg(F.count(F.lit(1)).alias("times")).where("times > 1")
-    met = met.join(again, "anchor").groupBy("text_no").agg(F.collect_list(F.struct("anchor", "place", "times")).alias("met"))
+    met = met.join(again, "anchor").groupBy("text_no").agg(F.collect_list(F.struct("anchor", "place", "low", "high", "times")).alias("met"))
     wanted = texts.select("text_no", "digest", "rep_id").join(met, "text_no").withColumnRenamed("digest", "rep_digest")
     given = docs.select("doc_id", _digest().alias("digest"), text_of().cast("binary").alias("data"))
     rows = given.join(wanted, F.col("doc_id").eqNullSafe(F.col("rep_id")) & (F.col("digest") == F.col("rep_digest")))
-    reach = length - gram
-
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[list] = [[], [], [], [], [], []]
             for text_no, data, found in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 own: dict[tuple, list[int]] = {}
                 for x in found:
-                    at = x["place"]
-                    own.setdefault((x["anchor"], x["times"], data[max(0, at - reach) : at + length], min(at, reach)), []).append(at)
+                    at, left = x["place"], x["high"]
+                    own.setdefault((x["anchor"], x["times"], data[at - left : at + length - x["low"]], left), []).append(at)
                 for (anchor, times, context, left), places in own.items():
                     for held, value in zip(out, (anchor, times, text_no, sorted(places), left, context), strict=True):
                         held.append(value)
@@ -276,7 +291,7 @@ def repeated_starts(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, chu
     """``digest, rep_id, copies, ranges`` of every distinct text; ranges are of starts of repeated strings."""
     texts = _texts(docs, length, gram)
     keys = ["anchor", "low", "high"]
-    rows = _contexts(docs, texts, length, gram, chunk).repartition(*keys).sortWithinPartitions(*keys)
+    rows = _contexts(docs, texts, length, chunk).repartition(*keys).sortWithinPartitions(*keys)
     found = rows.mapInArrow(_solve(length), "text_no bigint, first bigint, last bigint")
     found = found.groupBy("text_no").agg(F.sort_array(F.collect_list(F.struct("first", "last"))).alias("ranges"))
     return stage(texts.select("text_no", "digest", "copies").join(found, "text_no", "left").drop("text_no"), "repeated")
