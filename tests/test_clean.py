@@ -16,8 +16,8 @@ def pairs(df):
 
 
 @pytest.mark.parametrize("given,want", [
-    ([(0, 1), (1, 0), (1, 1), (0, 0), (2, 3), (3, 2), (3, 2), (2, 3)], [(0, 1), (2, 3)]),
-    ([(0, 0), (0, 1), (1, 0), (2, 1), (2, 0), (0, 2)], [(0, 1), (0, 2), (1, 2)]),
+    ([(7, 3), (5, 2), (7, 7), (2, 5), (5, 2)], [(2, 5), (3, 7)]),
+    ([(8, 4), (4, 4), (6, 8), (4, 6), (8, 6), (8, 4)], [(4, 6), (4, 8), (6, 8)]),
 ])
 def test_canonical_edges(spark, given, want):
     edges = N.canonical_edges(arcs(spark, given))
@@ -26,25 +26,24 @@ def test_canonical_edges(spark, given, want):
 
 
 def test_neighbor_lists_and_counts(spark):
-    edges = frame(spark, {"star4": NAMED["star4"], "tri3": NAMED["tri3"]})
+    edges = frame(spark, {"fork": [(0, 4), (0, 6), (0, 9)], "fan1": NAMED["fan1"]})
     lists = {(r.graph_id, r.s): r.ns for r in N.neighbor_lists(edges).collect()}
-    assert lists["star4", 0] == [1, 2, 3] and lists["tri3", 1] == [0, 2]
-    assert {r.graph_id: r.n for r in N.node_count(edges).collect()} == {"star4": 4, "tri3": 3}
-    nodes = spark.range(6).select(F.lit("star4").alias("graph_id"), F.col("id").alias("s"))
-    assert {r.s: r.k for r in N.node_degrees(nodes, edges).collect()} == {
-        0: 3, 1: 1, 2: 1, 3: 1, 4: 0, 5: 0}
+    assert lists["fork", 0] == [4, 6, 9] and lists["fan1", 1] == [0, 2]
+    assert {r.graph_id: r.n for r in N.node_count(edges).collect()} == {"fork": 10, "fan1": 3}
+    nodes = spark.range(3, 7).select(F.lit("fork").alias("graph_id"), F.col("id").alias("s"))
+    assert {r.s: r.k for r in N.node_degrees(nodes, edges).collect()} == {3: 0, 4: 1, 5: 0, 6: 1}
 
 
 @pytest.mark.parametrize("agg,want", [
-    ("mean", [1.5, 5.5, 3.5]), ("sum", [3, 11, 7]), ("min", [1, 5, 3]), ("max", [2, 6, 4]),
-    ("first", [1, 5, 3]),
+    ("mean", [1.5, 4, 5]), ("sum", [3, 8, 10]), ("min", [1, 3, 4]), ("max", [2, 5, 6]),
+    ("first", [1, 3, 4]),
 ])
 def test_arc_values(spark, agg, want):
-    rows = [(0, 1), (1, 0), (1, 2), (2, 1), (2, 0), (0, 2), (1, 1)]
+    rows = [(3, 5), (5, 3), (9, 3), (5, 9), (3, 9), (9, 5), (5, 5)]
     values = spark.createDataFrame(
         [("g", i, s, d, float(i + 1)) for i, (s, d) in enumerate(rows)],
         "graph_id STRING, pos BIGINT, src BIGINT, dst BIGINT, value DOUBLE")
-    edges = frame(spark, {"g": [(0, 1), (0, 2), (1, 2), (5, 6)]})
+    edges = frame(spark, {"g": [(3, 5), (3, 9), (5, 9), (11, 12)]})
     got = sorted(N.arc_values_to_edges(edges, values, agg).collect())
     assert [r.value for r in got[:3]] == want
     assert math.isnan(got[3].value)
@@ -95,9 +94,9 @@ def test_safe_ratio(spark):
 
 @pytest.mark.parametrize("arcs_per_key", [1, 3, 1 << 16])
 def test_degrees_of_hot_nodes(spark, arcs_per_key):
-    edges = frame(spark, {"star": [(0, i) for i in range(1, 40)] + [(1, 2)], "tri3": NAMED["tri3"]})
+    edges = frame(spark, {"star": [(0, i) for i in range(1, 40)] + [(1, 2)], "fan1": NAMED["fan1"]})
     got = {(r.graph_id, r.u, r.v): (r.deg_u, r.deg_v)
            for r in N.with_degrees(edges, arcs_per_key).collect()}
     assert len(got) == 43
     assert got["star", 0, 1] == (39, 2) and got["star", 0, 9] == (39, 1)
-    assert got["star", 1, 2] == (2, 2) and got["tri3", 0, 2] == (2, 2)
+    assert got["star", 1, 2] == (2, 2) and got["fan1", 0, 2] == (2, 2)

@@ -8,26 +8,6 @@ from edgegeom.columns import REPORT_COLUMNS
 from edgegeom.plans.report import edge_report
 from graphs import NAMED, frame
 
-# du,dv, tri, n_quad, quad_cap, quad_term, bf, or, or0, const, slope, env, or band, bf band
-EXPECTED = {
-    ("path3", 0, 1): (1, 2, 0, 0, 0, 0, 0, 0.5, 0, 0.866667, 0.433333, 0.666667, -0.166667, 0.666667, 0, 1),
-    ("path4", 1, 2): (2, 2, 0, 0, 0, 0, 0, 0, 0, 0.666667, 0.333333, 0.333333, 0, 0.333333, 0, 0),
-    ("cycle4", 0, 1): (2, 2, 0, 2, 2, 1, 1, 0.666667, 0, 0.666667, 0.333333, 0.666667, 0, 0.777778, 0, 2.5),
-    ("tri3", 0, 1): (2, 2, 1, 0, 0, 0, 1.5, 1, 0.5, 0.666667, 0.333333, 1, 0.333333, 1, 1.5, 1.5),
-    ("star4", 0, 1): (3, 1, 0, 0, 0, 0, 0, 0.25, 0, 0.833333, 0.416667, 0.5, -0.25, 0.5, 0, 0.666667),
-    ("star5", 0, 1): (4, 1, 0, 0, 0, 0, 0, 0.1, 0, 0.828571, 0.414286, 0.4, -0.3, 0.4, 0, 0.5),
-    ("grid2x3", 0, 1): (2, 3, 0, 2, 3, 0.666667, 0.333333, 0.25, 0, 0.595238, 0.297619, 0.452381, -0.083333, 0.589286, -0.333333, 1.5),
-    ("grid2x3", 0, 3): (2, 2, 0, 2, 2, 1, 1, 0.666667, 0, 0.666667, 0.333333, 0.666667, 0, 0.777778, 0, 2.5),
-    ("grid2x3", 1, 4): (3, 3, 0, 4, 3, 1.333333, 0.666667, 0.5, 0, 0.5, 0.25, 0.5, 0, 0.75, -0.666667, 2.666667),
-    ("cycle4_tail", 0, 1): (3, 2, 0, 2, 3, 0.666667, 0.333333, 0.25, 0, 0.595238, 0.297619, 0.452381, -0.083333, 0.589286, -0.333333, 1.5),
-    ("cycle4_tail", 1, 2): (2, 2, 0, 2, 2, 1, 1, 0.666667, 0, 0.666667, 0.333333, 0.666667, 0, 0.777778, 0, 2.5),
-    ("cycle4_tail", 0, 4): (3, 1, 0, 0, 0, 0, 0, 0.25, 0, 0.833333, 0.416667, 0.5, -0.25, 0.5, 0, 0.666667),
-    ("cycle6", 0, 1): (2, 2, 0, 0, 0, 0, 0, 0, 0, 0.666667, 0.333333, 0.333333, 0, 0.333333, 0, 0),
-    ("K6", 0, 1): (5, 5, 4, 0, 15, 0, 1.2, 1, 0.8, 0.333333, 0.166667, 1, 0.666667, 1, 1.2, 1.2),
-}
-SHOWN = ["deg_u", "deg_v", "n_tri", "n_quad", "quad_cap", "quad_term", "bf", "or_lazy", "or_plain",
-         "env_const", "env_slope", "env_transport", "or_lo", "or_hi", "bf_lo", "bf_hi"]
-
 
 @pytest.fixture(scope="module")
 def named(spark):
@@ -35,21 +15,26 @@ def named(spark):
     return {(r.graph_id, r.u, r.v): r for r in rows}
 
 
-@pytest.mark.parametrize("key", EXPECTED, ids=lambda k: f"{k[0]}-{k[1]}-{k[2]}")
-def test_named_graphs(named, key):
-    row = named[key].asDict()
-    assert list(row) == REPORT_COLUMNS
-    for name, want in zip(SHOWN, EXPECTED[key]):
-        assert row[name] == pytest.approx(want, abs=1e-6), name
-
+@pytest.mark.parametrize("graph", sorted(NAMED))
+def test_named_graphs(named, graph):
+    for (u, v), want in brute.edge_rows(NAMED[graph]).items():
+        r = named[graph, u, v]
+        assert list(r.asDict()) == REPORT_COLUMNS
+        for name, value in want.items():
+            assert r[name] == pytest.approx(value, abs=1e-9), (u, v, name)
+        small, large = min(r.deg_u, r.deg_v), max(r.deg_u, r.deg_v)
+        quads = r.n_quad / r.quad_cap if r.n_quad else 0
+        forman = 2 / small + 2 / large - 2 + 2 * r.n_tri / large + r.n_tri / small + quads if small > 1 else 0
+        assert (r.quad_term, r.bf) == (pytest.approx(quads), pytest.approx(forman))
+        check_invariants(r)
 
-def test_mean_lazy_values(named):
-    def mean(graph):
-        values = [r.or_lazy for (g, _, _), r in named.items() if g == graph]
-        return sum(values) / len(values)
 
-    assert mean("cycle4") == pytest.approx(2 / 3)
-    assert mean("path4") == pytest.approx(1 / 3)
+def test_values_known_in_closed_form(named):
+    n = 7  # in a clique all mass but one part in n - 1 stays
+    r = named["clique7", 0, 1]
+    assert (r.or_lazy, r.or_plain) == (pytest.approx(1), pytest.approx(1 - 1 / (n - 1)))
+    leaf = named["broom1_6", 1, 2]
+    assert (leaf.bf, leaf.or_plain) == (0, pytest.approx(0))
 
 
 def check_invariants(r, eps=1e-9):

@@ -22,7 +22,7 @@ def test_edge_csv(spark, tmp_path):
 
 
 def test_report_round_trips(spark, tmp_path):
-    report = edge_report(frame(spark, {"a_n1.5": NAMED["grid2x3"], "b": NAMED["K6"]}))
+    report = edge_report(frame(spark, {"a_n1.5": NAMED["prism3"], "b": NAMED["clique7"]}))
     want = sorted(map(tuple, report.collect()))
     S.write_report(report, f"{tmp_path}/parquet")
     S.write_report_csv(report, f"{tmp_path}/csv")
@@ -77,12 +77,12 @@ def test_report_csv_is_tolerant(spark, tmp_path):
 
 
 def test_manifest_forms(spark, tmp_path):
-    _, runs = run_suite(frame(spark, {"tri3": NAMED["tri3"], "K6": NAMED["K6"]}))
+    _, runs = run_suite(frame(spark, {"fan1": NAMED["fan1"], "clique7": NAMED["clique7"]}))
     S.write_manifest(runs, f"{tmp_path}/lines")
     got = {r.tag: r for r in S.read_manifest(spark, f"{tmp_path}/lines").collect()}
-    assert (got["K6"].n, got["K6"].m) == (6, 15)
-    assert abs(got["tri3"].summary["bf"].mean - 1.5) < 1e-12
-    assert got["tri3"].summary["n_tri"]["count"] == 3
+    assert (got["clique7"].n, got["clique7"].m) == (7, 21)
+    assert abs(got["fan1"].summary["bf"].mean - 1.5) < 1e-12
+    assert got["fan1"].summary["n_tri"]["count"] == 3
     document = {"runs": [{"name": "old", "n": 3, "m": 2}, {"n": 1, "m": 0}], "notes": "x"}
     (tmp_path / "doc.json").write_text(json.dumps(document, indent=2))
     tags = {r.tag for r in S.read_manifest_document(spark, f"{tmp_path}/doc.json").collect()}
@@ -90,18 +90,18 @@ def test_manifest_forms(spark, tmp_path):
 
 
 def test_resume_keeps_old_runs(spark):
-    graphs = {"tri_n1.5": NAMED["tri3"], "K6": NAMED["K6"], "path4": NAMED["path4"]}
-    old_report, old_runs = run_suite(frame(spark, {"tri_n1.5": NAMED["tri3"]}))
-    stray = edge_report(frame(spark, {"stray": NAMED["path3"]}))
+    graphs = {"tri_n1.5": NAMED["fan1"], "clique7": NAMED["clique7"], "broom2_2": NAMED["broom2_2"]}
+    old_report, old_runs = run_suite(frame(spark, {"tri_n1.5": NAMED["fan1"]}))
+    stray = edge_report(frame(spark, {"stray": NAMED["theta1"]}))
     fresh, runs = resume_suite(frame(spark, graphs), old_report.unionByName(stray), old_runs)
-    assert {r.graph_id for r in fresh.collect()} == {"K6", "path4"}
+    assert {r.graph_id for r in fresh.collect()} == {"clique7", "broom2_2"}
     got = {r.tag: r for r in runs.collect()}
-    assert set(got) == {"tri_n1.5", "K6", "path4", "stray"}
+    assert set(got) == {"tri_n1.5", "clique7", "broom2_2", "stray"}
     assert got["stray"].summary is None and got["stray"].m == 2
     assert got["tri_n1.5"].summary["bf"].mean == 1.5
 
 
 def test_manifest_takes_given_node_counts(spark):
-    sizes = spark.createDataFrame([("tri3", 9)], "graph_id STRING, n BIGINT")
-    report = edge_report(frame(spark, {"tri3": NAMED["tri3"]}))
+    sizes = spark.createDataFrame([("fan1", 9)], "graph_id STRING, n BIGINT")
+    report = edge_report(frame(spark, {"fan1": NAMED["fan1"]}))
     assert [r.n for r in manifest(report, sizes).collect()] == [9]
