@@ -7,6 +7,7 @@ import json
 import os
 import re
 import sys
+import unicodedata
 from array import array
 
 import numpy as np
@@ -43,6 +44,11 @@ def unit_rule(definition: dict) -> str:
     return "whole"
 
 
+def _stays_letter(c: str) -> bool:
+    """Whether a character is a letter, also after composition and lower case: some become letter and mark."""
+    return c.isalpha() and (c.isascii() or unicodedata.normalize("NFC", c).lower().isalpha())
+
+
 class Encoder:
     """Ids of texts as little-endian unsigned integers of ``width`` bytes."""
 
@@ -78,7 +84,7 @@ class Encoder:
             known.clear()
         fresh = set().union(*divided).difference(known)
         # A mark after a letter is a pre-token of its own: such units are made of two others.
-        ended = [] if self.rule == "whole" else [u for u in fresh if u[-1] in MARKS and u[-2:-1].isalpha()]
+        ended = [] if self.rule == "whole" else [u for u in fresh if u[-1] in MARKS and _stays_letter(u[-2:-1])]
         if ended:
             fresh = fresh.difference(ended).union({u[:-1] for u in ended}.difference(known), {u[-1] for u in ended}.difference(known))
         fresh = list(fresh)

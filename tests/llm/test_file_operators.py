@@ -23,7 +23,7 @@ def library(path, texts):
     return [x.ids for x in own.encode_batch([t or "" for t in texts], add_special_tokens=False)]
 
 
-ODD = ["a\x1cb \x1d c", "a  b\n\n c \t d", "don't we'll 'S", "\xa0x y\x85z", "é É ﬁ İ", "<|endoftext|> <|startoftext|>", " lead", "trail ", "1234 5,6"]
+ODD = ["x.y. é. ﬁ. İ. don't. 'S. \ufb2a. ö: e\u0301. 漢.", "a\x1cb \x1d c", "a  b\n\n c \t d", "don't we'll 'S", "\xa0x y\x85z", "é É ﬁ İ", "<|endoftext|> <|startoftext|>", " lead", "trail ", "1234 5,6"]
 
 
 @pytest.mark.parametrize("path", [WORD, BYTE])
