@@ -36,4 +36,15 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op2_packing, op3_byte_bpe, op4_token_files, op10_warc)}
-SQL: dict[str, str] = {}
+_NIBBLE = "(strpos('0123456789abcdef', substr(h, (i * 5) // 4 + %d, 1)) - 1)"
+OP10_SQL = f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h FROM pages),
+f AS (SELECT h, min(page_id) AS first FROM p GROUP BY h)
+SELECT page_id, octet_length(encode(html))::BIGINT AS payload_bytes,
+  list_aggregate(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    1 + ((({_NIBBLE % 1} * 16 + {_NIBBLE % 2}) >> (3 - (i * 5) % 4)) & 31)::INT, 1)), 'string_agg', '') AS payload_digest,
+  CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> first THEN first END AS refers_to
+FROM p JOIN f USING (h)
+"""
+SQL = {"op10_warc": OP10_SQL}

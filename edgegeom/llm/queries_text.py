@@ -78,5 +78,60 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+_WORDS = ", ".join(f"'{w}'" for w in quality.COMMON)
+_RARE = len(quality.COMMON)
+_OUT = lambda pattern: f"length(regexp_replace(t, '{pattern}', '', 'g'))"
+
+
+def _sql_distance(histogram: str, bins: int) -> str:
+    """Least Jensen-Shannon distance of each document's histogram from a language's."""
+    return f"""
+SELECT r, min(sqrt(greatest(0, js / 2))) AS d FROM (
+  SELECT s.r, l.lang, sum(CASE WHEN s.p > 0 THEN s.p * log2(2 * s.p / (s.p + l.q)) ELSE 0 END
+                        + CASE WHEN l.q > 0 THEN l.q * log2(2 * l.q / (s.p + l.q)) ELSE 0 END) AS js
+  FROM (SELECT g.r, g.bin, coalesce(h.n, 0) / greatest(1, sum(coalesce(h.n, 0)) OVER (PARTITION BY g.r)) AS p
+        FROM (SELECT r, unnest(range({bins})) AS bin FROM d) g LEFT JOIN {histogram} h ON h.r = g.r AND h.bin = g.bin) s
+  JOIN (SELECT b.lang, b.bin, coalesce(x.n, 0) / sum(coalesce(x.n, 0)) OVER (PARTITION BY b.lang) AS q
+        FROM (SELECT lang, unnest(range({bins})) AS bin FROM (SELECT DISTINCT lang FROM long)) b
+        LEFT JOIN (SELECT lang, bin, sum(n)::DOUBLE AS n FROM {histogram} JOIN long USING (r) GROUP BY ALL) x
+          ON x.lang IS NOT DISTINCT FROM b.lang AND x.bin = b.bin) l ON l.bin = s.bin
+  GROUP BY s.r, l.lang) GROUP BY r"""
+
+
+_LINES = r"list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]'))"
+OP9_SQL = rf"""
+WITH d AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, doc_id, lang, coalesce(text, '') AS t FROM documents),
+w AS MATERIALIZED (SELECT r, lang, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws FROM d),
+pos AS MATERIALIZED (SELECT r, unnest(ws) AS word, generate_subscripts(ws, 1) AS i FROM w),
+long AS MATERIALIZED (SELECT r, lang FROM w WHERE len(ws) >= {quality.MIN_WORDS}),
+win AS (
+  SELECT r, i, word, lead(word) OVER (PARTITION BY r ORDER BY i) AS b, lead(word, 2) OVER (PARTITION BY r ORDER BY i) AS c FROM pos),
+twice AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, word, b, c) AS n FROM win WHERE c IS NOT NULL) WHERE n > 1),
+cov AS (SELECT r, count(DISTINCT p) AS covered FROM (SELECT r, unnest([i, i + 1, i + 2]) AS p FROM twice) GROUP BY r),
+common AS (SELECT unnest([{_WORDS}]) AS word, unnest(range({_RARE})) AS bin),
+words AS MATERIALIZED (
+  SELECT r, coalesce(bin, {_RARE}) AS bin, count(*)::DOUBLE AS n
+  FROM pos LEFT JOIN common ON common.word = lower(pos.word) GROUP BY ALL),
+outs AS (
+  SELECT r, length(t) AS n, {_OUT('[^#*$%&|<>]')} AS symbol, {_OUT(r'\p{L}')} AS rest, {_OUT(r'\p{Lu}')} AS small,
+    {_OUT('[^0-9]')} AS digit, {_OUT(r'[^\x20\x09-\x0D]')} AS space, {_OUT('''[^.,;:!?'"()-]'''.replace("'", "''"))} AS marks FROM d),
+classes AS MATERIALIZED (
+  SELECT r, unnest(range({len(quality.CLASSES)})) AS bin, unnest([n - rest - (n - small), n - small, digit, space, marks, symbol,
+    rest - digit - space - marks - symbol])::DOUBLE AS n FROM outs),
+dw AS ({_sql_distance('words', _RARE + 1)}),
+dc AS ({_sql_distance('classes', len(quality.CLASSES))}),
+base AS (
+  SELECT d.r, doc_id, len(ws) AS n_words, n - space AS word_chars, symbol AS n_symbols, n, coalesce(covered, 0) AS n_repeat_words,
+    len({_LINES}) - len(list_distinct({_LINES})) AS n_dup_lines
+  FROM d JOIN w USING (r) JOIN outs USING (r) LEFT JOIN cov USING (r)),
+failed AS (SELECT *, n_words < {quality.MIN_WORDS} OR 100 * n_repeat_words > {quality.MAX_REPEATED} * n_words AS base_failed FROM base)
+SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols,
+  n_dup_lines::BIGINT AS n_dup_lines, n_repeat_words::BIGINT AS n_repeat_words, base_failed,
+  NOT base_failed AND (n < {quality.MIN_CHARS_CLASSES} OR coalesce(dc.d, 0) <= {quality.MAX_CLASS_DISTANCE})
+  AND (n_words < {quality.MIN_WORDS_COMMON} OR coalesce(dw.d, 0) <= {quality.MAX_WORD_DISTANCE}) AS kept
+FROM failed LEFT JOIN dc USING (r) LEFT JOIN dw USING (r)
+"""
+
 QUERIES = {f.__name__: f for f in (op5_chat_formatting, op7_document_fingerprints, op8_language_id, op9_quality_rules)}
-SQL = {"op5_chat_formatting": OP5_SQL}
+SQL = {"op5_chat_formatting": OP5_SQL, "op9_quality_rules": OP9_SQL}
