@@ -19,13 +19,14 @@ from edgegeom.staging import stage
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a letter, and not farther from every language than its texts are."""
-    labelled = language.predict(docs, language.fit(docs))
-    return labelled.where("not rejected").select(*docs.columns)
+    own = {c: f"own {c}" for c in docs.columns if c in language.RESULTS.fieldNames()}
+    labelled = language.predict(docs.withColumnsRenamed(own), language.fit(docs))
+    return labelled.where("not rejected").select(*[F.col(f"`{own.get(c, c)}`").alias(c) for c in docs.columns])
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and lie near some language's histograms."""
-    return quality.judge(docs).where("kept").select(*docs.columns)
+    return quality.keep_good(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,11 +36,12 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the strings that start more than once; ``n_chars`` follows the text."""
-    cut = suffix_dedup.remove_repeats(docs, characters=True)
+    own = {c: f"own {c}" for c in docs.columns if c in suffix_dedup.RESULTS}
+    cut = suffix_dedup.remove_repeats(docs.withColumnsRenamed(own), characters=True)
     text = F.when(F.col("n_removed") > 0, F.decode("kept", F.lit("UTF-8"))).otherwise(F.col("text"))
     n_chars = F.when(F.col("n_removed") > 0, F.length(text).cast("bigint")).otherwise(F.col("n_chars"))
     changed = {"text": text, "n_chars": n_chars}
-    return cut.select(*[changed[c].alias(c) if c in changed else F.col(f"`{c}`") for c in docs.columns])
+    return cut.select(*[changed[c].alias(c) if c in changed else F.col(f"`{own.get(c, c)}`").alias(c) for c in docs.columns])
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

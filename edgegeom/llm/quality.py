@@ -48,6 +48,7 @@ CLASSES = ("letter", "capital", "digit", "space", "punctuation", "symbol", "othe
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 #: A document has fewer word positions than this; a power of two.
 POSITIONS = 1 << 24
+RESULTS = (*BASE, "class_distance", "word_distance", "base_failed", "kept")
 #: Names of working columns; a table's own columns never have them.
 W = "__quality_"
 
@@ -189,3 +190,16 @@ def judge(docs: DataFrame, known: list[tuple[list[float], list[float]]] | None =
     near = (F.col("class_distance") <= MAX_CLASS_DISTANCE) & (F.col("word_distance") <= MAX_WORD_DISTANCE)
     out = out.withColumn("kept", ~F.col("base_failed") & near)
     return out.drop(*[c for c in out.columns if c.startswith(W)])
+
+
+def keep_good(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that :func:`judge` keeps.
+
+    The optimizer would push a filter on ``kept`` below all the steps that lead to it, and so copy
+    each step into every one that uses it. A row number, which it may not move, holds the filter in place.
+    """
+    own = [c for c in docs.columns if c in RESULTS]
+    held = docs.withColumnsRenamed({c: f"own {c}" for c in own})
+    judged = judge(held).withColumn(f"{W}row", F.monotonically_increasing_id())
+    good = judged.where(F.col("kept") & (F.col(f"{W}row") >= 0))
+    return good.select(*[F.col(f"`own {c}`").alias(c) if c in own else F.col(f"`{c}`") for c in docs.columns])

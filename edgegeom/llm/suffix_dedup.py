@@ -41,6 +41,7 @@ from .streams import sorted_groups
 from .suffix_order import suffix_order
 
 LENGTH, GRAM = 400, 128
+RESULTS = ("kept", "n_bytes", "n_removed", "n_spans")
 #: Contexts of an anchor in one chunk.
 CHUNK = 4096
 #: Odd base of the rolling hash, and random values of the 256 bytes.
@@ -327,7 +328,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, chun
     With ``characters`` a character that is removed in part goes as a whole, so ``kept`` is UTF-8 again.
     """
     found = repeated_starts(docs, length, gram, chunk)
-    results = ["kept", "n_bytes", "n_removed", "n_spans"]
+    results = list(RESULTS)
     rows = docs.drop(*results)
     # Digests are joined per row number of ids and digests, narrow rows, so that copies spread over tasks.
     which = docs.select(F.col("doc_id").alias("__id"), _digest().alias("__digest")).distinct()

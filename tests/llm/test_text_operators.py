@@ -11,7 +11,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from edgegeom.llm import chat, fingerprints, language, quality, queries_text
+from edgegeom.llm import catalog, chat, fingerprints, language, quality, queries_text
 from tests.llm.conftest import prose
 
 
@@ -71,13 +71,16 @@ def test_records_of_mixed_layouts(spark):
     assert all(rows[i].turns == [] for i in range(3, 6))
 
 
-def test_chat_query_equals_sql(spark):
+@pytest.mark.parametrize("name", sorted(catalog.SQL))
+def test_queries_equal_their_sql(spark, name):
     folder = "/root/testdata/sf0.001"
     con = duckdb.connect()
-    con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{folder}/conversations.parquet'")
-    want = con.sql(queries_text.OP5_SQL).df().sort_values("conv_id").reset_index(drop=True)
-    got = queries_text.op5_chat_formatting(spark, folder).toPandas().sort_values("conv_id").reset_index(drop=True)
-    assert got[want.columns].equals(want.astype(got[want.columns].dtypes))
+    for table in ("conversations", "documents", "pages"):
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{folder}/{table}.parquet'")
+    found = con.sql(catalog.SQL[name])
+    order = sorted(found.columns)
+    want = sorted((tuple(r) for r in con.sql(f"SELECT {', '.join(order)} FROM ({catalog.SQL[name]})").fetchall()), key=repr)
+    assert sorted((tuple(r) for r in catalog.QUERIES[name](spark, folder).select(order).collect()), key=repr) == want
 
 
 def weighted_jaccard(a, b):
