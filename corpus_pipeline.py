@@ -38,7 +38,7 @@ def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """Texts without the strings that start more than once; ``n_chars`` follows the text."""
     own = {c: f"own {c}" for c in docs.columns if c in suffix_dedup.RESULTS}
     cut = suffix_dedup.remove_repeats(docs.withColumnsRenamed(own), characters=True)
-    text = F.when(F.col("n_removed") > 0, F.decode("kept", F.lit("UTF-8"))).otherwise(F.col("text"))
+    text = F.when(F.col("n_removed") > 0, F.decode("kept", "UTF-8")).otherwise(F.col("text"))
     n_chars = F.when(F.col("n_removed") > 0, F.length(text).cast("bigint")).otherwise(F.col("n_chars"))
     changed = {"text": text, "n_chars": n_chars}
     return cut.select(*[changed[c].alias(c) if c in changed else F.col(f"`{own.get(c, c)}`").alias(c) for c in docs.columns])
