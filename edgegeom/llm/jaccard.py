@@ -13,8 +13,9 @@
 
 Defined results: a text without a word (null, empty) is linked to nothing and is its own class; a text
 of fewer words than a shingle has is one shingle; repeated rows are copies, also of the same doc_id; a
-null doc_id is a document like another, and is a class's id only if all its ids are null; other columns
-are not read; an empty table gives no rows.
+null doc_id is a document like another, and is a class's id only if all its ids are null; classes of
+equal least ids share the ``class_id`` and differ in ``root``; other columns are not read; an empty
+table gives no rows.
 """
 
 from __future__ import annotations
@@ -191,9 +192,10 @@ def _blocks(docs: DataFrame, classes: DataFrame, parts: DataFrame, width: int, c
 
 
 def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, width: int = WIDTH, chunk: int = CHUNK) -> DataFrame:
-    """One row per document: ``doc_id, class_id, n_copies, n_links, text_hash``.
+    """One row per document: ``doc_id, class_id, n_copies, n_links, text_hash, root``.
 
-    ``class_id`` is the least doc_id of the documents that links connect; ``n_links`` is the number of
+    ``class_id`` is the least doc_id of the documents that links connect, and only their label; ``root``
+    is a number of these documents alone, null for a text without a word. ``n_links`` is the number of
     other documents of at least the threshold, ``n_copies`` that of documents of the same shingle set.
     """
     signed = stage(signatures(docs, threshold, width), "signatures")
@@ -214,7 +216,7 @@ def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, width: int = WID
     named = named.withColumn("root", F.coalesce("root", "node"))
     first = named.groupBy("root").agg(F.min("least_id").alias("class_id"))
     named = named.join(first, "root").select(
-        "digest", "class_id", F.col("copies").alias("n_copies"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")
+        "digest", "class_id", "root", F.col("copies").alias("n_copies"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")
     )
     alone = F.col("n_copies").isNull()
     return signed.join(named, "digest", "left").select(
@@ -223,13 +225,14 @@ def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, width: int = WID
         F.coalesce("n_copies", F.lit(1).cast("bigint")).alias("n_copies"),
         F.coalesce("n_links", F.lit(0).cast("bigint")).alias("n_links"),
         "text_hash",
+        "root",
     )
 
 
 def keep_one(docs: DataFrame, threshold: float = THRESHOLD, width: int = WIDTH) -> DataFrame:
     """``docs`` with one document of each class: that of the least doc_id, of its rows the least text hash."""
     found = jaccard_join(docs, threshold, width)
-    kept = found.groupBy("class_id", F.when(F.col("n_links") == 0, F.struct("doc_id", "text_hash")).alias("own")).agg(F.min(F.struct("doc_id", "text_hash")).alias("first"))
+    kept = found.groupBy("root", F.when(F.col("root").isNull(), F.struct("doc_id", "text_hash")).alias("own")).agg(F.min(F.struct("doc_id", "text_hash")).alias("first"))
     kept = kept.select(F.col("first.doc_id").alias("__kept_id"), F.col("first.text_hash").alias("__kept_hash"))
     same = docs["doc_id"].eqNullSafe(kept["__kept_id"]) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == kept["__kept_hash"])
     once = docs.join(kept, same, "left_semi")

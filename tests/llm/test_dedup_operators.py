@@ -72,6 +72,17 @@ def test_one_of_each_class_stays(spark, docs, no_docs):
     assert jaccard.keep_one(no_docs).count() == 0 and jaccard.jaccard_join(no_docs).count() == 0
 
 
+def test_classes_of_one_least_id_stay_apart(spark):
+    rng = random.Random(13)
+    rows = []
+    for ids in [(None, None), (None, None), (7, 50), (7, 51), (8, 8), (8, 8)]:
+        text = prose(rng, 150)
+        rows += [(ids[0], text), (ids[1], f"{text} omega")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    kept = [r.text.removesuffix(" omega") for r in jaccard.keep_one(df).collect()]
+    assert sorted(kept) == sorted(t for _, t in rows[::2])
+
+
 def test_bands_reach_the_wanted_recall():
     bands, rows = jaccard.choose_bands(0.8, 0.9999, 128)
     assert bands * rows <= 128 and 1 - (1 - 0.8**rows) ** bands >= 0.9999
