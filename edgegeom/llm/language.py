@@ -102,7 +102,10 @@ def _cluster(rows: np.ndarray, clusters: int) -> tuple[np.ndarray, np.ndarray]:
 def fit(train: DataFrame, text: str = "text", lang: str = "lang") -> Model:
     """A model of the texts with a language; reads no other column."""
     train = train.select(F.col(text).alias("text"), F.col(lang).alias("lang")).where("text is not null and lang is not null")
-    sizes = dict(train.groupBy("lang").count().limit(SAMPLE_ROWS + 1).collect())
+    place = (F.xxhash64("text").bitwiseAND(F.lit((1 << 30) - 1)) / F.lit(float(1 << 30))).alias("at")
+    hashes = train.select("lang", place).groupBy("lang", "at").agg(F.count(F.lit(1)).alias("n"))
+    made = hashes.groupBy("lang").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("texts"), F.min("at").alias("least")).limit(SAMPLE_ROWS + 1).collect()
+    sizes = {r.lang: r.n for r in made}
     if not sizes:
         return Model((), np.zeros((0, DIMENSIONS), np.float32), np.zeros(0), np.ones(DIMENSIONS))
     if len(sizes) > SAMPLE_ROWS:
@@ -114,10 +117,10 @@ def fit(train: DataFrame, text: str = "text", lang: str = "lang") -> Model:
     for at, df in found:
         idf[at] = np.log((1 + n) / (1 + df)) + 1e-3
     each = max(1, min(SAMPLE_PER_LANGUAGE, SAMPLE_ROWS // len(sizes)))
-    # A hash threshold leaves a few times the wanted texts of each language; the smallest hashes of these are taken.
-    share = F.create_map(*[F.lit(x) for k, c in sizes.items() for x in (k, float(min(1.0, 4 * each / c)))])
-    at = (F.xxhash64("text").bitwiseAND(F.lit((1 << 30) - 1)) / F.lit(float(1 << 30))).alias("at")
-    picked = train.select("lang", "text", at).where(F.col("at") < F.element_at(share, F.col("lang")))
+    # A hash threshold leaves a few times the wanted texts of each language, and its least hash in any case; copies
+    # have one hash, so the share is of distinct hashes. The smallest hashes of these are taken.
+    share = F.create_map(*[F.lit(x) for r in made for x in (r.lang, max(r.least, min(1.0, (4 * each + 60) / r.texts)))])
+    picked = train.select("lang", "text", place).where(F.col("at") <= F.element_at(share, F.col("lang")))
     picked = picked.groupBy("lang", "at").agg(F.min("text").alias("text"))
     order = Window.partitionBy("lang").orderBy("at")
     picked = picked.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= each)

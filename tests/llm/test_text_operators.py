@@ -182,3 +182,14 @@ def test_language_of_awkward_texts(spark, docs, no_docs):
     assert (none.lang_pred, none.score, none.rejected) == ("und", 0.0, False)
     far = spark.createDataFrame([("漢字" * 100,)], "text string")
     assert language.predict(far, language.fit(docs.where("length(text) < 3000 and doc_id > 20"))).first().rejected
+
+
+def test_language_of_copies_is_learned(spark):
+    texts = spark.range(5).select(F.concat(F.lit("palabra número "), F.translate(F.col("id").cast("string"), "0123456789", "abcdefghij")).alias("text"))
+    copies = spark.range(20_000).join(texts).select("text", F.lit("es").alias("lang"))
+    other = spark.createDataFrame([(f"the word {'qrst'[i]} of it", "en") for i in range(4)], "text string, lang string")
+    few = language.fit(texts.withColumn("lang", F.lit("es")).union(other))
+    many = language.fit(copies.union(other))
+    assert many.languages == few.languages and set(many.languages) == {"en", "es"}
+    assert sum(x == "es" for x in many.languages) == 4
+    assert {r.lang_pred for r in language.predict(texts, many).collect()} == {"es"}
