@@ -14,10 +14,12 @@ at another place of the same. The work is exact and split as follows.
    suffixes of these sequences compare as the byte strings do, and a few symbols stand for some 540 bytes.
    The suffix order of all sequences (``suffix_order``) puts beside each suffix the one it shares most
    with: their common bytes say from which offset on a string occurs twice.
-4. The start ranges found are gathered per text and cut out.
+4. The start ranges found are merged, first in the task, then by parts of ``SPAN`` starts of a text, and
+   only then gathered per text and cut out.
 
-An anchor met more than ``CHUNK`` times is dealt over chunks; every pair of chunks is a task, so no
-task holds more than two chunks, and no pair of occurrences is missed.
+Of an anchor met more than ``CHUNK`` times equal contexts are counted first: all strings of those met
+again go, and each context is one from here on. The different ones are dealt over chunks; every pair of
+chunks is a task, so no task holds more than two chunks, and no pair of contexts is missed.
 
 Defined results: a null text is empty; shorter texts stay whole; repeated rows are copies; strings
 are judged on the input, not on what is left; other columns are kept and those named as the results
@@ -26,7 +28,7 @@ replaced; an empty table gives no rows.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import accumulate
 
 import numpy as np
@@ -44,6 +46,8 @@ LENGTH, GRAM = 400, 128
 RESULTS = ("kept", "n_bytes", "n_removed", "n_spans")
 #: Contexts of an anchor in one chunk.
 CHUNK = 4096
+#: Starts of one text that are merged together.
+SPAN = 1 << 16
 #: Odd base of the rolling hash, and random values of the 256 bytes.
 BASE = 0x9E3779B97F4A7C15
 _BYTES = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(BASE))
@@ -212,60 +216,79 @@ def _digest():
     return F.unhex(F.md5(text_of().cast("binary")))
 
 
-def _contexts(docs: DataFrame, texts: DataFrame, length: int, chunk: int) -> DataFrame:
+def _contexts(docs: DataFrame, texts: DataFrame, length: int, chunk: int) -> tuple[DataFrame, DataFrame | None]:
     """A row per text, anchor met again and context of it, for every pair of chunks it is in.
 
-    ``places`` are where the text has that context: texts that repeat themselves have it often.
+    ``places`` are where the text has that context: texts that repeat themselves have it often. The
+    second table has the places of contexts met again of anchors met more than ``chunk`` times; in the
+    first, such a context is one row without places.
     """
     met = texts.select("text_no", F.explode(F.arrays_zip(*_ANCHOR)).alias("x")).select(
         "text_no", F.col("x.hashes").alias("anchor"), F.col("x.places").alias("place"), F.col("x.lows").alias("low"), F.col("x.highs").alias("high")
     )
     again = met.groupBy("anchor").agg(F.count(F.lit(1)).alias("times")).where("times > 1")
-    met = met.join(again, "anchor").groupBy("text_no").agg(F.collect_list(F.struct("anchor", "place", "low", "high", "times")).alias("met"))
+    met = stage(met.join(again, "anchor"), "met")
+    often = F.col("times") > chunk
+    few = _cut(docs, texts, met.where(~often), length).select(
+        "anchor", F.lit(0).alias("chunk"), F.lit(0).alias("low"), F.lit(0).alias("high"), "text_no", "places", "left", "context"
+    )
+    if met.where(often).isEmpty():
+        return few, None
+    many = _cut(docs, texts, met.where(often), length).withColumn("key", F.unhex(F.md5("context")))
+    many = stage(many, "contexts")
+    same = ["anchor", "left", "key"]
+    counted = many.groupBy(*same).agg(
+        F.sum(F.size("places")).alias("n"), F.min(F.struct("text_no", F.get("places", F.lit(0)).alias("place"))).alias("one"), F.min("context").alias("context")
+    )
+    counted = stage(counted, "counted")
+    twice = many.select(*same, "text_no", "places", F.length("context").alias("size"))
+    twice = twice.join(counted.where("n > 1").select(*same), same).select("text_no", "places", "left", "size")
+    sizes = counted.groupBy("anchor").agg(F.count(F.lit(1)).alias("contexts"))
+    chunks = F.ceil(F.col("contexts") / chunk).cast("int")
+    # A context met again is only held against others here; its own ranges are those of ``twice``.
+    own = F.when(F.col("n") == 1, F.array("one.place")).otherwise(F.array().cast("array<int>"))
+    rows = counted.join(sizes, "anchor").select(
+        "anchor", F.col("one.text_no").alias("text_no"), own.alias("places"), "left", "context",
+        F.pmod(F.xxhash64("left", "key"), chunks).cast("int").alias("chunk"), F.explode(F.sequence(F.lit(0), chunks - 1)).alias("other"),
+    ).select("anchor", "chunk", F.least("chunk", "other").alias("low"), F.greatest("chunk", "other").alias("high"), "text_no", "places", "left", "context")
+    return few.union(rows), twice
+
+
+def _cut(docs: DataFrame, texts: DataFrame, met: DataFrame, length: int) -> DataFrame:
+    """A row per text, anchor and context of ``met``."""
+    met = met.groupBy("text_no").agg(F.collect_list(F.struct("anchor", "place", "low", "high")).alias("met"))
     wanted = texts.select("text_no", "digest", "rep_id").join(met, "text_no").withColumnRenamed("digest", "rep_digest")
     given = docs.select("doc_id", _digest().alias("digest"), text_of().cast("binary").alias("data"))
     rows = given.join(wanted, F.col("doc_id").eqNullSafe(F.col("rep_id")) & (F.col("digest") == F.col("rep_digest")))
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[list] = [[], [], [], [], [], []]
+            out: list[list] = [[], [], [], [], []]
             for text_no, data, found in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 own: dict[tuple, list[int]] = {}
                 for x in found:
                     at, left = x["place"], x["high"]
-                    own.setdefault((x["anchor"], x["times"], data[at - left : at + length - x["low"]], left), []).append(at)
-                for (anchor, times, context, left), places in own.items():
-                    for held, value in zip(out, (anchor, times, text_no, sorted(places), left, context), strict=True):
+                    own.setdefault((x["anchor"], data[at - left : at + length - x["low"]], left), []).append(at)
+                for (anchor, context, left), places in own.items():
+                    for held, value in zip(out, (anchor, text_no, sorted(places), left, context), strict=True):
                         held.append(value)
                 if len(out[0]) > 4096:
                     yield _batch(out)
-                    out = [[], [], [], [], [], []]
+                    out = [[], [], [], [], []]
             if out[0]:
                 yield _batch(out)
 
-    rows = rows.select("text_no", "data", "met").mapInArrow(cut, "anchor bigint, times bigint, text_no bigint, places array<int>, left int, context binary")
-    chunks = F.ceil(F.col("times") / chunk).cast("int")
-    own = F.pmod(F.xxhash64("text_no", F.get("places", F.lit(0))), chunks).cast("int")
-    rows = rows.select("anchor", "text_no", "places", "left", "context", own.alias("chunk"), F.explode(F.sequence(F.lit(0), chunks - 1)).alias("other"))
-    return rows.select("anchor", F.least("chunk", "other").alias("low"), F.greatest("chunk", "other").alias("high"), "text_no", "places", "left", "context")
+    return rows.select("text_no", "data", "met").mapInArrow(cut, "anchor bigint, text_no bigint, places array<int>, left int, context binary")
 
 
 def _batch(out: list[list]) -> pa.RecordBatch:
-    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.int32(), pa.binary())
-    return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds, strict=True)], ["anchor", "times", "text_no", "places", "left", "context"])
+    kinds = (pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.int32(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds, strict=True)], ["anchor", "text_no", "places", "left", "context"])
 
 
 def _solve(length: int):
     """Ranges of starts of repeated strings, for every occurrence of an anchor in a group."""
     def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        numbers, starts = [], []
-
-        def made() -> pa.RecordBatch:
-            flat = pa.array([x for pair in starts for x in pair], pa.int64())
-            out = pa.RecordBatch.from_arrays([pa.array(numbers, pa.int64()), flat[0::2], flat[1::2]], ["text_no", "first", "last"])
-            numbers.clear()
-            starts.clear()
-            return out
-
+        rows: list[tuple[int, int, int]] = []
         for group in sorted_groups(batches, ["anchor", "low", "high"]):
             # Rows of one place are the same occurrence; equal contexts are solved once.
             places: dict[tuple[bytes, int], set[tuple[int, int]]] = {}
@@ -273,27 +296,80 @@ def _solve(length: int):
                 places.setdefault((r["context"], r["left"]), set()).update((r["text_no"], at) for at in r["places"])
             contexts = [(c[:n], c[n:]) for c, n in places]
             found = repeated_offsets(contexts, length) if len(contexts) > 1 else [[]]
+            ranges_of: dict[int, list[tuple[int, int]]] = {}
             for (a, b), occurrences, ranges in zip(contexts, places.values(), found, strict=True):
                 if len(occurrences) > 1:
                     low = max(0, length - len(b))
                     ranges = [(low, len(a))] if low <= len(a) else []
                 for text_no, place in occurrences:
-                    for low, high in ranges:
-                        numbers.append(text_no)
-                        starts.append((place - high, place - low))
-            if len(numbers) > 10_000:
-                yield made()
-        yield made()
+                    ranges_of.setdefault(text_no, []).extend((place - high, place - low) for low, high in ranges)
+            for text_no, own in ranges_of.items():
+                rows += ((text_no, *x) for x in merged(own))
+            if len(rows) > 10_000:
+                yield _ranges(rows)
+                rows.clear()
+        yield _ranges(rows)
 
     return solve
 
 
+def merged(ranges: Iterable[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Ranges of integers, both ends included, as the fewest that cover the same."""
+    out: list[tuple[int, int]] = []
+    for low, high in sorted(ranges):
+        if out and low <= out[-1][1] + 1:
+            out[-1] = (out[-1][0], max(out[-1][1], high))
+        else:
+            out.append((low, high))
+    return out
+
+
+def _ranges(rows: list[tuple[int, int, int]]) -> pa.RecordBatch:
+    made = [pa.array([r[i] for r in rows], pa.int64()) for i in range(3)]
+    return pa.RecordBatch.from_arrays(made, ["text_no", "first", "last"])
+
+
+def _whole(length: int):
+    """Ranges of all strings with the anchor, for contexts met again."""
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for text_no, places, left, size in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                low = max(0, length - (size - left))
+                if low <= left:
+                    yield _ranges([(text_no, *x) for x in merged((at - left, at - low) for at in places)])
+
+    return whole
+
+
+def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Merges rows sorted by text, part of the text and first start; only the last range is held."""
+    last: tuple | None = None
+    for batch in batches:
+        rows = []
+        for text_no, part, low, high in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+            if last and last[:2] == (text_no, part) and low <= last[3] + 1:
+                last = (*last[:3], max(last[3], high))
+            else:
+                if last:
+                    rows.append((last[0], *last[2:]))
+                last = (text_no, part, low, high)
+        yield _ranges(rows)
+    if last:
+        yield _ranges([(last[0], *last[2:])])
+
+
 def repeated_starts(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, chunk: int = CHUNK) -> DataFrame:
     """``digest, rep_id, copies, ranges`` of every distinct text; ranges are of starts of repeated strings."""
     texts = _texts(docs, length, gram)
     keys = ["anchor", "low", "high"]
-    rows = _contexts(docs, texts, length, chunk).repartition(*keys).sortWithinPartitions(*keys)
-    found = rows.mapInArrow(_solve(length), "text_no bigint, first bigint, last bigint")
+    rows, twice = _contexts(docs, texts, length, chunk)
+    schema = "text_no bigint, first bigint, last bigint"
+    found = rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_solve(length), schema)
+    if twice is not None:
+        found = found.union(twice.mapInArrow(_whole(length), schema))
+    # A long range stays in the part of its first start; what reaches into the next is merged when it is cut out.
+    parts = found.select("text_no", F.floor(F.col("first") / SPAN).alias("part"), "first", "last")
+    found = parts.repartition("text_no", "part").sortWithinPartitions("text_no", "part", "first").mapInArrow(_merge, schema)
     found = found.groupBy("text_no").agg(F.sort_array(F.collect_list(F.struct("first", "last"))).alias("ranges"))
     return stage(texts.select("text_no", "digest", "copies").join(found, "text_no", "left").drop("text_no"), "repeated")
 

@@ -133,6 +133,18 @@ def test_repeats_equal_brute_force(spark, docs, length, gram, chunk):
     assert sorted(((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in got.collect()), key=repr) == brute_repeats(rows, length)
 
 
+def test_hot_anchors_stay_linear(spark):
+    run = "z" * 3000
+    df = spark.createDataFrame([(1, run + "end"), (2, "start" + run)], "doc_id bigint, text string")
+    texts = suffix_dedup._texts(df, 40, 13)
+    rows, twice = suffix_dedup._contexts(df, texts, 40, 64)
+    assert rows.agg(F.sum(F.size("places"))).first()[0] < 500 and twice is not None
+    found = suffix_dedup.repeated_starts(df, 40, 13, 64).collect()
+    assert all(len(r.ranges) <= 2 for r in found)
+    got = suffix_dedup.remove_repeats(df, 40, 13, 64).collect()
+    assert sorted((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in got) == brute_repeats([(r.doc_id, r.text) for r in got], 40)
+
+
 def test_cut_characters_go_whole():
     assert suffix_dedup.whole_characters("aéb".encode(), (2, 3)) == (1, 3)
     assert suffix_dedup.whole_characters("aéb".encode(), (0, 2)) == (0, 3)
