@@ -46,7 +46,7 @@ COMMON = (
 COMMON = tuple(dict.fromkeys(COMMON))
 CLASSES = ("letter", "capital", "digit", "space", "punctuation", "symbol", "other")
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-#: A document has fewer word positions than this; a power of two.
+#: Up to so many windows are sorted as longs, more as structs; a power of two.
 POSITIONS = 1 << 24
 RESULTS = (*BASE, "class_distance", "word_distance", "base_failed", "kept")
 #: Names of working columns; a table's own columns never have them.
@@ -164,12 +164,20 @@ def judge(docs: DataFrame, known: list[tuple[list[float], list[float]]] | None =
     hashes = F.col(f"{W}hashes")
     placed = F.sort_array(F.transform(hashes, lambda h, i: h.bitwiseAND(F.lit(-POSITIONS)).bitwiseOR(i.cast("bigint"))))
     some = F.size(F.array_distinct(hashes)) < F.size(hashes)
-    out = out.withColumn(f"{W}windows", F.when(some, placed).otherwise(F.array().cast("array<bigint>")))
+    fits = F.size(hashes) <= POSITIONS
+    pairs = F.sort_array(F.transform(hashes, lambda h, i: F.struct(h.alias("hash"), i.alias("at"))))
+    out = out.withColumns({
+        f"{W}windows": F.when(some & fits, placed).otherwise(F.array().cast("array<bigint>")),
+        f"{W}pairs": F.when(some & ~fits, pairs).otherwise(F.array().cast("array<struct<hash:bigint,at:int>>")),
+    })
     windows = F.col(f"{W}windows")
     position = lambda e: e.bitwiseAND(F.lit(POSITIONS - 1)).cast("int")
     same = lambda e, i: F.coalesce(F.get(hashes, position(e)) == F.get(hashes, position(F.get(windows, i))), F.lit(False))
     twice = F.filter(windows, lambda e, i: same(e, i - 1) | same(e, i + 1))
-    out = out.withColumn(f"{W}starts", F.transform(twice, position))
+    pairs = F.col(f"{W}pairs")
+    equal = lambda e, i: F.coalesce(e["hash"] == F.get(pairs, i)["hash"], F.lit(False))
+    beyond = F.filter(pairs, lambda e, i: equal(e, i - 1) | equal(e, i + 1))
+    out = out.withColumn(f"{W}starts", F.concat(F.transform(twice, position), F.transform(beyond, lambda e: e["at"])))
     starts = F.col(f"{W}starts")
     covered = F.array_distinct(F.concat(starts, F.transform(starts, lambda i: i + 1), F.transform(starts, lambda i: i + 2)))
     out = out.withColumns({

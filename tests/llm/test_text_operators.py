@@ -158,6 +158,12 @@ def test_quality_counts_and_verdict(spark, docs):
         assert r.kept == (not r.base_failed and r.class_distance <= quality.MAX_CLASS_DISTANCE and r.word_distance <= quality.MAX_WORD_DISTANCE)
 
 
+def test_quality_counts_beyond_the_packed_positions(docs, monkeypatch):
+    monkeypatch.setattr(quality, "POSITIONS", 16)
+    for r in quality.judge(docs).select("text", "n_repeat_words").collect():
+        assert r.n_repeat_words == brute_counts(r.text)[-1]
+
+
 def test_quality_of_an_empty_table(no_docs):
     assert quality.references(no_docs) == [] and quality.judge(no_docs).count() == 0
 
