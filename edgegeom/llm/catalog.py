@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from . import queries_dedup, queries_files, queries_text
+from . import queries_dedup, queries_files, queries_text, queries_trie
 
-QUERIES = {**queries_dedup.QUERIES, **queries_files.QUERIES, **queries_text.QUERIES}
-SQL = {**queries_dedup.SQL, **queries_files.SQL, **queries_text.SQL}
+_MODULES = (queries_dedup, queries_files, queries_text, queries_trie)
+QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
+SQL = {name: sql for module in _MODULES for name, sql in module.SQL.items()}
