@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import lexical
+from . import factorisation, lexical
 from .common import table
 
 #: Documents returned for an item.
@@ -33,5 +34,12 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_
 SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM ranked WHERE rank <= {TOP}
 """
 
-QUERIES = {f.__name__: f for f in (op11_ranked_lexical_search,)}
+def op12_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "n_chars")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))
+    model = factorisation.fit(docs.where(~held_out), table(spark, sf_dir, "labels"))
+    return factorisation.predict(docs.withColumn("held_out", held_out), model).select("doc_id", "held_out", "score", "predicted")
+
+
+QUERIES = {f.__name__: f for f in (op11_ranked_lexical_search, op12_quality_classifier)}
 SQL = {"op11_ranked_lexical_search": OP11_SQL}
