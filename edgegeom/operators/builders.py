@@ -103,11 +103,10 @@ def bernoulli_ranges(ranges: DataFrame, seed: int, max_id: int) -> DataFrame:
         return uniform(seed, F.col(GRAPH), F.col("a"), F.col("lo"), F.lit(level), F.col("at"))
 
     # ``at`` counts from ``lo``, so a short range passes the wide levels without a draw. Rows grow
-    # from here on without another shuffle, so they are spread over all cores first.
-    cores = ranges.sparkSession.sparkContext.defaultParallelism
+    # from here on without another shuffle, so they are spread first.
     blocks = (
         ranges.filter((F.col("p") > 0) & (F.col("hi") > F.col("lo")))
-        .repartition(cores, GRAPH, "a", "lo")
+        .repartition(GRAPH, "a", "lo")
         .withColumn("size", F.col("hi") - F.col("lo"))
         .withColumn("at", F.lit(0).cast("long"))
         .filter(draw(levels) < F.lit(1.0) - empty(F.col("size")))
@@ -334,11 +333,10 @@ def soft_hyperbolic_edges(
         .withColumn("sector", F.least(sector_of - 1, F.floor(F.col("theta") / (F.lit(turn) / sector_of))))
     )
     in_sector = Window.partitionBy(GRAPH, "ring", "sector").orderBy("id")
-    cores = points.sparkSession.sparkContext.defaultParallelism
     placed = stage(
         placed.withColumn("slot", F.row_number().over(in_sector) - 1)
         .select(GRAPH, "id", "theta", "c", "s", "ring", "sector", "slot")
-        .repartition(cores, GRAPH, "id"),
+        .repartition(GRAPH, "id"),
         "hyperbolic",
     )
     # One row per ring comes to the driver: the slots each ring needs per sector.

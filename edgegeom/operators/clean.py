@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..columns import EDGE_KEY, GRAPH
@@ -108,14 +110,13 @@ def with_degrees(edges: DataFrame, arcs_per_key: int = ARCS_PER_KEY) -> DataFram
 
 
 def prepare(edges: DataFrame) -> DataFrame:
-    """Edges with degrees, written once and spread evenly over the cores.
+    """Edges with degrees, written once and spread evenly.
 
     Every later step starts from this table. Rows are spread by the whole edge key, so the edges
     of a hub lie in all partitions; later steps expand rows, so small partitions pay off.
     """
-    cores = edges.sparkSession.sparkContext.defaultParallelism
     edges = stage(edges.select(*EDGE_KEY), "edges")
-    return stage(with_degrees(edges).repartition(cores, *EDGE_KEY), "degreed")
+    return stage(with_degrees(edges).repartition(*EDGE_KEY), "degreed")
 
 
 def arc_values_to_edges(edges: DataFrame, arc_values: DataFrame, agg: str = "mean") -> DataFrame:
@@ -148,34 +149,59 @@ def edgewise(edges: DataFrame, x: float | DataFrame, name: str) -> DataFrame:
     return edges.withColumn(name, F.lit(float(x)))
 
 
+#: Sources that share one word of a frontier row.
+WORD = 64
+
+
+def _word(node: Column) -> list[Column]:
+    """The block of a source and its bit in the block's words."""
+    bit = node.bitwiseAND(F.lit(WORD - 1)).cast("int")
+    return [F.shiftright(node, 6).alias("block"), F.call_function("shiftleft", F.lit(1).cast("long"), bit).alias("mask")]
+
+
+def bit_frontiers(edges: DataFrame, sources: DataFrame, max_depth: int) -> list[DataFrame]:
+    """Per depth from 0 on ``(graph_id, block, node, mask)``: which sources of a block first reach a node there.
+
+    A row stands for up to ``WORD`` sources with neighbouring ids: their walks are one walk whose words are
+    combined by ``bit_or`` before and after the shuffle. A node at depth d touches nodes of depths d - 1, d and
+    d + 1 only, so a round is cleared of the last two depths and of nothing older. Each depth is written once.
+    """
+    key = [GRAPH, "block", "node"]
+    first = sources.select(GRAPH, F.col("source").alias("node"), *_word(F.col("source")))
+    levels = [first.groupBy(*key).agg(F.bit_or("mask").alias("mask"))]
+    arcs = adjacency(edges).withColumnRenamed("s", "node")
+    for _ in range(max_depth):
+        levels[-1] = stage(levels[-1], "frontier")
+        reached = levels[-1].join(arcs, [GRAPH, "node"]).groupBy(GRAPH, "block", F.col("d").alias("node")).agg(F.bit_or("mask").alias("mask"))
+        for old in levels[-2:]:
+            reached = reached.join(old.withColumnRenamed("mask", "old"), key, "left").select(
+                *key, F.col("mask").bitwiseAND(F.bitwise_not(F.coalesce("old", F.lit(0).cast("long")))).alias("mask"))
+        levels.append(reached.filter("mask <> 0"))
+    return levels
+
+
+def _sources_of(levels: list[DataFrame]) -> DataFrame:
+    """``(graph_id, source, node, dist)`` of all bits."""
+    bits = F.filter(F.sequence(F.lit(0), F.lit(WORD - 1)), lambda b: F.getbit("mask", b) == 1)
+    rows = [x.select(GRAPH, "block", F.explode(bits).alias("bit"), "node", F.lit(depth).alias("dist")) for depth, x in enumerate(levels)]
+    return reduce(DataFrame.unionByName, rows).select(GRAPH, (F.col("block") * WORD + F.col("bit")).alias("source"), "node", "dist")
+
+
 def bounded_distances(
     edges: DataFrame, sources: DataFrame, max_depth: int = 3, targets: DataFrame | None = None
 ) -> DataFrame:
     """Hop counts ``(graph_id, source, node, dist)`` up to ``max_depth`` from each source.
 
     The source itself has distance 0 and nodes out of reach are absent; ``max_depth <= 0`` gives
-    no rows. ``sources`` is ``(graph_id, source)``; ``targets`` is ``(graph_id, source, node)``.
+    no rows. ``sources`` is ``(graph_id, source)``; with ``targets``, ``(graph_id, source, node)``, only
+    these pairs are returned, and none is searched from one end alone.
     """
-    key = [GRAPH, "source", "node"]
-    seen = sources.distinct().select(
-        GRAPH, "source", F.col("source").alias("node"), F.lit(0).alias("dist")
-    )
     if max_depth <= 0:
-        return seen.limit(0)
-    arcs = adjacency(edges).withColumnRenamed("s", "node")
-    frontier = seen
-    for depth in range(1, max_depth + 1):
-        frontier = (
-            frontier.join(arcs, [GRAPH, "node"])
-            .select(GRAPH, "source", F.col("d").alias("node"))
-            .distinct()
-            .join(seen.select(*key), key, "left_anti")
-            .withColumn("dist", F.lit(depth))
-        )
-        seen = seen.unionByName(frontier)
-    if targets is not None:
-        seen = seen.join(targets.select(*key), key, "left_semi")
-    return seen
+        return _sources_of(bit_frontiers(edges, sources.distinct(), 0)).limit(0)
+    if targets is None:
+        return _sources_of(bit_frontiers(edges, sources.distinct(), max_depth))
+    wanted = targets.join(sources.distinct(), [GRAPH, "source"], "left_semi")
+    return set_distances(edges, wanted.select(GRAPH, "source", "node").distinct(), max_depth, -1).filter("dist >= 0")
 
 
 def set_distances(
@@ -184,11 +210,33 @@ def set_distances(
     max_depth: int = 3,
     default_far: int = 10,
 ) -> DataFrame:
-    """Distance of every wanted pair ``(graph_id, source, node)``; ``default_far`` beyond reach."""
-    near = bounded_distances(edges, pairs.select(GRAPH, "source"), max_depth, pairs)
-    return pairs.join(near, [GRAPH, "source", "node"], "left").withColumn(
-        "dist", F.coalesce("dist", F.lit(default_far))
-    )
+    """Distance of every wanted pair ``(graph_id, source, node)``; ``default_far`` beyond reach.
+
+    The two ends meet in the middle. Balls of half the depth, rounded down, are spread around the end of
+    smaller degree and joined to the pairs; balls of the other half stay packed, 64 centers a word, around
+    the other end. A pair looks up its bit there for every node of its near ball, so no ball of the full
+    depth is built and nothing is reached that no pair asks for.
+    """
+    key = [GRAPH, "source", "node"]
+    if max_depth <= 0:
+        return pairs.withColumn("dist", F.lit(default_far))
+    deg = degrees(edges)
+    ends = pairs.select(*key).distinct()
+    for end in ("source", "node"):
+        ends = ends.join(deg.select(GRAPH, F.col("s").alias(end), F.col("k").alias(f"k_{end}")), [GRAPH, end], "left")
+    swap = F.coalesce("k_source", F.lit(0)) < F.coalesce("k_node", F.lit(0))
+    ends = stage(ends.select(
+        *key, F.when(swap, F.col("node")).otherwise(F.col("source")).alias("far"), F.when(swap, F.col("source")).otherwise(F.col("node")).alias("near")), "pairs")
+    short = max_depth // 2
+    near = _sources_of(bit_frontiers(edges, ends.select(GRAPH, F.col("near").alias("source")).distinct(), short))
+    levels = bit_frontiers(edges, ends.select(GRAPH, F.col("far").alias("source")).distinct(), max_depth - short)
+    far = reduce(DataFrame.unionByName, [x.withColumn("step", F.lit(depth)) for depth, x in enumerate(levels)])
+    block, mask = _word(F.col("far"))
+    asked = ends.join(near.select(GRAPH, F.col("source").alias("near"), F.col("node").alias("middle"), F.col("dist").alias("walked")), [GRAPH, "near"])
+    asked = asked.select(*key, "middle", "walked", block, mask.alias("bit"))
+    met = asked.join(far.withColumnRenamed("node", "middle"), [GRAPH, "block", "middle"]).filter(F.col("mask").bitwiseAND(F.col("bit")) != 0)
+    found = met.groupBy(*key).agg(F.min(F.col("walked") + F.col("step")).alias("dist"))
+    return pairs.join(found, key, "left").withColumn("dist", F.coalesce("dist", F.lit(default_far)))
 
 
 def safe_ratio(num: Column, den: Column) -> Column:

@@ -3,6 +3,9 @@
 Nodes are ranked by ``(degree, id)``. A triangle is found from its lowest node and a 4-cycle from
 its highest one, each exactly once. The intermediate wedges number at most the sum of the smaller
 degree over all edges, so a hub never expands its own neighbour list.
+
+4-cycles are listed by :func:`quads` only. Their counts per edge come from codegrees, without any
+cycle: see :func:`quad_counts`.
 """
 
 from __future__ import annotations
@@ -10,9 +13,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..columns import EDGE_KEY, GRAPH
+from ..staging import stage
 from .clean import ARCS_PER_KEY
 
 
+#: Neighbours, or edges, of one node that a key takes.
+TILE = 1024
+#: Nodes above this degree are heavy: they are never turned into a neighbour array.
+HEAVY_DEGREE = 512
+
+
+def has_heavy(degreed: DataFrame, heavy_degree: int = HEAVY_DEGREE) -> bool:
+    """Whether any node lies above ``heavy_degree``."""
+    return degreed.filter(F.greatest("deg_u", "deg_v") > heavy_degree).limit(1).count() > 0
+
+
 def _below(deg_a, a, deg_b, b) -> Column:
     deg_a, a, deg_b, b = (F.col(c) for c in (deg_a, a, deg_b, b))
     return (deg_a < deg_b) | ((deg_a == deg_b) & (a < b))
@@ -22,6 +37,32 @@ def _shares(degree: str) -> Column:
     return (F.floor(F.col(degree) / ARCS_PER_KEY) + 1).cast("int")
 
 
+def short_lists(degreed: DataFrame, heavy_degree: int = HEAVY_DEGREE) -> DataFrame:
+    """Sorted neighbour arrays of the nodes with degree up to ``heavy_degree`` only."""
+    return (
+        arcs_with_degree(degreed)
+        .filter(F.col("deg_s") <= heavy_degree)
+        .groupBy(GRAPH, "s")
+        .agg(F.sort_array(F.collect_list("d")).alias("ns"))
+    )
+
+
+def light_wedges(degreed: DataFrame, heavy_degree: int = HEAVY_DEGREE) -> DataFrame:
+    """``(graph_id, c, p, q)``: pairs p < q of neighbours of each node c of small degree.
+
+    A node of degree k adds k(k-1)/2 rows, so there are at most ``heavy_degree`` times the edges.
+    """
+    lists = short_lists(degreed, heavy_degree).filter(F.size("ns") > 1)
+    return lists.select(GRAPH, F.col("s").alias("c"), "ns", F.posexplode("ns").alias("at", "p")).select(
+        GRAPH, "c", "p", F.explode(F.expr("slice(ns, at + 2, size(ns))")).alias("q"))
+
+
+def arcs_to_heavy(degreed: DataFrame, heavy_degree: int = HEAVY_DEGREE) -> DataFrame:
+    """``(graph_id, node, hub)``: every node next to a heavy one."""
+    return arcs_with_degree(degreed).filter(F.col("deg_d") > heavy_degree).select(
+        GRAPH, F.col("s").alias("node"), F.col("d").alias("hub"))
+
+
 def upward_arcs(degreed: DataFrame) -> DataFrame:
     """Each edge once, from its lower-ranked end ``lo`` to its higher-ranked end ``hi``."""
     u_first = _below("deg_u", "u", "deg_v", "v")
@@ -130,41 +171,189 @@ def quads(degreed: DataFrame) -> DataFrame:
     return four_cycles(degreed).select(GRAPH, F.inline(F.array(*rows)))
 
 
-def quad_counts(degreed: DataFrame) -> DataFrame:
+def corners(degreed: DataFrame) -> DataFrame:
+    """Every triangle from each of its nodes: ``(graph_id, c, p, q)``, p < q."""
+    views = F.array(*[
+        F.struct(F.col(c).alias("c"), F.least(a, b).alias("p"), F.greatest(a, b).alias("q"))
+        for c, a, b in (("x", "y", "z"), ("y", "x", "z"), ("z", "x", "y"))
+    ])
+    return triangles(degreed).select(GRAPH, F.inline(views))
+
+
+def _chords(corner: DataFrame, heavy: DataFrame | None) -> DataFrame:
+    """``(graph_id, c, p, q, closed, common)``: whether p and q touch, and how many nodes touch all three.
+
+    Both come from triangles at c. A node counted for a heavy c is a light one, so the triangles
+    met on one edge number at most the smaller degree of its ends.
+    """
+    half = corner.select(GRAPH, "c", F.inline(F.array(
+        F.struct(F.col("p").alias("x"), F.col("q").alias("o")), F.struct(F.col("q").alias("x"), F.col("p").alias("o")))))
+    if heavy is not None:
+        ends = heavy.select(GRAPH, F.col("node").alias("c")), heavy.select(GRAPH, F.col("node").alias("x"))
+        both = half.join(ends[0], [GRAPH, "c"], "left_semi").join(ends[1], [GRAPH, "x"], "left_semi")
+        half = half.join(both.select(GRAPH, "c", "x").distinct(), [GRAPH, "c", "x"], "left_anti")
+    left, right = half.withColumnRenamed("o", "p"), half.withColumnRenamed("o", "q")
+    common = left.join(right, [GRAPH, "c", "x"]).filter(F.col("p") < F.col("q")).select(
+        GRAPH, "c", "p", "q", F.lit(0).alias("closed"), F.lit(1).alias("common"))
+    closed = corner.select(GRAPH, "c", "p", "q", F.lit(1).alias("closed"), F.lit(0).alias("common"))
+    return closed.unionByName(common).groupBy(GRAPH, "c", "p", "q").agg(
+        F.max("closed").alias("closed"), F.sum("common").alias("common"))
+
+
+def _seen_from(a: str, b: str, through: Column, is_open: Column) -> Column:
+    """What one further node adds to the edge of ``a`` and ``b``."""
+    return F.struct(*_edge_of(a, b), through.cast("long").alias("through"), is_open.cast("long").alias("open"))
+
+
+def quad_counts(degreed: DataFrame, heavy_degree: int = HEAVY_DEGREE) -> DataFrame:
     """``(graph_id, u, v, n_quad, codeg_max)`` for edges that lie on a 4-cycle.
 
     ``n_quad`` counts nodes of either exclusive neighbourhood that touch the other one;
     ``codeg_max`` is the largest number of 4-cycles through the edge and one further node.
-    Two stacked aggregates do it: per (edge, node), then per edge.
+
+    Neither needs the cycles. For an edge (c, p) and a further neighbour q of c, the cycles through
+    them are the other common neighbours of p and q: their codegree less one. One of these has no
+    chord if p and q do not touch and not all of them touch c, which the triangles at c count. So the
+    wedges at c meet the codegrees of their ends once.
+
+    Wedges are made at light nodes only. Common neighbours that are heavy are counted from the set of
+    heavy neighbours that every node carries, and what a heavy c adds depends on that set alone but
+    for corrections found at light nodes. Nodes of equal sets are one class, so two hubs that share
+    many neighbours cost a row for each of these, not for each pair of them. What remains grows with the
+    pairs of different sets of heavy neighbours that have two hubs in common.
     """
-    sides = F.array(
-        F.struct(F.lit(0).alias("side"), F.col("k").alias("node")),
-        F.struct(F.lit(1).alias("side"), F.col("w").alias("node")),
-    )
-    per_node = (
-        quads(degreed)
-        .select(*EDGE_KEY, "excl", F.inline(sides))
-        .groupBy(*EDGE_KEY, "side", "node")
-        .agg(F.count("*").alias("through"), F.max(F.col("excl").cast("int")).alias("open"))
+    wedges = light_wedges(degreed, heavy_degree)
+    shared = wedges.groupBy(GRAPH, "p", "q").agg(F.count("*").alias("shared"))
+    heavy = arcs_to_heavy(degreed, heavy_degree) if has_heavy(degreed, heavy_degree) else None
+    corner = corners(degreed)
+    if heavy is None:
+        met = shared.filter("shared > 1").withColumnRenamed("shared", "codegree")
+        chords = _chords(corner, None)
+    else:
+        hubs = stage(heavy.groupBy(GRAPH, "node").agg(F.sort_array(F.collect_list("hub")).alias("hubs")), "hubs")
+        corner = stage(corner, "corners")
+        chords = stage(_chords(corner, heavy.select(GRAPH, F.col("hub").alias("node")).distinct()), "chords")
+        met = stage(_with_hubs(_with_hubs(shared, hubs, "p"), hubs, "q").withColumn(
+            "via", F.array_intersect("hubs_p", "hubs_q")).withColumn("codegree", F.col("shared") + F.size("via")), "met")
+    key = [GRAPH, "c", "p", "q"]
+    others = F.col("codegree") - 1
+    is_open = (F.coalesce("closed", F.lit(0)) == 0) & (others > F.coalesce("common", F.lit(0)))
+    seen = (
+        wedges.join(met.filter("codegree > 1").select(GRAPH, "p", "q", "codegree"), [GRAPH, "p", "q"])
+        .join(chords, key, "left")
+        .select(GRAPH, F.inline(F.array(_seen_from("c", "p", others, is_open), _seen_from("c", "q", others, is_open))))
     )
-    return per_node.groupBy(*EDGE_KEY).agg(
-        F.sum("open").cast("long").alias("n_quad"), F.max("through").alias("codeg_max")
+    if heavy is not None:
+        seen = seen.unionByName(_seen_at_heavy(met, chords, hubs)).unionByName(
+            _seen_by_class(heavy, hubs)).unionByName(_seen_twice(corner, hubs))
+    return seen.groupBy(*EDGE_KEY).agg(
+        F.sum("open").alias("n_quad"), F.max("through").alias("codeg_max")
+    ).filter("codeg_max > 0")
+
+
+def _with_hubs(rows: DataFrame, hubs: DataFrame, node: str) -> DataFrame:
+    """Adds ``hubs_<node>``, empty for a node without heavy neighbours."""
+    named = hubs.select(GRAPH, F.col("node").alias(node), F.col("hubs").alias(f"hubs_{node}"))
+    return rows.join(named, [GRAPH, node], "left").withColumn(
+        f"hubs_{node}", F.coalesce(f"hubs_{node}", F.array().cast("array<bigint>")))
+
+
+def _beyond(hubs: str, center: str) -> Column:
+    """Heavy neighbours in ``hubs`` that are not the heavy center and do not touch it."""
+    return F.array_except(F.array_except(hubs, f"hubs_{center}"), F.array(center))
+
+
+def _seen_at_heavy(met: DataFrame, chords: DataFrame, hubs: DataFrame) -> DataFrame:
+    """What pairs that meet at light nodes add to their edges at a heavy c.
+
+    A node is open here if a light node closes a cycle without chord and no heavy one does, as the
+    latter is counted by classes.
+    """
+    rows = met.filter(F.size("via") > 0).select(GRAPH, "p", "q", "shared", "codegree", "hubs_p", "hubs_q", F.explode("via").alias("c"))
+    rows = _with_hubs(rows, hubs, "c").join(chords, [GRAPH, "c", "p", "q"], "left")
+    light = (F.coalesce("closed", F.lit(0)) == 0) & (F.col("shared") > F.coalesce("common", F.lit(0)))
+    others = F.col("codegree") - 1
+    return rows.select(GRAPH, F.inline(F.array(
+        _seen_from("c", "p", others, light & ~F.arrays_overlap("hubs_q", _beyond("hubs_p", "c"))),
+        _seen_from("c", "q", others, light & ~F.arrays_overlap("hubs_p", _beyond("hubs_q", "c"))),
+    )))
+
+
+def _seen_by_class(heavy: DataFrame, hubs: DataFrame) -> DataFrame:
+    """What the classes of nodes with equal heavy neighbours add to the edges of each heavy c.
+
+    For a heavy c and a class of its neighbours, every other class that shares a second hub is met
+    once: it adds its size if one of the shared hubs is beyond c, and its overlap to the largest.
+    """
+    classes = stage(hubs.groupBy(GRAPH, "hubs").agg(F.count("*").alias("size")).withColumn("class", F.monotonically_increasing_id()), "classes")
+    around = classes.select(GRAPH, "class", "hubs", "size", F.explode("hubs").alias("c"))
+    pairs = around.select(GRAPH, "class", "hubs", "size", "c", F.explode("hubs").alias("w")).filter("c <> w")
+    mine = pairs.select(GRAPH, "c", "w", F.col("class").alias("own"))
+    meetings = mine.join(pairs.select(GRAPH, "c", "w", F.col("class").alias("other")), [GRAPH, "c", "w"]).select(GRAPH, "c", "own", "other").distinct()
+    named = classes.select(GRAPH, "class", "hubs", "size")
+    rows = meetings.join(named.withColumnsRenamed({"class": "own", "hubs": "hubs_own", "size": "n_own"}), [GRAPH, "own"])
+    rows = rows.join(named.withColumnsRenamed({"class": "other", "hubs": "hubs_other", "size": "n_other"}), [GRAPH, "other"])
+    rows = _with_hubs(rows, hubs, "c")
+    closes = F.arrays_overlap("hubs_other", _beyond("hubs_own", "c"))
+    alone = (F.col("own") == F.col("other")) & (F.col("n_own") == 1)
+    added = rows.groupBy(GRAPH, "c", "own").agg(
+        # The node itself is in its own class.
+        F.sum(F.when(closes, F.col("n_other") - (F.col("own") == F.col("other")).cast("long")).otherwise(0)).alias("open"),
+        F.max(F.when(alone, 0).otherwise(F.size(F.array_intersect("hubs_own", "hubs_other")) - 1)).alias("through"),
     )
+    members = hubs.join(classes.select(GRAPH, "hubs", F.col("class").alias("own")), [GRAPH, "hubs"]).select(GRAPH, "node", "own")
+    arcs = heavy.withColumnRenamed("hub", "c").join(members, [GRAPH, "node"])
+    return arcs.join(added, [GRAPH, "c", "own"]).select(GRAPH, *_edge_of("c", "node"), F.col("through").cast("long").alias("through"), F.col("open").cast("long").alias("open"))
 
 
-def exclusive_neighbors(degreed: DataFrame) -> DataFrame:
+def _seen_twice(corner: DataFrame, hubs: DataFrame) -> DataFrame:
+    """Takes back common neighbours of an edge at a heavy c that the classes have counted."""
+    centers = hubs.select(GRAPH, F.explode("hubs").alias("c")).distinct()
+    rows = corner.join(centers, [GRAPH, "c"], "left_semi")
+    for node in ("c", "p", "q"):
+        rows = _with_hubs(rows, hubs, node)
+    none = F.lit(0)
+    return rows.select(GRAPH, F.inline(F.array(
+        _seen_from("c", "p", none, -F.arrays_overlap("hubs_q", _beyond("hubs_p", "c")).cast("long")),
+        _seen_from("c", "q", none, -F.arrays_overlap("hubs_p", _beyond("hubs_q", "c")).cast("long")),
+    )))
+
+
+def tiles(degree: str, tile: int) -> Column:
+    return (F.floor(F.col(degree) / tile) + 1).cast("int")
+
+
+def all_of(count: Column) -> Column:
+    """A row for each number below ``count``."""
+    return F.explode(F.sequence(F.lit(0), count - 1))
+
+
+def edge_neighbors(degreed: DataFrame, end: str, tile: int = TILE) -> DataFrame:
+    """``(graph_id, u, v, deg_u, deg_v, node)``: neighbours of one end of each edge.
+
+    A node of many edges meets its arcs in tiles: both are dealt over parts of its degree and every part
+    of the one meets every part of the other under a key of its own.
+    """
+    parts = tiles(f"deg_{end}", tile)
+    mine = degreed.select(*EDGE_KEY, "deg_u", "deg_v").withColumn("edge_part", F.pmod(F.xxhash64("u", "v"), parts).cast("int")).withColumn("arc_part", all_of(parts))
+    arcs = arcs_with_degree(degreed).select(
+        GRAPH, F.col("s").alias(end), F.col("d").alias("node"),
+        F.pmod(F.xxhash64("d"), tiles("deg_s", tile)).cast("int").alias("arc_part"), all_of(tiles("deg_s", tile)).alias("edge_part"))
+    return mine.join(arcs, [GRAPH, end, "edge_part", "arc_part"]).select(*EDGE_KEY, "deg_u", "deg_v", "node")
+
+
+def exclusive_neighbors(degreed: DataFrame, tile: int = TILE) -> DataFrame:
     """``(graph_id, u, v, side, node)``: neighbours of one end only, the other end excluded.
 
-    ``side`` is ``"u"`` or ``"v"``. Rows number the sum of both degrees over all edges.
+    ``side`` is ``"u"`` or ``"v"``. Rows number the sum of both degrees over all edges; those of a hub's
+    edges are made by many tasks.
     """
     arcs = arcs_with_degree(degreed).select(GRAPH, "s", "d")
-    edge = degreed.select(*EDGE_KEY)
 
     def one_side(near: str, far: str) -> DataFrame:
-        around = arcs.select(GRAPH, F.col("s").alias(near), F.col("d").alias("node"))
         other = arcs.select(GRAPH, F.col("s").alias(far), F.col("d").alias("node"))
         return (
-            edge.join(around, [GRAPH, near])
+            edge_neighbors(degreed, near, tile)
             .filter(F.col("node") != F.col(far))
             .join(other, [GRAPH, far, "node"], "left_anti")
             .select(*EDGE_KEY, F.lit(near).alias("side"), "node")
@@ -173,12 +362,12 @@ def exclusive_neighbors(degreed: DataFrame) -> DataFrame:
     return one_side("u", "v").unionByName(one_side("v", "u"))
 
 
-def local_structure(degreed: DataFrame) -> DataFrame:
+def local_structure(degreed: DataFrame, heavy_degree: int = HEAVY_DEGREE) -> DataFrame:
     """Degrees, triangles, ``n_quad``, ``codeg_max`` and ``quad_cap`` of every edge."""
     zero = F.lit(0).cast("long")
     return (
         degreed.join(triangles_per_edge(degreed), EDGE_KEY, "left")
-        .join(quad_counts(degreed), EDGE_KEY, "left")
+        .join(quad_counts(degreed, heavy_degree), EDGE_KEY, "left")
         .select(
             *EDGE_KEY, "deg_u", "deg_v",
             F.coalesce("n_tri", zero).alias("n_tri"),

@@ -51,6 +51,46 @@ def summarize_distribution(values: DataFrame, group: list[str], value: str = "va
     return moments.join(points, group, "left").select(*group, *STATISTICS)
 
 
+#: Size of a quantile sketch.
+SKETCH_K = 800
+MOMENTS = ["count", "mean", "m2", "min", "max"]
+
+
+def sketch_rank_error(k: int = SKETCH_K) -> float:
+    """Largest error of a rank, as a share of all rows, that 99 in 100 sketches keep (fixed values of the sketch)."""
+    return 2.296 / k**0.9723
+
+
+def sketch_metrics(values: DataFrame, group: list[str], value: str = "value", k: int = SKETCH_K) -> DataFrame:
+    """``(group.., count, mean, m2, min, max, sketch)``: exact moments and a quantile sketch of bounded size.
+
+    Rows are stored with a run's manifest; those of several graphs merge without their edges.
+    """
+    x = F.col(value)
+    return values.groupBy(*group).agg(
+        F.count(x).alias("count"), F.avg(x).alias("mean"), (F.var_pop(x) * F.count(x)).alias("m2"), F.min(x).alias("min"), F.max(x).alias("max"),
+        F.kll_sketch_agg_double(x, F.lit(k)).alias("sketch"),
+    )
+
+
+def merge_sketches(sketches: DataFrame, group: list[str], k: int = SKETCH_K) -> DataFrame:
+    """Sketches of larger groups from those of their parts; ``group`` names the columns that stay."""
+    n, mean = F.col("count"), F.col("mean")
+    total = F.sum(n)
+    # Squares about the parts' means, and of these about the whole mean by one pass over few rows a group.
+    return sketches.groupBy(*group).agg(
+        total.alias("count"), (F.sum(n * mean) / total).alias("mean"),
+        (F.sum("m2") + F.greatest(F.lit(0.0), F.sum(n * mean * mean) - F.sum(n * mean) * F.sum(n * mean) / total)).alias("m2"),
+        F.min("min").alias("min"), F.max("max").alias("max"), F.kll_merge_agg_double("sketch", F.lit(k)).alias("sketch"),
+    )
+
+
+def summarize_sketches(sketches: DataFrame, group: list[str]) -> DataFrame:
+    """The columns of ``summarize_distribution``, quantiles within :func:`sketch_rank_error` of their rank."""
+    points = [F.kll_sketch_get_quantile_double("sketch", F.lit(p)).alias(name) for name, p in SUMMARY_QUANTILES.items()]
+    return sketches.select(*group, "count", "mean", F.sqrt(F.col("m2") / F.col("count")).alias("std"), "min", "max", *points).select(*group, *STATISTICS)
+
+
 def _share(condition: Column) -> Column:
     return F.avg(condition.cast("double"))
 

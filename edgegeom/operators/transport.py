@@ -18,10 +18,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from ..columns import EDGE_KEY, GRAPH
 from .clean import adjacency
 from .flow import best_savings
-from .local import arcs_with_degree
-
-#: Nodes above this degree are never turned into a neighbour array.
-HEAVY_DEGREE = 512
+from .local import HEAVY_DEGREE, arcs_to_heavy, arcs_with_degree, has_heavy, light_wedges, short_lists
 
 SAVED = T.StructType([T.StructField("lazy", T.LongType()), T.StructField("plain", T.LongType())])
 
@@ -38,45 +35,19 @@ def by_degree(degreed: DataFrame) -> DataFrame:
     )
 
 
-def short_lists(degreed: DataFrame, heavy_degree: int = HEAVY_DEGREE) -> DataFrame:
-    """Sorted neighbour arrays of the nodes with degree up to ``heavy_degree`` only."""
-    return (
-        arcs_with_degree(degreed)
-        .filter(F.col("deg_s") <= heavy_degree)
-        .groupBy(GRAPH, "s")
-        .agg(F.sort_array(F.collect_list("d")).alias("ns"))
-    )
-
-
 def near_pairs(degreed: DataFrame, heavy_degree: int = HEAVY_DEGREE) -> DataFrame:
     """Pairs ``(graph_id, p, q, dist)``, p < q, at distance 1, or 2 through a node of small degree.
 
     A middle node of degree k adds k(k-1)/2 pairs; nodes above ``heavy_degree`` are left out, so
     the table stays within ``heavy_degree`` times the number of edges.
     """
-    lists = short_lists(degreed, heavy_degree).filter(F.size("ns") > 1)
-    wedges = (
-        lists.select(GRAPH, "ns", F.posexplode("ns").alias("at", "p"))
-        .select(GRAPH, "p", F.explode(F.expr("slice(ns, at + 2, size(ns))")).alias("q"))
-        .withColumn("dist", F.lit(2))
-    )
+    wedges = light_wedges(degreed, heavy_degree).select(GRAPH, "p", "q", F.lit(2).alias("dist"))
     adjacent = degreed.select(
         GRAPH, F.col("u").alias("p"), F.col("v").alias("q"), F.lit(1).alias("dist")
     )
     return adjacent.unionByName(wedges).groupBy(GRAPH, "p", "q").agg(F.min("dist").alias("dist"))
 
 
-def has_heavy(degreed: DataFrame, heavy_degree: int = HEAVY_DEGREE) -> bool:
-    """Whether any node lies above ``heavy_degree``."""
-    return degreed.filter(F.greatest("deg_u", "deg_v") > heavy_degree).limit(1).count() > 0
-
-
-def arcs_to_heavy(degreed: DataFrame, heavy_degree: int = HEAVY_DEGREE) -> DataFrame:
-    """``(graph_id, node, hub)``: every node next to a heavy one."""
-    return arcs_with_degree(degreed).filter(F.col("deg_d") > heavy_degree).select(
-        GRAPH, F.col("s").alias("node"), F.col("d").alias("hub"))
-
-
 def _light_cells(edges: DataFrame, near: DataFrame, lists: DataFrame) -> DataFrame:
     """Near cells of edges whose ends both have small degree, from their neighbour arrays."""
     with_lists = edges.join(

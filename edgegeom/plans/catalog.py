@@ -14,8 +14,11 @@ from ..operators.curvature import curvature_table, forman_table
 from ..sources import reports as S
 from ..sources.co_order import co_order_edges
 from ..sources.edge_csv import read_edge_csv
+from ..sources.edge_list import load_edges
 from ..staging import stage, staging_path
 from . import report as A, suite as R
+from .changes import update_report
+from .store import GraphStore
 
 SEED = 11
 
@@ -25,7 +28,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def co_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Parts bought together, one graph."""
+    """Parts bought together: one graph of all order lines."""
     return co_order_edges(table(spark, sf_dir, "lineitem"))
 
 
@@ -36,10 +39,28 @@ def by_flag(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def prepared(spark: SparkSession, sf_dir: str) -> DataFrame:
+def by_lot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts bought together in like quantities, one graph per return flag and ten pieces."""
+    return _lots(table(spark, sf_dir, "lineitem"))
+
+
+def _lots(lines: DataFrame) -> DataFrame:
+    lot = F.ceil(F.col("l_quantity") / 10).cast("string")
+    return co_order_edges(lines, graph_id=F.concat(F.lit("flag_"), F.col("l_returnflag"), F.lit("_"), lot))
+
+
+def prepared_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return N.prepare(co_order(spark, sf_dir))
 
 
+def prepared_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return N.prepare(by_flag(spark, sf_dir))
+
+
+def prepared(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return N.prepare(by_lot(spark, sf_dir))
+
+
 def rounded(df: DataFrame) -> DataFrame:
     """Doubles cut to six digits, without negative zeros.
 
@@ -76,8 +97,8 @@ def parts_as_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---- sources and sinks
 
 
-def scan_edge_csv(spark, sf_dir):
-    """Order lines written as messy text lines, read back as edges."""
+def _messy_edge_lines(spark, sf_dir) -> str:
+    """Order lines written as messy text lines."""
     lines = table(spark, sf_dir, "lineitem").select(
         F.when(F.col("l_linenumber") == 7, F.concat(F.lit(" # "), F.col("l_partkey"), F.lit(",1")))
         .when(F.col("l_linenumber") == 6, F.col("l_partkey").cast("string"))
@@ -89,7 +110,17 @@ def scan_edge_csv(spark, sf_dir):
     )
     path = staging_path(spark, "edge-csv")
     lines.write.text(path)
-    return read_edge_csv(spark, path).select("u", "v").distinct()
+    return path
+
+
+def scan_edge_csv(spark, sf_dir):
+    return read_edge_csv(spark, _messy_edge_lines(spark, sf_dir)).select("u", "v").distinct()
+
+
+def load_edge_list(spark, sf_dir):
+    """The same lines by the data source, each file cut into ranges; a missing file is skipped."""
+    path = _messy_edge_lines(spark, sf_dir)
+    return load_edges(spark, [path, f"{path}-absent"], 1 << 16).select("u", "v").distinct()
 
 
 def node_count(spark, sf_dir):
@@ -102,7 +133,7 @@ def pairs_to_arcs(spark, sf_dir):
 
 def _written_report(spark, sf_dir) -> str:
     path = staging_path(spark, "reports")
-    S.write_report(A.edge_report(by_flag(spark, sf_dir)), path)
+    S.write_report(A.edge_report(by_lot(spark, sf_dir)), path)
     return path
 
 
@@ -130,6 +161,24 @@ def graph_sizes(spark, sf_dir):
     return S.graph_sizes(S.read_csv_text(spark, path))
 
 
+def stored_sizes(spark, sf_dir):
+    """Sizes of stored graphs from file footers."""
+    path = staging_path(spark, "reports")
+    S.write_report(by_flag(spark, sf_dir), path)
+    return S.stored_sizes(spark, path)
+
+
+def report_buckets(spark, sf_dir):
+    """A report and a table of thresholds in buckets of the edge key, joined without a shuffle."""
+    report = forman_table(prepared_flags(spark, sf_dir)).select(*EDGE_KEY, "bf")
+    given = by_flag(spark, sf_dir).withColumn("x", F.col("u") / (F.col("v") + 1))
+    tables = []
+    for label, rows in (("forman", report), ("given", given)):
+        path = staging_path(spark, label)
+        tables.append(S.save_report_table(rows, path.rsplit("/", 1)[-1].replace("-", "_"), path, 8))
+    return rounded(N.edgewise(tables[0], tables[1], "x"))
+
+
 def stray_reports(spark, sf_dir):
     edges = by_flag(spark, sf_dir)
     first = edges.agg(F.min(GRAPH).alias("tag"))
@@ -151,7 +200,7 @@ def summary_json(spark, sf_dir):
 
 
 def manifest_round_trip(spark, sf_dir):
-    report, runs = R.run_suite(by_flag(spark, sf_dir))
+    report, runs = R.run_suite(by_lot(spark, sf_dir))
     path = staging_path(spark, "manifest")
     S.write_manifest(runs, path)
     read = S.read_manifest(spark, path)
@@ -265,13 +314,13 @@ def arc_values(spark, sf_dir):
 
 
 def edgewise_threshold(spark, sf_dir):
-    degreed = prepared(spark, sf_dir)
+    degreed = prepared_all(spark, sf_dir)
     given = degreed.select(*EDGE_KEY, (F.col("u") / (F.col("v") + 1)).alias("x"))
     return rounded(N.edgewise(N.edgewise(degreed, 0.25, "zeta"), given, "theta"))
 
 
 def bounded_distances(spark, sf_dir):
-    edges = prepared(spark, sf_dir)
+    edges = prepared_flags(spark, sf_dir)
     sources = N.degrees(edges).select(GRAPH, F.col("s").alias("source"))
     reached = N.bounded_distances(edges, sources, 3)
     return reached.groupBy(GRAPH, "source", "dist").agg(
@@ -279,12 +328,13 @@ def bounded_distances(spark, sf_dir):
 
 
 def set_distances(spark, sf_dir):
-    edges = prepared(spark, sf_dir)
+    """Each line's part to a part chosen by its supplier, in the graph of its flag."""
+    edges = by_flag(spark, sf_dir)
     n = table(spark, sf_dir, "part").select(F.count("*")).scalar()
-    pairs = table(spark, sf_dir, "lineitem").filter("l_quantity >= 40").select(
-        F.lit("co_order").alias(GRAPH), F.col("l_partkey").alias("source"),
+    pairs = table(spark, sf_dir, "lineitem").select(
+        F.concat(F.lit("flag_"), F.col("l_returnflag")).alias(GRAPH), F.col("l_partkey").alias("source"),
         ((F.col("l_partkey") * 7 + F.col("l_suppkey")) % n).alias("node")).distinct()
-    return N.set_distances(edges, pairs, 3, 10)
+    return N.set_distances(stage(edges, "edges"), pairs, 3, 10)
 
 
 def node_degrees(spark, sf_dir):
@@ -297,31 +347,31 @@ def node_degrees(spark, sf_dir):
 
 
 def triangles(spark, sf_dir):
-    return L.triangles_per_edge(prepared(spark, sf_dir))
+    return L.triangles_per_edge(prepared_all(spark, sf_dir))
 
 
 def exclusive_neighbors(spark, sf_dir):
-    return L.exclusive_neighbors(prepared(spark, sf_dir))
+    return L.exclusive_neighbors(prepared_flags(spark, sf_dir))
 
 
 def quads(spark, sf_dir):
-    return L.quads(prepared(spark, sf_dir))
+    return L.quads(prepared_flags(spark, sf_dir))
 
 
 def quad_nodes(spark, sf_dir):
-    return L.quad_counts(prepared(spark, sf_dir)).select(*EDGE_KEY, "n_quad")
+    return L.quad_counts(prepared_flags(spark, sf_dir)).select(*EDGE_KEY, "n_quad")
 
 
 def codegree_max(spark, sf_dir):
-    return L.quad_counts(prepared(spark, sf_dir)).select(*EDGE_KEY, "codeg_max")
+    return L.quad_counts(prepared_all(spark, sf_dir)).select(*EDGE_KEY, "codeg_max")
 
 
 def quad_cap(spark, sf_dir):
-    return L.local_structure(prepared(spark, sf_dir)).select(*EDGE_KEY, "quad_cap")
+    return L.local_structure(prepared_flags(spark, sf_dir)).select(*EDGE_KEY, "quad_cap")
 
 
 def local_structure(spark, sf_dir):
-    return L.local_structure(prepared(spark, sf_dir))
+    return L.local_structure(prepared_flags(spark, sf_dir))
 
 
 # ---- transport
@@ -336,9 +386,9 @@ def cost_plain(spark, sf_dir):
 
 
 def uniform_transport(spark, sf_dir):
-    """Transport over the full lazy cost table, without any cancelling."""
+    """Transport over the full lazy cost table; hop distances are a metric."""
     cost = W.cost_table(prepared(spark, sf_dir), lazy=True)
-    return rounded(W.uniform_transport(cost, EDGE_KEY, "d"))
+    return rounded(W.uniform_transport(cost, EDGE_KEY, "d", metric=True))
 
 
 def _order_problems(spark, sf_dir):
@@ -358,25 +408,24 @@ def _order_problems(spark, sf_dir):
 
 def transport_value(spark, sf_dir):
     solved = W.solve_transport(*_order_problems(spark, sf_dir), ["l_orderkey"])
-    return rounded(solved.select("l_orderkey", "value"))
+    return rounded(solved.values())
 
 
 def transport_plan(spark, sf_dir):
     """Plans summed back to their supply side."""
     solved = W.solve_transport(*_order_problems(spark, sf_dir), ["l_orderkey"])
-    plan = W.transport_plan(solved, ["l_orderkey"])
-    return rounded(plan.groupBy("l_orderkey", "a").agg(F.sum("flow").alias("mass")))
+    return rounded(solved.plan().groupBy("l_orderkey", "a").agg(F.sum("flow").alias("mass")))
 
 
 # ---- curvatures
 
 
 def quad_term(spark, sf_dir):
-    return rounded(forman_table(prepared(spark, sf_dir)).select(*EDGE_KEY, "quad_term"))
+    return rounded(forman_table(prepared_flags(spark, sf_dir)).select(*EDGE_KEY, "quad_term"))
 
 
 def balanced_forman(spark, sf_dir):
-    return rounded(forman_table(prepared(spark, sf_dir)).select(*EDGE_KEY, "bf"))
+    return rounded(forman_table(prepared_flags(spark, sf_dir)).select(*EDGE_KEY, "bf"))
 
 
 def lazy_curvature(spark, sf_dir):
@@ -388,8 +437,15 @@ def plain_curvature(spark, sf_dir):
 
 
 def plain_curvature_reused(spark, sf_dir):
-    """Plain curvature kept as a table and read by two consumers."""
-    kept = stage(curvature_table(prepared(spark, sf_dir)).select(*EDGE_KEY, "or_plain"), "plain")
+    """Plain curvature kept under its graphs' digests and read again by two consumers."""
+    edges = stage(by_lot(spark, sf_dir), "edges")
+    store = GraphStore(spark, staging_path(spark, "plain-store"))
+
+    def compute(rows):
+        return curvature_table(N.prepare(rows)).select(*EDGE_KEY, "or_plain")
+
+    store.refresh(edges, compute)
+    kept = store.refresh(edges, compute)
     mean = kept.groupBy(GRAPH).agg(F.avg("or_plain").alias("mean"))
     return rounded(kept.join(mean, GRAPH).groupBy(GRAPH).agg(
         F.count("*").alias("edges"), F.max("mean").alias("mean"),
@@ -403,7 +459,7 @@ def all_curvatures(spark, sf_dir):
 
 
 def degree_parameters(spark, sf_dir):
-    t = L.local_structure(prepared(spark, sf_dir))
+    t = L.local_structure(prepared_flags(spark, sf_dir))
     ru, ru_rev, rv, rv_rev = P.mass_excess("deg_u", "deg_v")
     return rounded(t.select(
         *EDGE_KEY,
@@ -425,20 +481,20 @@ def degree_parameters(spark, sf_dir):
 
 
 def transport_envelope(spark, sf_dir):
-    t = L.local_structure(prepared(spark, sf_dir))
+    t = L.local_structure(prepared_flags(spark, sf_dir))
     parts = P.transport_envelope("deg_u", "deg_v", "n_tri", "n_quad")
     return rounded(t.withColumn("e", parts).select(*EDGE_KEY, "e.*"))
 
 
 def const_slope(spark, sf_dir):
-    t = prepared(spark, sf_dir)
+    t = prepared_flags(spark, sf_dir)
     return rounded(t.select(
         *EDGE_KEY, P.envelope_const("deg_u", "deg_v").alias("env_const"),
         P.envelope_slope("deg_u", "deg_v").alias("env_slope")))
 
 
 def linear_envelope(spark, sf_dir):
-    t = L.local_structure(prepared(spark, sf_dir))
+    t = L.local_structure(prepared_flags(spark, sf_dir))
     return rounded(t.select(
         *EDGE_KEY, P.linear_envelope("deg_u", "deg_v", "n_tri").alias("at_tri"),
         P.linear_envelope("deg_u", "deg_v", F.lit(1.5)).alias("at_given")))
@@ -453,7 +509,7 @@ def lazy_lower(spark, sf_dir):
 
 
 def lazy_upper(spark, sf_dir):
-    t = forman_table(prepared(spark, sf_dir))
+    t = forman_table(prepared_flags(spark, sf_dir))
     return rounded(t.select(
         *EDGE_KEY, B.lazy_upper_from_forman("bf", "deg_u", "deg_v").alias("or_hi"),
         B.lazy_upper_from_forman(F.lit(0.25), "deg_u", "deg_v").alias("or_hi_given")))
@@ -476,7 +532,7 @@ def forman_upper(spark, sf_dir):
 
 
 def tradeoff(spark, sf_dir):
-    t = forman_table(prepared(spark, sf_dir))
+    t = forman_table(prepared_flags(spark, sf_dir))
     floor = F.lit(0.5) * F.col("quad_term")
     return rounded(t.select(
         *EDGE_KEY, P.deg_min("deg_u", "deg_v").alias("small"),
@@ -501,13 +557,13 @@ def bounds_from_lazy(spark, sf_dir):
 
 
 def edge_report(spark, sf_dir):
-    return rounded(A.edge_report(co_order(spark, sf_dir)))
+    return rounded(A.edge_report(by_lot(spark, sf_dir)))
 
 
 def analyze(spark, sf_dir):
     """Report and summary written, read back and counted."""
     summary_path = staging_path(spark, "summary")
-    report = A.analyze(by_flag(spark, sf_dir), staging_path(spark, "report-csv"), summary_path)
+    report = A.analyze(by_lot(spark, sf_dir), staging_path(spark, "report-csv"), summary_path)
     doc = F.from_json("value", f"summary MAP<STRING, {S.STATS}>")
     summary = spark.read.text(summary_path).select(GRAPH, doc["summary"]["bf"].alias("bf"))
     counted = report.groupBy(GRAPH).agg(F.count("*").alias("m"), F.avg("or_lazy").alias("mean_lazy"))
@@ -516,11 +572,39 @@ def analyze(spark, sf_dir):
         F.col("bf.median").alias("bf_median")))
 
 
+def updated_report(spark, sf_dir):
+    """The report of all lots without the last month, brought to that of all lots without the first one."""
+    lines = table(spark, sf_dir, "lineitem")
+    first, last = (F.date_trunc("month", F.lit(x)) for x in lines.agg(F.min("l_shipdate"), F.max("l_shipdate")).first())
+    old = stage(_lots(lines.filter(F.col("l_shipdate") < last)), "edges")
+    new = stage(_lots(lines.filter(F.col("l_shipdate") >= F.add_months(first, 1))), "edges")
+    report = stage(A.edge_report(old), "report")
+    updated, _ = update_report(report, new.join(old, EDGE_KEY, "left_anti"), old.join(new, EDGE_KEY, "left_anti"))
+    return rounded(updated.select(*EDGE_KEY, "n_tri", "n_quad", "quad_cap", "bf", "or_lazy", "or_plain"))
+
+
 # ---- statistics
 
 
-def _flag_report(spark, sf_dir) -> DataFrame:
-    return stage(A.edge_report(by_flag(spark, sf_dir)), "report")
+def _lot_report(spark, sf_dir) -> DataFrame:
+    return stage(A.edge_report(by_lot(spark, sf_dir)), "report")
+
+
+def sketch_summary(spark, sf_dir):
+    """Summaries from sketches of graphs, merged for all of them; quantiles are held against exact ranks."""
+    t = stage(forman_table(prepared_flags(spark, sf_dir)), "forman")
+    values = stage(Q.long_metrics(t, ["bf", "n_tri", "n_quad", "quad_cap"]), "values")
+    graphs = stage(Q.sketch_metrics(values, [GRAPH, "metric"]), "sketches")
+    merged = Q.merge_sketches(graphs, ["metric"]).withColumn(GRAPH, F.lit("all"))
+    summary = Q.summarize_sketches(graphs.unionByName(merged), [GRAPH, "metric"])
+    points = summary.select(GRAPH, "metric", F.inline(F.array(*[
+        F.struct(F.lit(p).alias("p"), F.col(name).alias("q")) for name, p in Q.SUMMARY_QUANTILES.items()])))
+    every = values.unionByName(values.withColumn(GRAPH, F.lit("all")))
+    ranks_of = every.join(F.broadcast(points), [GRAPH, "metric"]).groupBy(GRAPH, "metric", "p").agg(
+        F.avg((F.col("value") < F.col("q")).cast("double")).alias("below"), F.avg((F.col("value") <= F.col("q")).cast("double")).alias("upto"))
+    slack = 3 * Q.sketch_rank_error()
+    near = ranks_of.groupBy(GRAPH, "metric").agg(F.min((F.col("below") <= F.col("p") + slack) & (F.col("upto") >= F.col("p") - slack)).alias("near"))
+    return rounded(summary.join(near, [GRAPH, "metric"]).select(GRAPH, "metric", "count", "mean", "std", "min", "max", "near"))
 
 
 def distribution(spark, sf_dir):
@@ -530,20 +614,20 @@ def distribution(spark, sf_dir):
 
 
 def slack(spark, sf_dir):
-    rows = Q.with_slack(A.edge_report(co_order(spark, sf_dir)))
+    rows = Q.with_slack(A.edge_report(by_lot(spark, sf_dir)))
     return rounded(rows.select(*EDGE_KEY, "env_slack", "theta_slack"))
 
 
 def coverage(spark, sf_dir):
-    return rounded(Q.coverage(A.edge_report(by_flag(spark, sf_dir))))
+    return rounded(Q.coverage(A.edge_report(by_lot(spark, sf_dir))))
 
 
 def band_widths(spark, sf_dir):
-    return rounded(Q.band_widths(A.edge_report(by_flag(spark, sf_dir))))
+    return rounded(Q.band_widths(A.edge_report(by_lot(spark, sf_dir))))
 
 
 def run_summary(spark, sf_dir):
-    s = Q.summarize_run(_flag_report(spark, sf_dir))
+    s = Q.summarize_run(_lot_report(spark, sf_dir))
     rest = ["or_in_band", "bf_in_band", "below_transport", "below_linear", "or_width", "bf_width"]
     return rounded(s.select(GRAPH, *rest, F.explode("summary").alias("metric", "s")).select(
         GRAPH, "metric", *rest, *[F.col("s")[c].alias(c) for c in Q.STATISTICS]))
@@ -558,7 +642,7 @@ def histogram(spark, sf_dir):
 def density_histogram(spark, sf_dir):
     """Densities of the curvature and both ends of its band, each over its own range."""
     bands = ["or_lazy", "or_lo", "or_hi"]
-    values = Q.long_metrics(tidy(_flag_report(spark, sf_dir), *bands), bands)
+    values = Q.long_metrics(tidy(_lot_report(spark, sf_dir), *bands), bands)
     return rounded(Q.histogram(values, [GRAPH, "metric"], "value", 40).select(
         GRAPH, "metric", "bin", "density"))
 
@@ -576,11 +660,11 @@ def binned_quantiles(spark, sf_dir):
 
 
 def ribbon(spark, sf_dir):
-    return rounded(Q.ribbon(tidy(_flag_report(spark, sf_dir), "bf")))
+    return rounded(Q.ribbon(tidy(_lot_report(spark, sf_dir), "bf")))
 
 
 def histogram_2d(spark, sf_dir):
-    t = tidy(_flag_report(spark, sf_dir), "bf", "or_lazy")
+    t = tidy(_lot_report(spark, sf_dir), "bf", "or_lazy")
     return Q.histogram_2d(t, [GRAPH], "bf", "or_lazy", 30)
 
 
@@ -601,7 +685,7 @@ def seeded_sample(spark, sf_dir):
 
 def tolerant_series(spark, sf_dir):
     """Series whose column exists; a table of structure alone has no band."""
-    t = forman_table(prepared(spark, sf_dir))
+    t = forman_table(prepared_flags(spark, sf_dir))
     present = Q.available(t, ["bf", "or_lazy", "or_lo", "quad_term"])
     return rounded(Q.long_metrics(t, present).groupBy(GRAPH, "metric").agg(
         F.count("value").alias("count"), F.avg("value").alias("mean")))
@@ -643,7 +727,7 @@ def display_names(spark, sf_dir):
 
 def resume(spark, sf_dir):
     """One flag is done already: the others run, its old summary stays."""
-    edges = stage(by_flag(spark, sf_dir), "edges")
+    edges = stage(by_lot(spark, sf_dir), "edges")
     first = edges.agg(F.min(GRAPH).alias(GRAPH))
     old_report, old_runs = R.run_suite(edges.join(first, GRAPH, "left_semi"))
     new_report, runs = R.resume_suite(edges, old_report, old_runs)
@@ -654,7 +738,17 @@ def resume(spark, sf_dir):
 
 
 def suite_manifest(spark, sf_dir):
-    _, runs = R.run_suite(by_flag(spark, sf_dir))
+    _, runs = R.run_suite(by_lot(spark, sf_dir))
+    return rounded(runs.select("tag", "n", "m", *[
+        F.try_element_at("summary", F.lit(metric))["mean"].alias(f"mean_{metric}")
+        for metric in ("or_lazy", "bf", "n_tri", "n_quad")]))
+
+
+def published_suite(spark, sf_dir):
+    """The manifest of reports published in three parts, each graph's marker last."""
+    store = GraphStore(spark, staging_path(spark, "suite-store"))
+    report = stage(store.refresh(by_lot(spark, sf_dir), A.edge_report, parts=3), "suite-report")
+    runs = R.manifest(report)
     return rounded(runs.select("tag", "n", "m", *[
         F.try_element_at("summary", F.lit(metric))["mean"].alias(f"mean_{metric}")
         for metric in ("or_lazy", "bf", "n_tri", "n_quad")]))
@@ -673,4 +767,5 @@ QUERIES = {f.__name__: f for f in [
     coverage, band_widths, run_summary, histogram, density_histogram, bin_rules,
     binned_quantiles, ribbon, histogram_2d, quantile_profile, quantile_grid, seeded_sample,
     tolerant_series, suite_rows, tags, display_names, resume, suite_manifest,
+    load_edge_list, stored_sizes, report_buckets, sketch_summary, updated_report, published_suite,
 ]}

@@ -14,15 +14,22 @@ SEED = 11
 CO_ORDER = """
 e AS (
   SELECT DISTINCT 'co_order' AS graph_id, a.l_partkey AS u, b.l_partkey AS v
-  FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_partkey < b.l_partkey
-  WHERE a.l_quantity >= 40 AND b.l_quantity >= 40)"""
+  FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_partkey < b.l_partkey)"""
 
 BY_FLAG = """
 e AS (
   SELECT DISTINCT 'flag_' || a.l_returnflag AS graph_id, a.l_partkey AS u, b.l_partkey AS v
   FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_partkey < b.l_partkey
-   AND a.l_returnflag = b.l_returnflag
-  WHERE a.l_quantity >= 40 AND b.l_quantity >= 40)"""
+   AND a.l_returnflag = b.l_returnflag)"""
+
+BY_LOT = """
+e AS (
+  SELECT DISTINCT 'flag_' || a.l_returnflag || '_' || ceil(a.l_quantity / 10)::INT AS graph_id, a.l_partkey AS u, b.l_partkey AS v
+  FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_partkey < b.l_partkey
+   AND a.l_returnflag = b.l_returnflag AND ceil(a.l_quantity / 10) = ceil(b.l_quantity / 10))"""
+
+LATER_LOTS = BY_LOT.replace("lineitem", "(SELECT * FROM lineitem WHERE l_shipdate >="
+                            " (SELECT date_trunc('month', min(l_shipdate)) + INTERVAL 1 MONTH FROM lineitem))")
 
 STRUCTURE = """,
 adj AS MATERIALIZED (
@@ -205,7 +212,7 @@ def stats(group: str, x: str = "value") -> str:
     ])
 
 
-def graph(select: str, source: str = CO_ORDER, upto: str = "structure", extra: str = "") -> str:
+def graph(select: str, source: str = BY_LOT, upto: str = "structure", extra: str = "") -> str:
     parts = source
     if upto in ("structure", "transport", "report"):
         parts += STRUCTURE
@@ -381,9 +388,9 @@ def values(rows) -> str:
                      for row in rows)
 
 
+ALL = {"source": CO_ORDER}
 FLAG = {"source": BY_FLAG}
 FULL = {"upto": "report"}
-FLAG_FULL = {"source": BY_FLAG, "upto": "report"}
 REPORT_COLUMNS = [
     "du AS deg_u", "dv AS deg_v", "t AS n_tri", "x AS n_quad", "cap AS quad_cap", r("c4", "quad_term"),
     *[r(c, c) for c in ("bf", "or_lazy", "or_plain", "env_const", "env_slope", "env_at_tri",
@@ -397,10 +404,10 @@ SELECT DISTINCT least(l_partkey, l_suppkey) AS u, greatest(l_partkey, l_suppkey)
 FROM lineitem WHERE l_linenumber IN (1, 2, 4) AND l_partkey <> l_suppkey""",
     "node_count": graph("SELECT graph_id, 1 + max(v) AS n FROM e GROUP BY ALL", **FLAG, upto="e"),
     "pairs_to_arcs": graph(
-        "SELECT graph_id, u AS src, v AS dst FROM e UNION ALL SELECT graph_id, v, u FROM e", upto="e"),
+        "SELECT graph_id, u AS src, v AS dst FROM e UNION ALL SELECT graph_id, v, u FROM e", **ALL, upto="e"),
     "report_parquet": per_edge(
         ["t AS n_tri", "x AS n_quad", r("bf", "bf"), r("or_lazy", "or_lazy"), r("or_plain", "or_plain")],
-        "cur", source=BY_FLAG, upto="transport"),
+        "cur", upto="transport"),
     "report_csv": per_edge(["du AS deg_u", "dv AS deg_v", "t AS n_tri", "x AS n_quad",
                             "cap AS quad_cap", r("bf", "bf")], **FLAG),
     "report_for_tag": graph(
@@ -415,7 +422,7 @@ WHERE graph_id <> (SELECT min(graph_id) FROM e) GROUP BY ALL""", **FLAG, upto="e
     "manifest_round_trip": graph(
         f"""SELECT graph_id AS tag, n, m, metric, {stats('metric')}
 FROM ({unpivot(RUN, 'rep')}) JOIN (SELECT graph_id, 1 + max(v) AS n, count(*) AS m FROM e GROUP BY ALL)
-USING (graph_id) GROUP BY graph_id, n, m, metric""", **FLAG_FULL),
+USING (graph_id) GROUP BY graph_id, n, m, metric""", **FULL),
     "cycle": links("(id + 1) % n"),
     "grid": links("CASE WHEN id % 20 < 19 AND id + 1 < n THEN id + 1 END",
                   "CASE WHEN id + 20 < n THEN id + 20 END"),
@@ -433,14 +440,14 @@ WHERE (a.x-b.x)**2 + (a.y-b.y)**2 < 8.0::DOUBLE / (a.n * {math.pi!r})""",
     "canonical_edges": f"""WITH {ARCS}
 SELECT DISTINCT 'supply' AS graph_id, least(s, d) AS u, greatest(s, d) AS v FROM arcs WHERE s <> d""",
     "neighbor_lists": graph(
-        "SELECT g AS graph_id, s, string_agg(d::VARCHAR, ',' ORDER BY d) AS ns FROM adj GROUP BY ALL"),
-    "degrees": graph("SELECT g AS graph_id, s, k FROM deg"),
+        "SELECT g AS graph_id, s, string_agg(d::VARCHAR, ',' ORDER BY d) AS ns FROM adj GROUP BY ALL", **ALL),
+    "degrees": graph("SELECT g AS graph_id, s, k FROM deg", **ALL),
     "arc_values": f"""WITH {ARCS}
 SELECT 'supply' AS graph_id, least(s, d) AS u, greatest(s, d) AS v, {r('avg(x)', 'v_mean')},
   {r('sum(x)', 'v_sum')}, {r('min(x)', 'v_min')}, {r('max(x)', 'v_max')},
   {r('arg_min(x, pos)', 'v_first')} FROM arcs WHERE s <> d GROUP BY ALL""",
     "edgewise_threshold": per_edge(
-        ["du AS deg_u", "dv AS deg_v", "0.25::DOUBLE AS zeta", r("u::DOUBLE / (v + 1)", "theta")], "ed"),
+        ["du AS deg_u", "dv AS deg_v", "0.25::DOUBLE AS zeta", r("u::DOUBLE / (v + 1)", "theta")], "ed", **ALL),
     "bounded_distances": graph("""
 SELECT graph_id, source, dist, count(*) AS nodes, sum(node)::BIGINT AS node_sum FROM (
   SELECT graph_id, source, node, min(dist)::INT AS dist FROM (
@@ -448,32 +455,41 @@ SELECT graph_id, source, dist, count(*) AS nodes, sum(node)::BIGINT AS node_sum
     UNION ALL SELECT g, s, d, 1 FROM adj
     UNION ALL SELECT a.g, a.s, b.d, 2 FROM adj a JOIN adj b ON a.g = b.g AND a.d = b.s
     UNION ALL SELECT a.g, a.s, c.d, 3 FROM adj a JOIN adj b ON a.g = b.g AND a.d = b.s
-      JOIN adj c ON c.g = b.g AND c.s = b.d) GROUP BY ALL) GROUP BY ALL"""),
+      JOIN adj c ON c.g = b.g AND c.s = b.d) GROUP BY ALL) GROUP BY ALL""", **FLAG),
     "set_distances": graph("""
-SELECT 'co_order' AS graph_id, source, node, coalesce(min(dist), 10)::INT AS dist FROM (
-  SELECT DISTINCT l_partkey AS source, (l_partkey * 7 + l_suppkey) % (SELECT count(*) FROM part) AS node
-  FROM lineitem WHERE l_quantity >= 40)
+SELECT g AS graph_id, source, node, coalesce(min(dist), 10)::INT AS dist FROM (
+  SELECT DISTINCT 'flag_' || l_returnflag AS g, l_partkey AS source, (l_partkey * 7 + l_suppkey) % (SELECT count(*) FROM part) AS node
+  FROM lineitem)
 LEFT JOIN (
-    SELECT DISTINCT l_partkey AS source, l_partkey AS node, 0 AS dist FROM lineitem WHERE l_quantity >= 40
-    UNION ALL SELECT s, d, 1 FROM adj
-    UNION ALL SELECT DISTINCT a.s, b.d, 2 FROM adj a JOIN adj b ON a.d = b.s
-    UNION ALL SELECT DISTINCT a.s, c.d, 3 FROM adj a JOIN adj b ON a.d = b.s JOIN adj c ON c.s = b.d)
-  USING (source, node) GROUP BY ALL"""),
+    SELECT DISTINCT 'flag_' || l_returnflag AS g, l_partkey AS source, l_partkey AS node, 0 AS dist FROM lineitem
+    UNION ALL SELECT g, s, d, 1 FROM adj
+    UNION ALL SELECT DISTINCT a.g, a.s, b.d, 2 FROM adj a JOIN adj b ON a.g = b.g AND a.d = b.s
+    UNION ALL SELECT DISTINCT a.g, a.s, c.d, 3 FROM adj a JOIN adj b ON a.g = b.g AND a.d = b.s JOIN adj c ON c.g = b.g AND c.s = b.d)
+  USING (g, source, node) GROUP BY ALL""", **FLAG),
     "node_degrees": graph("""SELECT 'co_order' AS graph_id, p_partkey AS s, coalesce(k, 0) AS k
-FROM part LEFT JOIN deg ON s = p_partkey"""),
-    "triangles": graph("SELECT graph_id, u, v, n_tri FROM tri"),
+FROM part LEFT JOIN deg ON s = p_partkey""", **ALL),
+    "triangles": graph("SELECT graph_id, u, v, n_tri FROM tri", **ALL),
     "exclusive_neighbors": graph("""
-SELECT e.graph_id, e.u, e.v, 'u' AS side, a.d AS node FROM e JOIN adj a ON a.s = e.u AND a.d <> e.v
-WHERE NOT EXISTS (SELECT 1 FROM adj x WHERE x.s = e.v AND x.d = a.d)
+SELECT e.graph_id, e.u, e.v, 'u' AS side, a.d AS node FROM e JOIN adj a ON a.g = e.graph_id AND a.s = e.u AND a.d <> e.v
+WHERE NOT EXISTS (SELECT 1 FROM adj x WHERE x.g = e.graph_id AND x.s = e.v AND x.d = a.d)
 UNION ALL
-SELECT e.graph_id, e.u, e.v, 'v', a.d FROM e JOIN adj a ON a.s = e.v AND a.d <> e.u
-WHERE NOT EXISTS (SELECT 1 FROM adj x WHERE x.s = e.u AND x.d = a.d)"""),
-    "quads": graph("SELECT graph_id, u, v, k, w, excl FROM quad"),
-    "quad_nodes": graph("SELECT graph_id, u, v, n_quad FROM qn"),
-    "codegree_max": graph("SELECT graph_id, u, v, codeg_max FROM qn"),
-    "quad_cap": per_edge(["cap AS quad_cap"]),
+SELECT e.graph_id, e.u, e.v, 'v', a.d FROM e JOIN adj a ON a.g = e.graph_id AND a.s = e.v AND a.d <> e.u
+WHERE NOT EXISTS (SELECT 1 FROM adj x WHERE x.g = e.graph_id AND x.s = e.u AND x.d = a.d)""", **FLAG),
+    "quads": graph("SELECT graph_id, u, v, k, w, excl FROM quad", **FLAG),
+    "quad_nodes": graph("SELECT graph_id, u, v, n_quad FROM qn", **FLAG),
+    "codegree_max": graph("""
+SELECT graph_id, u, v, max(n) - 1 AS codeg_max FROM (
+  SELECT graph_id, u, v, n FROM e JOIN adj k ON k.g = graph_id AND k.s = u AND k.d <> v
+    JOIN both_near b ON b.g = graph_id AND b.p = least(k.d, v) AND b.q = greatest(k.d, v)
+  UNION ALL
+  SELECT graph_id, u, v, n FROM e JOIN adj w ON w.g = graph_id AND w.s = v AND w.d <> u
+    JOIN both_near b ON b.g = graph_id AND b.p = least(w.d, u) AND b.q = greatest(w.d, u))
+GROUP BY graph_id, u, v HAVING max(n) > 1""", **ALL, extra=""",
+both_near AS MATERIALIZED (
+  SELECT a.g, a.d AS p, b.d AS q, count(*) AS n FROM adj a JOIN adj b ON a.g = b.g AND a.s = b.s AND a.d < b.d GROUP BY ALL)"""),
+    "quad_cap": per_edge(["cap AS quad_cap"], **FLAG),
     "local_structure": per_edge(["du AS deg_u", "dv AS deg_v", "t AS n_tri", "x AS n_quad",
-                                 "cg AS codeg_max", "cap AS quad_cap"]),
+                                 "cg AS codeg_max", "cap AS quad_cap"], **FLAG),
     "cost_lazy": cost(True),
     "cost_plain": cost(False),
     "uniform_transport": per_edge([r("1 - or_lazy", "w1")], "cur", upto="transport"),
@@ -482,29 +498,29 @@ steps AS (SELECT l_orderkey, line, lead(line) OVER w - line AS gap, sum(sq - se)
   FROM shares WINDOW w AS (PARTITION BY l_orderkey ORDER BY line))
 SELECT l_orderkey, {r('sum(abs(diff) * coalesce(gap, 0))', 'value')} FROM steps GROUP BY ALL""",
     "transport_plan": f"WITH {SHARES} SELECT l_orderkey, line AS a, {r('sq', 'mass')} FROM shares",
-    "quad_term": per_edge([r("c4", "quad_term")]),
-    "balanced_forman": per_edge([r("bf", "bf")]),
+    "quad_term": per_edge([r("c4", "quad_term")], **FLAG),
+    "balanced_forman": per_edge([r("bf", "bf")], **FLAG),
     "lazy_curvature": per_edge([r("or_lazy", "or_lazy")], "cur", upto="transport"),
     "plain_curvature": per_edge([r("or_plain", "or_plain")], "cur", upto="transport"),
     "plain_curvature_reused": graph(f"""
 SELECT graph_id, count(*) AS edges, {r('max(mean)', 'mean')}, count(*) FILTER (or_plain > mean) AS above
-FROM cur, (SELECT avg(or_plain) AS mean FROM cur) GROUP BY ALL""", upto="transport"),
+FROM cur JOIN (SELECT graph_id, avg(or_plain) AS mean FROM cur GROUP BY ALL) USING (graph_id) GROUP BY graph_id""", upto="transport"),
     "all_curvatures": per_edge(REPORT_COLUMNS[:10] + [r("env_slope", "env_slope")], "cur", upto="transport"),
     "degree_parameters": per_edge([
         r("cs", "base_term"), r("ct", "tri_weight"), r("ck", "spread_term"),
         r("t::DOUBLE/mm", "tri_share_max"), r("t::DOUBLE/m", "tri_share_min"), r("au", "laziness_u"),
         r("av", "neighbor_mass_v"), "du + dv + 2 AS mass_scale", r("least(au, av)", "shared_mass"),
         r("greatest(0.0, au-av)", "excess_u"), r("greatest(0.0, av-au)", "excess_u_rev"),
-        r("greatest(0.0, av-au)", "excess_v"), r("greatest(0.0, au-av)", "excess_v_rev")]),
+        r("greatest(0.0, av-au)", "excess_v"), r("greatest(0.0, au-av)", "excess_v_rev")], **FLAG),
     "transport_envelope": graph(f"SELECT {KEY}, {', '.join(ENV_PARTS)} FROM parts", extra=""",
 parts AS (SELECT *, greatest(0.0, least((du-1-t)*au, (dv-1-t)*av, x::DOUBLE/(du+dv+2))) AS qp,
-  least(t*gap, (du-1-t)*au + (dv-1-t)*av) AS tp FROM base)"""),
-    "const_slope": per_edge([r("env_const", "env_const"), r("env_slope", "env_slope")]),
+  least(t*gap, (du-1-t)*au + (dv-1-t)*av) AS tp FROM base)""", **FLAG),
+    "const_slope": per_edge([r("env_const", "env_const"), r("env_slope", "env_slope")], **FLAG),
     "linear_envelope": per_edge([r("env_const + env_slope*t", "at_tri"),
-                                 r("env_const + env_slope*1.5", "at_given")]),
+                                 r("env_const + env_slope*1.5", "at_given")], **FLAG),
     "lazy_lower": per_edge([r(lazy_lower("bf", False), "or_lo_blunt"),
                             r(lazy_lower("bf", True), "or_lo_sharp")], "cur", upto="transport"),
-    "lazy_upper": per_edge([r(lazy_upper("bf"), "or_hi"), r(lazy_upper("0.25::DOUBLE"), "or_hi_given")]),
+    "lazy_upper": per_edge([r(lazy_upper("bf"), "or_hi"), r(lazy_upper("0.25::DOUBLE"), "or_hi_given")], **FLAG),
     "forman_lower": per_edge([
         r(forman_lower("or_lazy"), "bf_lo"), r(forman_lower("0.3"), "bf_lo_given"),
         r("cs + ct * least(greatest(0.0, (0.3 - env_const)/env_slope), m - 1.0)", "bf_lo_loose")],
@@ -515,14 +531,14 @@ parts AS (SELECT *, greatest(0.0, least((du-1-t)*au, (dv-1-t)*av, x::DOUBLE/(du+
         "m AS small",
         r("-greatest(0.0, greatest(0.0, ck-0.5*c4) - t::DOUBLE/mm) - greatest(0.0, greatest(0.0, ck-0.5*c4)"
           " - t::DOUBLE/m) + t::DOUBLE/mm", "at_tri"),
-        r(inverse("(-0.2)", "0.5*c4"), "t_max")]),
+        r(inverse("(-0.2)", "0.5*c4"), "t_max")], **FLAG),
     "bounds_from_forman": per_edge([r(lazy_lower("(bf*0.5)", True), "or_lo"),
                                     r(lazy_upper("(bf*0.5)"), "or_hi")], "cur", upto="transport"),
     "bounds_from_lazy": per_edge([r(forman_lower("(-0.1)"), "bf_lo"),
                                   r(forman_upper("(-0.1)", True), "bf_hi")], "cur", upto="transport"),
     "analyze": graph(f"""
 SELECT graph_id, count(*) AS m, {r('avg(or_lazy)', 'mean_lazy')}, count(*) AS bf_count,
-  {r('quantile_cont(bf, 0.5)', 'bf_median')} FROM cur GROUP BY ALL""", source=BY_FLAG, upto="transport"),
+  {r('quantile_cont(bf, 0.5)', 'bf_median')} FROM cur GROUP BY ALL""", upto="transport"),
     "distribution": graph(
         f"SELECT graph_id, metric, {stats('metric')} FROM ("
         + unpivot({"bf": "bf", "n_tri": "t", "n_quad": "x", "quad_cap": "cap"}, "base")
@@ -530,22 +546,22 @@ SELECT graph_id, count(*) AS m, {r('avg(or_lazy)', 'mean_lazy')}, count(*) AS bf
     "slack": per_edge([r("env_transport - or_lazy", "env_slack"),
                        r("env_at_tri - or_lazy", "theta_slack")], "rep", **FULL),
     "coverage": graph(f"SELECT graph_id, {', '.join(r(c, c) for c in COVER_NAMES)} FROM"
-                      f" (SELECT graph_id, {COVER} FROM rep GROUP BY ALL)", **FLAG_FULL),
+                      f" (SELECT graph_id, {COVER} FROM rep GROUP BY ALL)", **FULL),
     "band_widths": graph(f"SELECT graph_id, {', '.join(r(c, c) for c in WIDTH_NAMES)} FROM"
-                         f" (SELECT graph_id, {WIDTH} FROM rep GROUP BY ALL)", **FLAG_FULL),
+                         f" (SELECT graph_id, {WIDTH} FROM rep GROUP BY ALL)", **FULL),
     "run_summary": graph(f"""
 SELECT graph_id, metric, {', '.join(r('any_value(' + c + ')', c) for c in COVER_NAMES + WIDTH_NAMES)}, {stats('metric')}
 FROM ({unpivot(RUN, 'rep')}) JOIN (SELECT graph_id, {COVER}, {WIDTH} FROM rep GROUP BY ALL) USING (graph_id)
-GROUP BY graph_id, metric""", **FLAG_FULL),
+GROUP BY graph_id, metric""", **FULL),
     "histogram": bins("value", unpivot({"bf": "bf", "n_tri": "t"}, "base", 9), 60, BY_FLAG, "structure", False),
     "density_histogram": bins("value", unpivot({c: c for c in ("or_lazy", "or_lo", "or_hi")}, "rep", 9),
-                              40, BY_FLAG, "report", True),
+                              40, BY_LOT, "report", True),
     "bin_rules": graph("""
 SELECT graph_id, rule, (CASE WHEN w > 0 THEN ceil(sp / w) ELSE 1 END)::BIGINT AS bins FROM w
 UNION ALL SELECT graph_id, 'stone', arg_min(nb, (j, nb))::BIGINT FROM loss GROUP BY graph_id""",
         **FLAG, extra=BIN_RULES),
     "binned_quantiles": binned("du + dv", {"bf": "bf"}, "base", BY_FLAG, "structure"),
-    "ribbon": binned("bf", {c: c for c in ("or_lazy", "or_lo", "or_hi")}, "rep", BY_FLAG, "report"),
+    "ribbon": binned("bf", {c: c for c in ("or_lazy", "or_lo", "or_hi")}, "rep", BY_LOT, "report"),
     "histogram_2d": graph("""
 SELECT graph_id,
   least(29, len(list_filter(generate_series(0, 30), lambda k: lx + k * wx <= bf)) - 1)::INT AS bin_x,
@@ -553,7 +569,7 @@ SELECT graph_id,
   count(*) AS count
 FROM tidy JOIN (SELECT graph_id, min(bf) AS lx, (max(bf) - min(bf)) / 30 AS wx, min(or_lazy) AS ly,
   (max(or_lazy) - min(or_lazy)) / 30 AS wy FROM tidy GROUP BY ALL) USING (graph_id) GROUP BY ALL""",
-        source=BY_FLAG, upto="transport", extra=""",
+        upto="transport", extra=""",
 tidy AS (SELECT graph_id, round(bf, 9) + 0.0 AS bf, round(or_lazy, 9) + 0.0 AS or_lazy FROM cur)"""),
     "quantile_profile": graph(f"""
 SELECT graph_id, bf, count(*) AS count, {r('min(k)::DOUBLE / greatest(any_value(n) - 1, 1)', 'p_first')},
@@ -567,10 +583,10 @@ SELECT graph_id, k / 50.0::DOUBLE AS p, {r('qs[k + 1]', 'q')} FROM (
   (SELECT unnest(generate_series(0, 50)) AS k)""", **FLAG),
     "seeded_sample": graph(
         f"SELECT graph_id, u, v FROM e ORDER BY {draw(str(SEED), 'graph_id', 'u', 'v')}, graph_id, u, v LIMIT 25000",
-        upto="e"),
+        **ALL, upto="e"),
     "tolerant_series": graph(
         f"SELECT graph_id, metric, count(value) AS count, {r('avg(value)', 'mean')} FROM ("
-        + unpivot({"bf": "bf", "quad_term": "c4"}, "base") + ") GROUP BY graph_id, metric"),
+        + unpivot({"bf": "bf", "quad_term": "c4"}, "base") + ") GROUP BY graph_id, metric", **FLAG),
     "suite_rows": f"""WITH {CHOSEN},
 kept AS (SELECT * FROM (VALUES {values(PRESET_SMALL)}) AS t(family, a))
 SELECT family, count(*) AS graphs, round(sum(a)::DOUBLE, 6) AS first_sum
@@ -589,9 +605,18 @@ UNION ALL SELECT * FROM (VALUES {values([(tag, name) for (_, tag), name in zip(P
     "resume": graph(f"""
 SELECT graph_id AS tag, 1 + max(v) AS n, count(*) AS m,
   CASE WHEN graph_id = (SELECT min(graph_id) FROM e) THEN 0 ELSE count(*) END AS redone, {r('avg(bf)', 'mean_bf')}
-FROM base GROUP BY graph_id""", **FLAG),
+FROM base GROUP BY graph_id"""),
     "suite_manifest": graph(f"""
 SELECT graph_id AS tag, 1 + max(v) AS n, count(*) AS m, {r('avg(or_lazy)', 'mean_or_lazy')},
   {r('avg(bf)', 'mean_bf')}, {r('avg(t)', 'mean_n_tri')}, {r('avg(x)', 'mean_n_quad')}
-FROM cur GROUP BY graph_id""", source=BY_FLAG, upto="transport"),
+FROM cur GROUP BY graph_id""", upto="transport"),
+    "updated_report": per_edge(["t AS n_tri", "x AS n_quad", "cap AS quad_cap", r("bf", "bf"), r("or_lazy", "or_lazy"),
+                                r("or_plain", "or_plain")], "cur", source=LATER_LOTS, upto="transport"),
+    "report_buckets": per_edge([r("bf", "bf"), r("u::DOUBLE / (v + 1)", "x")], **FLAG),
+    "sketch_summary": graph(f"""
+SELECT graph_id, metric, count(*) AS count, {r('avg(value)', 'mean')}, {r('stddev_pop(value)', 'std')},
+  {r('min(value)', 'min')}, {r('max(value)', 'max')}, TRUE AS near
+FROM (SELECT unnest([graph_id, 'all']) AS graph_id, metric, value FROM ({unpivot(
+    {"bf": "bf", "n_tri": "t", "n_quad": "x", "quad_cap": "cap"}, "base")})) GROUP BY ALL""", **FLAG),
 }
+CHECKS |= {"load_edge_list": CHECKS["scan_edge_csv"], "stored_sizes": CHECKS["graph_sizes"], "published_suite": CHECKS["suite_manifest"]}

@@ -14,18 +14,17 @@ CHUNK_LINES = 64
 
 def co_order_edges(
     lineitem: DataFrame,
-    min_quantity: float = 40.0,
     graph_id: Column | None = None,
     chunk_lines: int = CHUNK_LINES,
 ) -> DataFrame:
-    """Parts bought in one order: all pairs of its lines of at least ``min_quantity``.
+    """Parts bought in one order: all pairs of its lines, or of those with the same ``graph_id``.
 
     An order of more than ``chunk_lines`` lines is dealt over chunks, and every pair of chunks is
     a key of its own, so no key holds more than two chunks and no pair is lost.
     """
     graph = F.lit("co_order") if graph_id is None else graph_id
     order = [GRAPH, "l_orderkey"]
-    lines = lineitem.filter(F.col("l_quantity") >= min_quantity).select(
+    lines = lineitem.select(
         graph.cast("string").alias(GRAPH), "l_orderkey",
         F.col("l_linenumber").alias("line"), F.col("l_partkey").alias("part"))
     large = lines.groupBy(*order).agg(F.count("*").alias("size")).filter(F.col("size") > chunk_lines)

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ..columns import GRAPH, REPORT_COLUMNS
+from ..columns import EDGE_KEY, GRAPH, REPORT_COLUMNS
+from ..staging import stage
 
 STATS = ("STRUCT<count: BIGINT, mean: DOUBLE, std: DOUBLE, min: DOUBLE, q05: DOUBLE, q25: DOUBLE, "
          "median: DOUBLE, q75: DOUBLE, q95: DOUBLE, max: DOUBLE>")
@@ -72,6 +76,51 @@ def read_report_csv(spark: SparkSession, path: str) -> DataFrame:
     return named.select(*typed)
 
 
+#: Rows that one bucket of a report table is meant for.
+ROWS_PER_BUCKET = 4_000_000
+
+
+def save_report_table(rows: DataFrame, name: str, path: str, buckets: int) -> DataFrame:
+    """Rows with an edge key as table ``name`` at ``path``, in sorted buckets of the whole edge key.
+
+    Tables of the same number of buckets join, and group by the edge key, without a shuffle. The key is
+    the edge and not the graph, so a graph that holds most edges lies in all buckets alike. Take
+    ``rows.count() / ROWS_PER_BUCKET`` buckets, and the same for all tables of a run.
+    """
+    dealt = rows.repartition(buckets, *EDGE_KEY)
+    dealt.write.bucketBy(buckets, *EDGE_KEY).sortBy(*EDGE_KEY).option("path", path).saveAsTable(name)
+    return rows.sparkSession.table(name)
+
+
+@contextmanager
+def footer_reads(spark: SparkSession) -> Iterator[None]:
+    """While it holds, counts and extremes of Parquet columns are planned as reads of file footers."""
+    wanted = {"spark.sql.parquet.aggregatePushdown": "true", "spark.sql.sources.useV1SourceList": "avro,csv,json,kafka,orc,text"}
+    before = {k: spark.conf.get(k, None) for k in wanted}
+    for k, x in wanted.items():
+        spark.conf.set(k, x)
+    try:
+        yield
+    finally:
+        for k, x in before.items():
+            spark.conf.unset(k) if x is None else spark.conf.set(k, x)
+
+
+def footer_sizes(spark: SparkSession, path: str) -> DataFrame:
+    """``(graph_id, n, m)`` of reports in Parquet; to be planned within ``footer_reads``.
+
+    An edge's second node is its larger one, so the largest id is a column's maximum and no row is read.
+    """
+    rows = spark.read.schema(f"v BIGINT, `{GRAPH}` STRING").parquet(path)
+    return rows.groupBy(GRAPH).agg((F.max("v") + 1).alias("n"), F.count("*").alias("m"))
+
+
+def stored_sizes(spark: SparkSession, path: str) -> DataFrame:
+    """``(graph_id, n, m)`` of reports written by ``write_report``, from their footers."""
+    with footer_reads(spark):
+        return stage(footer_sizes(spark, path), "sizes")
+
+
 def report_for_tag(reports: DataFrame, tag: str) -> DataFrame:
     """Rows of one tag; without it, of the first graph whose name starts as its file would.
 

@@ -1,8 +1,10 @@
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
+import brute
 from edgegeom.operators import clean as N
 from graphs import NAMED, frame
 
@@ -86,6 +88,52 @@ def test_set_distances(spark, n, rows, want):
     assert {(r.source, r.node): r.dist for r in got} == want
 
 
+def walked(edges, source, depth):
+    """Plain breadth-first hop counts."""
+    adj = brute.adjacency(edges)
+    seen, frontier = {source: 0}, {source}
+    for d in range(1, depth + 1):
+        frontier = {x for n in frontier for x in adj.get(n, ())} - seen.keys()
+        seen |= {x: d for x in frontier}
+    return seen
+
+
+@pytest.fixture(scope="module")
+def far_ids():
+    """Sparse random graphs with negative, spread and very large ids."""
+    rng = random.Random(31)
+    graphs = {}
+    for i in range(12):
+        n = rng.randint(5, 60)
+        ids = sorted(rng.sample([*range(-200, 200), *range(2**62, 2**62 + 70), 2**63 - 1, -(2**63)], n))
+        graphs[f"g{i}"] = [(ids[a], ids[b]) for a, b in brute.random_graph(rng, n, 0.02)]
+    return graphs
+
+
+@pytest.mark.parametrize("depth", [1, 2, 3, 5])
+def test_distances_of_random_graphs(spark, far_ids, depth):
+    rng = random.Random(depth)
+    edges = frame(spark, far_ids)
+    sources = [(g, s) for g, e in far_ids.items() for s in rng.sample(sorted(brute.adjacency(e)), 4)] + [("g0", 777)]
+    given = spark.createDataFrame(sources * 2, "graph_id STRING, source BIGINT")
+    want = {(g, s, n): d for g, s in sources for n, d in walked(far_ids[g], s, depth).items()}
+    found = N.bounded_distances(edges, given, depth).collect()
+    assert len(found) == len(want) and {(r.graph_id, r.source, r.node): r.dist for r in found} == want
+    wanted = [(g, s, rng.choice([*brute.adjacency(far_ids[g]), 778])) for g, s in sources for _ in range(6)] + [("g0", 777, 777)]
+    pairs = spark.createDataFrame([(*r, "kept") for r in wanted], "graph_id STRING, source BIGINT, node BIGINT, note STRING")
+    found = N.set_distances(edges, pairs, depth, 99).collect()
+    assert sorted((r.graph_id, r.source, r.node, r.dist) for r in found) == sorted((*r, want.get(r, 99)) for r in wanted)
+    near = N.bounded_distances(edges, given, depth, pairs.drop("note")).collect()
+    assert {(r.graph_id, r.source, r.node): r.dist for r in near} == {r: want[r] for r in wanted if r in want}
+
+
+def test_no_ball_of_the_full_depth(spark):
+    """Pairs in a star of stars: the full ball of every source would be the whole graph."""
+    edges = [(0, i) for i in range(1, 2001)] + [(i, 2000 + i) for i in range(1, 2001)]
+    pairs = spark.createDataFrame([("s", 2000 + i, 2000 - i) for i in range(1, 1000)], "graph_id STRING, source BIGINT, node BIGINT")
+    assert {r.dist for r in N.set_distances(frame(spark, {"s": edges}), pairs, 3).collect()} == {3}
+
+
 def test_safe_ratio(spark):
     df = spark.createDataFrame([(0, 5), (3, 0), (3, 6)], "a BIGINT, b BIGINT")
     got = [r[0] for r in df.select(N.safe_ratio(F.col("a"), F.col("b"))).collect()]

@@ -1,13 +1,16 @@
 import json
+import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from edgegeom.operators.clean import node_count
-from edgegeom.plans.report import edge_report
+from edgegeom.plans.report import bounds_from_forman, edge_report
 from edgegeom.plans.suite import manifest, resume_suite, run_suite
 from edgegeom.sources import reports as S
 from edgegeom.sources.co_order import co_order_edges
 from edgegeom.sources.edge_csv import read_edge_csv, read_edge_folder
+from edgegeom.sources.edge_list import EdgeListReader, load_edges
 from graphs import NAMED, frame
 
 
@@ -21,6 +24,59 @@ def test_edge_csv(spark, tmp_path):
     assert [r.n for r in node_count(chosen).collect()] == [2]
 
 
+@pytest.mark.parametrize("split_bytes", [1, 7, 64, 1 << 20])
+def test_edge_list_source_equals_the_csv_scan(spark, tmp_path, split_bytes):
+    (tmp_path / "messy.csv").write_text("u,v\n 1 , 2 \n2,1\n3,3\n\n # 4,5\n#6,7\n8\n9,x\n10,11,12\n5,1.5\n,4\n\"6\",+7\n99999999999999999999,1\n-3,4")
+    (tmp_path / "a b.csv").write_text("0,1\r\n1,2\r\n")
+    (tmp_path / "empty.csv").write_text("")
+    (tmp_path / "_skipped.csv").write_text("1,2\n")
+    want = sorted(map(tuple, read_edge_csv(spark, [f"{tmp_path}/messy.csv", f"{tmp_path}/a b.csv"]).collect()))
+    assert ("messy", -3, 4) in want and ("messy", 6, 7) in want and len(want) == 6
+    for paths in (str(tmp_path), [f"file://{tmp_path}/messy.csv", f"{tmp_path}/a b.csv", f"{tmp_path}/absent.csv"]):
+        assert sorted(map(tuple, load_edges(spark, paths, split_bytes).collect())) == want
+
+
+def test_edge_list_reads_large_files_in_ranges(spark, tmp_path):
+    rng = random.Random(2)
+    edges = {(rng.randrange(10**rng.randint(1, 18)), rng.randrange(10**9)) for _ in range(5000)}
+    (tmp_path / "large.csv").write_text("".join(f"{u},{v}\n" for u, v in edges))
+    reader = EdgeListReader({"path": f"{tmp_path}/large.csv", "splitbytes": "1000"})
+    splits = reader.partitions()
+    assert len(splits) > 100
+    read = [tuple(x.values()) for s in splits for b in reader.read(s) for x in b.to_pylist()]
+    assert sorted(read) == sorted(("large", u, v) for u, v in edges)
+
+
+def test_report_tables_join_without_a_shuffle(spark, tmp_path):
+    report = edge_report(frame(spark, {"a": NAMED["prism3"], "b": NAMED["clique7"]}))
+    given = report.select("graph_id", "u", "v", (F.col("bf") / 2).alias("x"))
+    name = f"t{abs(hash(str(tmp_path)))}"
+    one = S.save_report_table(report, f"{name}_a", f"{tmp_path}/a", 4)
+    two = S.save_report_table(given, f"{name}_b", f"{tmp_path}/b", 4)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        for df in (bounds_from_forman(one, two), one.groupBy("graph_id", "u", "v").agg(F.max("bf"))):
+            plan = df._jdf.queryExecution().executedPlan().toString()
+            assert "Exchange" not in plan, plan
+        want = sorted((r.u, r.v, round(r.or_lo, 9)) for r in bounds_from_forman(report, given).collect())
+        assert sorted((r.u, r.v, round(r.or_lo, 9)) for r in bounds_from_forman(one, two).collect()) == want
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.sql(f"DROP TABLE {name}_a")
+        spark.sql(f"DROP TABLE {name}_b")
+
+
+def test_sizes_come_from_footers(spark, tmp_path):
+    graphs = {"a_n1.5": NAMED["prism3"], "007": NAMED["clique7"]}
+    S.write_report(edge_report(frame(spark, graphs)), f"{tmp_path}/parquet")
+    before = spark.conf.get("spark.sql.parquet.aggregatePushdown")
+    with S.footer_reads(spark):
+        plan = S.footer_sizes(spark, f"{tmp_path}/parquet")._jdf.queryExecution().toString()
+    assert "PushedAggregation: [MAX(v), COUNT(*)]" in plan and spark.conf.get("spark.sql.parquet.aggregatePushdown") == before
+    found = {r.graph_id: (r.n, r.m) for r in S.stored_sizes(spark, f"{tmp_path}/parquet").collect()}
+    assert found == {g: (1 + max(v for _, v in e), len(e)) for g, e in graphs.items()}
+
+
 def test_report_round_trips(spark, tmp_path):
     report = edge_report(frame(spark, {"a_n1.5": NAMED["prism3"], "b": NAMED["clique7"]}))
     want = sorted(map(tuple, report.collect()))
@@ -61,9 +117,10 @@ def test_edge_csv_cells_with_tabs(spark, tmp_path):
 def test_all_pairs_of_a_large_order(spark):
     lines = [(1, i, 100 + i, 50.0) for i in range(30)] + [(2, 1, 7, 45.0), (2, 2, 8, 45.0), (2, 3, 9, 1.0)]
     table = spark.createDataFrame(lines, "l_orderkey bigint, l_linenumber int, l_partkey bigint, l_quantity double")
-    for chunk_lines in (64, 4):
-        assert co_order_edges(table, chunk_lines=chunk_lines).count() == 435 + 1
-    assert co_order_edges(table, min_quantity=0.0, chunk_lines=5).count() == 435 + 3
+    for chunk_lines in (64, 5, 4):
+        assert co_order_edges(table, chunk_lines=chunk_lines).count() == 435 + 3
+    lots = co_order_edges(table, F.ceil(F.col("l_quantity") / 10), 4)
+    assert lots.count() == 435 + 1 and {r.graph_id for r in lots.collect()} == {"5"}
 
 
 def test_report_csv_is_tolerant(spark, tmp_path):

@@ -131,3 +131,20 @@ def test_suite_resolution(spark):
     rows = resolve_suite(preset_rows(spark, "tiny"), chosen).collect()
     assert [r.params for r in rows if r.family == "er"] == [[5.0, 0.5]]
     assert {r.family for r in rows} == set(PRESETS["tiny"])
+
+
+def test_merged_sketches(spark):
+    """Parts of one distribution merge to its moments, and to its quantiles within the stated rank error."""
+    rng = np.random.default_rng(5)
+    x = np.concatenate([rng.normal(size=40_000), rng.integers(0, 5, 20_000), [np.pi] * 15_000])
+    rows = spark.createDataFrame([(int(i % 37), float(v)) for i, v in enumerate(x)] + [(99, None)], "part int, value double")
+    whole = Q.merge_sketches(Q.sketch_metrics(rows, ["part"]).withColumn("metric", F.lit("m")), ["metric"])
+    r = Q.summarize_sketches(whole, ["metric"]).first()
+    assert r["count"] == len(x)
+    assert (r["mean"], r["std"], r["min"], r["max"]) == (pytest.approx(x.mean()), pytest.approx(x.std()), x.min(), x.max())
+    for name, p in Q.SUMMARY_QUANTILES.items():
+        below, upto = (x < r[name]).mean(), (x <= r[name]).mean()
+        assert below - 2 * Q.sketch_rank_error() <= p <= upto + 2 * Q.sketch_rank_error()
+    assert Q.sketch_rank_error() < 0.005
+    exact = Q.summarize_sketches(Q.sketch_metrics(spark.createDataFrame([("a", 1.0), ("a", 2.0)], "g string, value double"), ["g"]), ["g"]).first()
+    assert (exact["count"], exact["min"], exact["max"]) == (2, 1.0, 2.0)
