@@ -567,8 +567,11 @@ SELECT graph_id,
   least(29, len(list_filter(generate_series(0, 30), lambda k: lx + k * wx <= bf)) - 1)::INT AS bin_x,
   least(29, len(list_filter(generate_series(0, 30), lambda k: ly + k * wy <= or_lazy)) - 1)::INT AS bin_y,
   count(*) AS count
-FROM tidy JOIN (SELECT graph_id, min(bf) AS lx, (max(bf) - min(bf)) / 30 AS wx, min(or_lazy) AS ly,
-  (max(or_lazy) - min(or_lazy)) / 30 AS wy FROM tidy GROUP BY ALL) USING (graph_id) GROUP BY ALL""",
+FROM tidy JOIN (SELECT graph_id, lx, (hx - lx) / 30 AS wx, ly, (hy - ly) / 30 AS wy FROM (
+  SELECT graph_id, min(bf) - one_x AS lx, max(bf) + one_x AS hx, min(or_lazy) - one_y AS ly, max(or_lazy) + one_y AS hy
+  FROM tidy JOIN (SELECT graph_id, CASE WHEN min(bf) = max(bf) THEN 0.5 ELSE 0 END AS one_x,
+    CASE WHEN min(or_lazy) = max(or_lazy) THEN 0.5 ELSE 0 END AS one_y FROM tidy GROUP BY ALL) USING (graph_id)
+  GROUP BY graph_id, one_x, one_y)) USING (graph_id) GROUP BY ALL""",
         upto="transport", extra=""",
 tidy AS (SELECT graph_id, round(bf, 9) + 0.0 AS bf, round(or_lazy, 9) + 0.0 AS or_lazy FROM cur)"""),
     "quantile_profile": graph(f"""

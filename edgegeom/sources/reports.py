@@ -107,12 +107,12 @@ def footer_reads(spark: SparkSession) -> Iterator[None]:
 
 
 def footer_sizes(spark: SparkSession, path: str) -> DataFrame:
-    """``(graph_id, n, m)`` of reports in Parquet; to be planned within ``footer_reads``.
+    """``(graph_id, n, m)`` of reports in Parquet; to be planned and run within ``footer_reads``.
 
     An edge's second node is its larger one, so the largest id is a column's maximum and no row is read.
+    Footers are looked up by a column's place, so the schema has all columns as they are in the files.
     """
-    rows = spark.read.schema(f"v BIGINT, `{GRAPH}` STRING").parquet(path)
-    return rows.groupBy(GRAPH).agg((F.max("v") + 1).alias("n"), F.count("*").alias("m"))
+    return read_report(spark, path).groupBy(GRAPH).agg((F.max("v") + 1).alias("n"), F.count("*").alias("m"))
 
 
 def stored_sizes(spark: SparkSession, path: str) -> DataFrame:
