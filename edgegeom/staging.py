@@ -9,9 +9,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 
+_SCRATCH: list[str] = []
+
 
 def staging_root(spark: SparkSession) -> str:
     """Shared folder named by ``spark.checkpoint.dir``; a fresh local one only in local mode."""
@@ -26,8 +31,26 @@ def staging_root(spark: SparkSession) -> str:
 
 
 def staging_path(spark: SparkSession, label: str) -> str:
-    """A path below the staging folder that nothing else uses."""
-    return f"{staging_root(spark)}/{label}-{uuid.uuid4().hex}"
+    """A path below the staging folder, or the open scratch folder, that nothing else uses."""
+    return f"{_SCRATCH[-1] if _SCRATCH else staging_root(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[str]:
+    """A folder for all that is staged while it is open, deleted at its end.
+
+    What is computed within must be written, or counted, before it closes: a table that is read later
+    would look for its staged parts.
+    """
+    path = f"{staging_root(spark)}/scratch-{uuid.uuid4().hex}"
+    _SCRATCH.append(path)
+    try:
+        yield path
+    finally:
+        _SCRATCH.remove(path)
+        system, inner = fs.FileSystem.from_uri(f"file://{path[len('file:'):]}" if path.startswith("file:/") and not path.startswith("file://") else path)
+        if system.get_file_info(inner).type == fs.FileType.Directory:
+            system.delete_dir(inner)
 
 
 def stage(df: DataFrame, label: str) -> DataFrame:

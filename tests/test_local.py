@@ -40,7 +40,7 @@ def many(spark):
     return graphs, prepare(frame(spark, graphs))
 
 
-@pytest.mark.parametrize("heavy_degree", [512, 8, 5, 3, 2, 1, 0])
+@pytest.mark.parametrize("heavy_degree", [512, 5, 2, 0])
 def test_counts_equal_listed_cycles(many, heavy_degree):
     graphs, degreed = many
     got = rows(L.quad_counts(degreed, heavy_degree))

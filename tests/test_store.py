@@ -1,5 +1,6 @@
 """Changed graphs, kept results and interrupted runs."""
 
+import pathlib
 import random
 
 import pytest
@@ -11,7 +12,7 @@ from edgegeom.plans.changes import update_manifest, update_report
 from edgegeom.plans.report import edge_report
 from edgegeom.plans.store import GraphStore, graph_digests
 from edgegeom.plans.suite import manifest
-from edgegeom.staging import stage
+from edgegeom.staging import scratch, stage
 from graphs import NAMED, frame
 
 PAIRS = "graph_id STRING, u BIGINT, v BIGINT"
@@ -21,8 +22,22 @@ def rows(df):
     return sorted(tuple(round(x, 9) if isinstance(x, float) else x for x in r) for r in df.collect())
 
 
-@pytest.mark.parametrize("heavy_degree", [512, 4])
-def test_random_changes_equal_a_full_run(spark, heavy_degree):
+def local(path):
+    return pathlib.Path(path.removeprefix("file:"))
+
+
+def test_scratch_tables_go_with_their_folder(spark, tmp_path):
+    with scratch(spark) as folder:
+        edge_report(frame(spark, {"a": NAMED["fan4"]})).write.parquet(f"{tmp_path}/report")
+        assert any(x.is_dir() for x in local(folder).iterdir())
+    assert not local(folder).exists() and spark.read.parquet(f"{tmp_path}/report").count() == len(NAMED["fan4"])
+    with pytest.raises(RuntimeError, match="stops"), scratch(spark) as folder:
+        stage(frame(spark, {"a": NAMED["fan4"]}), "edges")
+        raise RuntimeError("stops")
+    assert not local(folder).exists() and stage(frame(spark, {"a": NAMED["fan4"]}), "edges").count() == len(NAMED["fan4"])
+
+
+def test_random_changes_equal_a_full_run(spark, heavy_degree=4):
     rng = random.Random(41)
     old, new, added, removed = {}, {}, [], []
     for i in range(40):
