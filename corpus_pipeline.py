@@ -34,10 +34,18 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return jaccard.keep_one(docs).select(*docs.columns)
 
 
+#: Bytes of a repeated string that the pipeline cuts, and of the grams that find it.
+REPEATED_BYTES, REPEATED_GRAM = 250, 80
+
+
 def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the strings that start more than once; ``n_chars`` follows the text."""
+    """Texts without the strings that start more than once; ``n_chars`` follows the text.
+
+    A passage counts from about 50 words on, and 50 words of short ones are little more than 250 bytes with
+    their spaces; 400 bytes would leave about half of such passages.
+    """
     own = {c: f"own {c}" for c in docs.columns if c in suffix_dedup.RESULTS}
-    cut = suffix_dedup.remove_repeats(docs.withColumnsRenamed(own), characters=True)
+    cut = suffix_dedup.remove_repeats(docs.withColumnsRenamed(own), REPEATED_BYTES, REPEATED_GRAM, characters=True)
     text = F.when(F.col("n_removed") > 0, F.decode("kept", "UTF-8")).otherwise(F.col("text"))
     n_chars = F.when(F.col("n_removed") > 0, F.length(text).cast("bigint")).otherwise(F.col("n_chars"))
     changed = {"text": text, "n_chars": n_chars}
