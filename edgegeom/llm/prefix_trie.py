@@ -2,16 +2,17 @@
 
 Turns are numbered within their conversation, and a turn's name is a digest of its role and text.
 
-1. Names. Depths are cut into blocks of one turn, then two, four and so on. Within a block every turn
-   has the name of its prefix of the block. When two blocks become one, the upper block's last name is the
-   cut prefix; the lower block's names are hashed with it, in all blocks of all conversations at once.
-   After ceil(log2(depth)) rounds the names are those of whole prefixes, so a node is a depth and a name.
+1. Names. The recursion ends at blocks of ``BLOCK`` depths, which are named turn by turn as one row, and is
+   worked upwards from there. Within a block every turn has the name of its prefix of the block. When two
+   blocks become one, the upper block's last name is the cut prefix; the lower block's names are hashed
+   with it, in all blocks of all conversations at once. After ceil(log2(depth / BLOCK)) rounds the names
+   are those of whole prefixes, so a node is a depth and a name.
 2. Nodes. An aggregation gives a node's members and least conversation. The pair of that conversation and
    the depth identifies the node from here on.
-3. Totals. Every node first has its own leaf count and saving. In the same order of blocks, the totals of
-   the trees below a cut are summed at the node they hang on and added to all its ancestors in the upper
-   block, which the least conversation's path names. So upper and lower parts are totalled side by side
-   and grafted together, in ceil(log2(depth)) rounds, for a trie of any depth.
+3. Totals. A node's leaf count and saving go to its ancestors in its own block, which its least
+   conversation's path names. Then, in the same order of blocks, the totals of the trees below a cut are
+   summed at the node they hang on and added to all its ancestors in the upper block. So upper and lower
+   parts are totalled side by side and grafted together, in as many rounds, for a trie of any depth.
 
 Every step is a join against a unique side or an aggregation with partial sums: neither a first turn that
 all conversations share nor a conversation that holds a third of all turns is ever one group of one task.
@@ -35,6 +36,8 @@ from pyspark.sql import functions as F
 from ..staging import stage
 from .common import text_of
 
+#: Depths of the smallest blocks, at which the recursion ends.
+BLOCK = 16
 #: Ids that one row of a node's list of conversations has.
 LISTED = 1024
 
@@ -79,7 +82,12 @@ def _block(depth: Column, size: int) -> Column:
 
 def prefix_names(turns: DataFrame, deepest: int) -> DataFrame:
     """``turns`` with the name of the prefix that ends there in place of the turn's own."""
-    named, size = turns.select("conv_id", F.col("position").alias("depth"), "name", "n_chars"), 1
+    rows = turns.groupBy("conv_id", _block(F.col("position"), BLOCK).alias("block")).agg(F.sort_array(F.collect_list(F.struct("position", "name", "n_chars"))).alias("own"))
+    hashed = lambda names, x: F.unhex(F.sha2(F.concat(F.element_at(names, -1), x["name"]), 256))
+    names = F.aggregate(F.slice("own", 2, BLOCK), F.array(F.get("own", F.lit(0))["name"]), lambda names, x: F.array_append(names, hashed(names, x)))
+    named = rows.select("conv_id", F.inline(F.arrays_zip(F.col("own"), names.alias("names")))).select(
+        "conv_id", F.col("own.position").alias("depth"), F.col("names").alias("name"), F.col("own.n_chars").alias("n_chars"))
+    named, size = stage(named, "prefixes"), BLOCK
     while size < deepest:
         block = _block(F.col("depth"), size)
         cuts = named.where(F.col("depth") % (2 * size) == size).select("conv_id", F.floor(F.col("depth") / size).alias("block"), F.col("name").alias("upper"))
@@ -93,7 +101,14 @@ def prefix_names(turns: DataFrame, deepest: int) -> DataFrame:
 def _grafted(nodes: DataFrame, paths: DataFrame, deepest: int) -> DataFrame:
     """``conv_id, depth, n_leaves, saved_tokens`` over whole subtrees from the nodes' own values."""
     sums = [F.sum("n_leaves").alias("n_leaves"), F.sum("saved_tokens").alias("saved_tokens")]
-    totals, size = nodes.select("conv_id", "depth", "parent_conv_id", "n_leaves", "saved_tokens"), 1
+    block = _block(F.col("depth"), BLOCK).alias("block")
+    held = paths.groupBy(F.col("member").alias("conv_id"), block).agg(F.collect_list(F.struct(F.col("depth").alias("at"), F.col("conv_id").alias("above"))).alias("held"))
+    rows = nodes.select("conv_id", "depth", "parent_conv_id", "n_leaves", "saved_tokens", block).join(held, ["conv_id", "block"])
+    rows = rows.withColumn("held", F.filter("held", lambda x: x["at"] <= F.col("depth"))).select("conv_id", "depth", "parent_conv_id", "n_leaves", "saved_tokens", F.inline("held"))
+    own = (F.col("at") == F.col("depth")) & (F.col("above") == F.col("conv_id"))
+    rows = rows.withColumn("parent_conv_id", F.when(own, F.col("parent_conv_id"))).drop("conv_id", "depth").withColumnsRenamed({"above": "conv_id", "at": "depth"})
+    totals = rows.groupBy("conv_id", "depth").agg(F.max("parent_conv_id").alias("parent_conv_id"), *sums)
+    totals, size = stage(totals.select("conv_id", "depth", "parent_conv_id", "n_leaves", "saved_tokens"), "totals"), BLOCK
     while size < deepest:
         roots = totals.where((F.col("depth") - 1) % (2 * size) == size)
         below = roots.groupBy(F.col("parent_conv_id").alias("member"), (F.col("depth") - 1).alias("cut")).agg(*sums)

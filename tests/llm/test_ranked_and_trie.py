@@ -127,7 +127,9 @@ def test_trie_equals_plain_prefixes(spark, tmp_path, monkeypatch):
     assert sorted((r[0], r[1], -1 if r[2] is None else r[2], *r[3:]) for r in found) == plain_trie(rebuilt(rows))
 
 
-def test_trie_of_one_deep_conversation(spark, tmp_path):
+@pytest.mark.parametrize("block", [1, 2, 16])
+def test_trie_of_one_deep_conversation(spark, tmp_path, monkeypatch, block):
+    monkeypatch.setattr(prefix_trie, "BLOCK", block)
     rng = random.Random(6)
     rows = [(3, i, "user", str(rng.randint(0, 3))) for i in range(150)] + [(103, i, "user", "y") for i in range(5)] + [(4, 0, "user", "z")]
     rows += [(6, t, r, x) for _, t, r, x in rows[:133]]
