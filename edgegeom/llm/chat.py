@@ -6,7 +6,8 @@ layout, whose declaration is compiled to DataFrame expressions giving canonical
 ``array<struct<turn, role, text>>``. Only DataFrame functions are used.
 
 Defined results: a null text or role is the empty string; turns are ordered by (turn, role, text),
-nulls first, so repeated rows are repeated turns; a conversation without turns formats to the empty
+nulls first, so repeated rows are repeated turns; very long
+texts stay whole; an empty table gives no rows; a conversation without turns formats to the empty
 string; columns that a layout does not name are ignored, whatever they are called; a table of an
 unknown layout is refused, a JSON record of one keeps ``layout`` null and has no turns.
 """

@@ -13,7 +13,8 @@ and aggregations that follow keep that partitioning, so text is shuffled a singl
 
 Defined results: a null text is empty; texts without a word share the fingerprint of ``f`` digits;
 rows with one doc_id follow each other by text; null ids come last, before the order starts anew; a
-single document is its own next; an empty table gives no rows; other columns are not read.
+single document is its own next; equal levels of a sample go to the smallest identity; very long texts count
+whole, by the terms they have; an empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -112,7 +113,8 @@ def _blocks(docs: DataFrame) -> tuple[DataFrame, Column, int | None, int]:
     low, high = docs.agg(F.min("doc_id"), F.max("doc_id")).first()
     low, high = (low or 0), high
     width = max(1, -(-((high if high is not None else low) - low + 1) // CELLS))
-    cell = F.expr(f"(doc_id - {low}L) div {width}L")
+    # Ids may lie farther apart than a long can tell.
+    cell = F.expr(f"CAST((CAST(doc_id AS DECIMAL(20,0)) - CAST('{low}' AS DECIMAL(20,0))) div CAST('{width}' AS DECIMAL(20,0)) AS BIGINT)")
     size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("bigint")
     found = docs.select(F.coalesce(cell, F.lit(0)).cast("bigint").alias("cell"), "doc_id", size.alias("size"))
     found = found.groupBy("cell").agg(F.sum("size").alias("size"), F.max("doc_id").alias("top")).collect()  # CELLS rows at most

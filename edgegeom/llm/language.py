@@ -7,7 +7,8 @@ has up to ``CLUSTERS`` centroids, found by spherical k-means on a sample of at m
 rows. A text takes the language of the centroid of largest cosine. It is rejected if it is farther
 from that centroid than any sampled text of the language from its nearest, by more than ``SLACK``.
 
-Defined results: a null text or one without a letter is ``und``, score 0 and rejected; a model without
+Defined results: a null text or one without a letter is ``und``, score 0 and rejected; equal cosines go to
+the first language by name; very long texts count whole; an empty table gives no rows; a model without
 any labelled row calls every text ``und`` and rejects only texts without a letter; equal texts get
 equal results; rows keep their number and other columns, columns named as the results are replaced.
 """

@@ -3,13 +3,14 @@
 Each document has two histograms: of its characters over classes, and of its words over a fixed list
 of common words (all others share one bin). The references are the summed histograms of all documents
 of a language that have ``MIN_WORDS`` words. A document is kept if its base counts pass and, where it
-is long enough to tell, both histograms lie within a Jensen-Shannon distance of some language's
-reference. Only DataFrame functions are used; there is no join and no shuffle of rows: the references
+is long enough to tell, both histograms lie near some language's reference by Jensen-Shannon distance:
+that of the characters within a limit, that of the words well below the distance of a text without any
+common word. Only DataFrame functions are used; there is no join and no shuffle of rows: the references
 are a few numbers a language, gathered in a first pass, and judging is a projection.
 
 Defined results: a null text has no words and fails the base rules; rows keep all their columns and
-their number, so repeated rows are judged alike; a null ``lang`` counts as a language of its own; with
-no reference at all (empty table, no long text) the divergence rules pass; columns of the same names
+their number, so repeated rows are judged alike; a null ``lang`` counts as a language of its own; very
+long texts are judged whole; with no reference at all (empty table, no long text) the divergence rules pass; columns of the same names
 as the results are replaced.
 """
 
@@ -32,8 +33,13 @@ MIN_WORDS = 50
 MAX_REPEATED = 50
 #: The character histogram is compared from so many characters on, the word histogram from so many words.
 MIN_CHARS_CLASSES, MIN_WORDS_COMMON = 200, 100
-#: Jensen-Shannon distances (base 2, so 0 to 1) beyond which a document fails.
-MAX_CLASS_DISTANCE, MAX_WORD_DISTANCE = 0.3, 0.5
+#: Jensen-Shannon distance (base 2, so 0 to 1) of character classes beyond which a document fails.
+MAX_CLASS_DISTANCE = 0.3
+#: Word distances are shares of the distance that a text without any common word has from the language, which
+#: depends on how many such words its texts have. A document fails beyond this share.
+MAX_WORD_SHARE = 0.85
+#: A language whose texts are nearer than this to a text without common words says nothing about words.
+LEAST_WORD_DISTANCE = 0.1
 #: Languages are few; more distinct values than this are an error in the data.
 MAX_LANGUAGES = 1000
 #: Frequent function words of English, German, French and Spanish.
@@ -137,8 +143,16 @@ def distance(shares: Column, reference: list[float]) -> Column:
     return F.sqrt(F.greatest(F.aggregate(shares, F.lit(start), step), F.lit(0.0)))
 
 
-def _nearest(name: str, given: list[list[float]]) -> Column:
-    each = [distance(F.col(f"{W}{name}_shares"), q) for q in given]
+def without_common(reference: list[float]) -> float:
+    """Distance of a text of rare words alone."""
+    q = reference[-1]
+    rare = 1 - math.log2(1 + q) + (q + q * math.log2(q / (1 + q)) if q > 0 else 0.0)
+    return math.sqrt(max(0.0, (sum(reference[:-1]) + rare) / 2))
+
+
+def _nearest(name: str, given: list[list[float]], relative: bool = False) -> Column:
+    far = [without_common(q) if relative else 1.0 for q in given]
+    each = [distance(F.col(f"{W}{name}_shares"), q) / F.lit(x) if x >= LEAST_WORD_DISTANCE else F.lit(0.0) for q, x in zip(given, far, strict=True)]
     return F.least(*each) if len(each) > 1 else each[0] if each else F.lit(0.0)
 
 
@@ -192,10 +206,10 @@ def judge(docs: DataFrame, known: list[tuple[list[float], list[float]]] | None =
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED * F.col("n_words"))
     out = out.withColumns({
         "class_distance": F.when(F.col(f"{W}n") >= MIN_CHARS_CLASSES, _nearest("class", [c for c, _ in known])).otherwise(0.0),
-        "word_distance": F.when(F.col("n_words") >= MIN_WORDS_COMMON, _nearest("word", [w for _, w in known])).otherwise(0.0),
+        "word_distance": F.when(F.col("n_words") >= MIN_WORDS_COMMON, _nearest("word", [w for _, w in known], True)).otherwise(0.0),
         "base_failed": failed,
     })
-    near = (F.col("class_distance") <= MAX_CLASS_DISTANCE) & (F.col("word_distance") <= MAX_WORD_DISTANCE)
+    near = (F.col("class_distance") <= MAX_CLASS_DISTANCE) & (F.col("word_distance") <= MAX_WORD_SHARE)
     out = out.withColumn("kept", ~F.col("base_failed") & near)
     return out.drop(*[c for c in out.columns if c.startswith(W)])
 

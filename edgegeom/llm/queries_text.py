@@ -83,11 +83,17 @@ _RARE = len(quality.COMMON)
 _OUT = lambda pattern: f"length(regexp_replace(t, '{pattern}', '', 'g'))"
 
 
-def _sql_distance(histogram: str, bins: int) -> str:
-    """Least Jensen-Shannon distance of each document's histogram from a language's."""
+def _sql_distance(histogram: str, bins: int, relative: bool = False) -> str:
+    """Least Jensen-Shannon distance of each document's histogram from a language's.
+
+    With ``relative`` as a share of the distance that a histogram of the last bin alone has.
+    """
+    rare = "CASE WHEN l.bin = {0} THEN 1 - log2(1 + l.q) + CASE WHEN l.q > 0 THEN l.q + l.q * log2(l.q / (1 + l.q)) ELSE 0 END ELSE l.q END".format(bins - 1)
+    far = f"sqrt(greatest(0, sum({rare}) / 2))"
+    share = f"CASE WHEN far >= {quality.LEAST_WORD_DISTANCE} THEN sqrt(greatest(0, js / 2)) / far ELSE 0 END"
     return f"""
-SELECT r, min(sqrt(greatest(0, js / 2))) AS d FROM (
-  SELECT s.r, l.lang, sum(CASE WHEN s.p > 0 THEN s.p * log2(2 * s.p / (s.p + l.q)) ELSE 0 END
+SELECT r, min({share if relative else 'sqrt(greatest(0, js / 2))'}) AS d FROM (
+  SELECT s.r, l.lang, {far} AS far, sum(CASE WHEN s.p > 0 THEN s.p * log2(2 * s.p / (s.p + l.q)) ELSE 0 END
                         + CASE WHEN l.q > 0 THEN l.q * log2(2 * l.q / (s.p + l.q)) ELSE 0 END) AS js
   FROM (SELECT g.r, g.bin, coalesce(h.n, 0) / greatest(1, sum(coalesce(h.n, 0)) OVER (PARTITION BY g.r)) AS p
         FROM (SELECT r, unnest(range({bins})) AS bin FROM d) g LEFT JOIN {histogram} h ON h.r = g.r AND h.bin = g.bin) s
@@ -119,7 +125,7 @@ outs AS (
 classes AS MATERIALIZED (
   SELECT r, unnest(range({len(quality.CLASSES)})) AS bin, unnest([n - rest - (n - small), n - small, digit, space, marks, symbol,
     rest - digit - space - marks - symbol])::DOUBLE AS n FROM outs),
-dw AS ({_sql_distance('words', _RARE + 1)}),
+dw AS ({_sql_distance('words', _RARE + 1, True)}),
 dc AS ({_sql_distance('classes', len(quality.CLASSES))}),
 base AS (
   SELECT d.r, doc_id, len(ws) AS n_words, n - space AS word_chars, symbol AS n_symbols, n, coalesce(covered, 0) AS n_repeat_words,
@@ -129,7 +135,7 @@ failed AS (SELECT *, n_words < {quality.MIN_WORDS} OR 100 * n_repeat_words > {qu
 SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols,
   n_dup_lines::BIGINT AS n_dup_lines, n_repeat_words::BIGINT AS n_repeat_words, base_failed,
   NOT base_failed AND (n < {quality.MIN_CHARS_CLASSES} OR coalesce(dc.d, 0) <= {quality.MAX_CLASS_DISTANCE})
-  AND (n_words < {quality.MIN_WORDS_COMMON} OR coalesce(dw.d, 0) <= {quality.MAX_WORD_DISTANCE}) AS kept
+  AND (n_words < {quality.MIN_WORDS_COMMON} OR coalesce(dw.d, 0) <= {quality.MAX_WORD_SHARE}) AS kept
 FROM failed LEFT JOIN dc USING (r) LEFT JOIN dw USING (r)
 """
 

@@ -75,7 +75,7 @@ def test_records_of_mixed_layouts(spark):
 def test_queries_equal_their_sql(spark, name):
     folder = "/root/testdata/sf0.001"
     con = duckdb.connect()
-    for table in ("conversations", "documents", "pages"):
+    for table in ("benchmark", "conversations", "documents", "pages"):
         con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{folder}/{table}.parquet'")
     found = con.sql(catalog.SQL[name])
     order = sorted(found.columns)
@@ -105,6 +105,15 @@ def test_edited_texts_and_likeness(spark):
     assert got[80].fingerprint == got[81].fingerprint
 
 
+def test_fingerprints_of_extreme_ids(spark):
+    rows = [(i, f"text of {i} and of others") for i in (-(2**63), -1, 0, 2**63 - 1)]
+    got = {r.doc_id: r for r in fingerprints.edited_likeness(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    order = sorted(rows, reverse=True)
+    for at, (i, text) in enumerate(order):
+        following, half = order[(at + 1) % len(order)][1], len(text) // 2
+        assert got[i].edited_sha256 == hashlib.sha256((text[: len(text) - half] + following[:half]).encode()).hexdigest()
+
+
 def test_fingerprints_of_many_blocks(spark, docs, monkeypatch):
     whole = fingerprints.edited_likeness(docs).orderBy("doc_id", "edited_sha256").collect()
     monkeypatch.setattr(fingerprints, "BLOCK_BYTES", 3000)
@@ -151,11 +160,23 @@ def test_quality_counts_and_verdict(spark, docs):
         assert r.base_failed == (n < 50 or 100 * rest[-1] > 50 * n)
         words = collections.Counter(w.lower() for w in re.findall(r"[^\x20\x09-\x0D]+", r.text or ""))
         shares = [words[w] / max(1, n) for w in quality.COMMON]
-        want = min(brute_distance([*shares, 1 - sum(shares)], q) for _, q in known) if n >= quality.MIN_WORDS_COMMON else 0
+        rare = [0.0] * len(shares) + [1.0]
+        apart = [(brute_distance([*shares, 1 - sum(shares)], q), brute_distance(rare, q)) for _, q in known]
+        want = min(d / far if far >= quality.LEAST_WORD_DISTANCE else 0 for d, far in apart) if n >= quality.MIN_WORDS_COMMON else 0
         assert r.word_distance == pytest.approx(want, abs=1e-6)
         far = min(brute_distance(brute_classes(r.text), q) for q, _ in known) if len(r.text or "") >= quality.MIN_CHARS_CLASSES else 0
         assert r.class_distance == pytest.approx(far, abs=1e-6)
-        assert r.kept == (not r.base_failed and r.class_distance <= quality.MAX_CLASS_DISTANCE and r.word_distance <= quality.MAX_WORD_DISTANCE)
+        assert r.kept == (not r.base_failed and r.class_distance <= quality.MAX_CLASS_DISTANCE and r.word_distance <= quality.MAX_WORD_SHARE)
+
+
+def test_prose_without_common_words_fails(spark):
+    rng = random.Random(17)
+    made = lambda n, common: " ".join(
+        rng.choice(quality.COMMON[:20]) if rng.random() < common else "".join(rng.choice("abdeilmnorstu") for _ in range(rng.randint(3, 9))) for _ in range(n))
+    rows = [(i, made(400, 0.3), "en") for i in range(60)] + [(100 + i, made(400, 0.0), "en") for i in range(6)] + [(200 + i, made(400, 0.2), None) for i in range(6)]
+    judged = {r.doc_id: r for r in quality.judge(spark.createDataFrame(rows, "doc_id bigint, text string, lang string")).collect()}
+    assert all(not r.base_failed and r.class_distance <= quality.MAX_CLASS_DISTANCE for r in judged.values())
+    assert all(r.kept == (i < 100 or i >= 200) for i, r in judged.items())
 
 
 def test_quality_counts_beyond_the_packed_positions(docs, monkeypatch):
@@ -168,6 +189,45 @@ def test_quality_of_an_empty_table(no_docs):
     assert quality.references(no_docs) == [] and quality.judge(no_docs).count() == 0
 
 
+def plain_grams(text):
+    """Hashed 1- to 3-grams of the bytes of a text's letters, one by one."""
+    raw = bytes(b if b >= 128 or chr(b).isalpha() else 32 for b in (text or "").lower().encode())
+    raw = b" " + " ".join(raw.decode("latin-1").split()).encode("latin-1") + b" "
+    found = collections.Counter()
+    for n in (1, 2, 3):
+        for i in range(len(raw) - n + 1):
+            code = int.from_bytes(raw[i : i + n], "big") + (0, 1 << 25, 1 << 26)[n - 1]
+            found[(code * 2654435761 % 2**32) >> 20] += 1
+    return found
+
+
+def test_language_equals_a_plain_search(spark, docs):
+    """Document frequencies, the nearest centroid, its cosine and the rejection, dimension by dimension."""
+    model = language.fit(docs)
+    rows = docs.collect()
+    train = [plain_grams(r.text) for r in rows if r.text is not None and r.lang is not None]
+    for at in range(0, language.DIMENSIONS, 7):
+        df = sum(at in g for g in train)
+        want = math.log((1 + len(train)) / (1 + df)) + 1e-3 if df else math.log(1 + len(train))
+        assert math.isclose(model.idf[at], want, rel_tol=1e-9)
+    assert all(model.languages.count(x) <= language.CLUSTERS for x in model.languages)
+    found = {(r.doc_id, r.text): r for r in language.predict(docs, model).collect()}
+    for r in rows:
+        got = found[r.doc_id, r.text]
+        if not any(c.isalpha() for c in r.text or ""):
+            assert (got.lang_pred, got.score, got.rejected) == (language.UNKNOWN, 0, True)
+            continue
+        v = {at: math.sqrt(n) * model.idf[at] for at, n in plain_grams(r.text).items()}
+        norm = math.sqrt(sum(x * x for x in v.values()))
+        cosines = [sum(x * float(c[at]) for at, x in v.items()) / norm for c in model.centroids]
+        best = max(range(len(cosines)), key=cosines.__getitem__)
+        assert got.score == pytest.approx(min(1, max(0, cosines[best])), abs=1e-5)
+        if sorted(cosines)[-1] - max([c for c, x in zip(cosines, model.languages, strict=True) if x != model.languages[best]], default=-1) > 1e-5:
+            assert got.lang_pred == model.languages[best]
+        if abs(1 - cosines[best] - model.radii[best]) > 1e-5:
+            assert got.rejected == (1 - cosines[best] > model.radii[best])
+
+
 def test_language_on_held_out_rows(spark):
     docs = queries_text.table(spark, "/root/testdata/sf0.01", "documents")
     got = queries_text.op8_language_id(spark, "/root/testdata/sf0.01").join(docs, "doc_id").where("held_out and n_chars > 100").collect()
