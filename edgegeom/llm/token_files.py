@@ -7,8 +7,9 @@ finds the n-th offset without a table of 64-bit offsets. Documents are dealt by
 sorted within, so the shards, in order of range and number, hold all documents in ascending doc_id.
 
 Defined results: a null text is empty and has the end id alone; null doc_ids come first; rows of one
-doc_id follow each other by text, repeated rows are repeated documents; other columns are not read; an
-empty table gives no shard and no row.
+doc_id follow each other in the order of their texts' hashes, repeated rows are repeated documents; very long
+texts are encoded whole in their task; ids may be any longs, and a shard ends where they lie too far
+apart; other columns are not read; an empty table gives no shard and no row.
 """
 
 from __future__ import annotations
@@ -25,11 +26,15 @@ from pyspark.sql import functions as F
 from ..staging import stage, staging_path
 from .common import text_of
 from .files import Output, locate, new_name
-from .units import Encoder, small_batches
+from .units import encoder_of, small_batches
 
 MAGIC = b"EFTOKENS1\n"
 #: A shard is closed when it has so many ids.
 SHARD_IDS = 8 << 20
+#: A shard's document ids lie closer than this, so that their differences are longs.
+WIDEST = 1 << 62
+#: Values whose low bits are packed at a time; a multiple of 8.
+SLICE = 1 << 16
 #: Every so many ones of the high bits have their place sampled.
 EVERY = 64
 #: Documents read from a shard at a time.
@@ -48,7 +53,9 @@ class EliasFano:
         n, top = len(values), int(values[-1]) if len(values) else 0
         low_bits = max(0, (top // n).bit_length() - 1) if n else 0
         shifts = np.arange(low_bits, dtype=np.int64)
-        low = np.packbits(((values[:, None] >> shifts) & 1).astype(np.uint8).ravel(), bitorder="little")
+        slices = (values[at : at + SLICE, None] for at in range(0, n, SLICE))
+        packed = [np.packbits(((x >> shifts) & 1).astype(np.uint8).ravel(), bitorder="little") for x in slices]
+        low = np.concatenate([*packed, np.zeros(0, np.uint8)])
         ones = (values >> low_bits) + np.arange(n, dtype=np.int64)
         bits = np.zeros(int(ones[-1]) + 1 if n else 0, dtype=np.uint8)
         bits[ones] = 1
@@ -134,24 +141,36 @@ class Shard:
 def write(docs: DataFrame, tokenizer: str, end_id: int = 0, folder: str | None = None) -> DataFrame:
     """Encodes and writes all documents; the staged manifest ``file, part, number, documents, ids``."""
     folder = folder or staging_path(docs.sparkSession, "tokens")
-    rows = docs.select("doc_id", text_of().alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    # Rows of one id, null included, are dealt by their texts and copies, so no id is a partition of its own.
+    keys = ["doc_id", "hash", "copy"]
+    rows = docs.select("doc_id", text_of().alias("text"), F.xxhash64(text_of()).alias("hash"), F.monotonically_increasing_id().alias("copy"))
+    rows = rows.repartitionByRange(*keys).sortWithinPartitions(*keys).select("doc_id", "text")
 
     def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(tokenizer)
+        encoder = encoder_of(tokenizer)
         end = np.array([end_id], dtype=encoder.kind).tobytes()
-        part, held, names, size, made = TaskContext.get().partitionId(), [], [], 0, []
+        part, held, names, size, least, made = TaskContext.get().partitionId(), [], [], 0, None, []
+
+        def close() -> None:
+            nonlocal held, names, size, least
+            made.append(_write_shard(folder, encoder.kind, held, names) | {"part": part, "number": len(made)})
+            held, names, size, least = [], [], 0, None
+
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for at, some in small_batches(texts):
                 for i, x in enumerate(encoder(some)):
+                    name = ids[at + i]
+                    if name is not None and least is not None and name - least >= WIDEST:
+                        close()
+                    least = name if least is None else least
                     held.append(x + end)
-                    names.append(ids[at + i])
+                    names.append(name)
                     size += len(held[-1]) // encoder.width
                     if size >= SHARD_IDS:
-                        made.append(_write_shard(folder, encoder.kind, held, names) | {"part": part, "number": len(made)})
-                        held, names, size = [], [], 0
+                        close()
         if held:
-            made.append(_write_shard(folder, encoder.kind, held, names) | {"part": part, "number": len(made)})
+            close()
         yield pa.RecordBatch.from_pylist(made, pa.schema([("file", pa.string()), ("part", pa.int32()), ("number", pa.int32()), ("documents", pa.int64()), ("ids", pa.int64())]))
 
     return stage(rows.mapInArrow(put, "file string, part int, number int, documents bigint, ids bigint"), "token-manifest")

@@ -8,8 +8,8 @@ page_id is a response and the others revisit it.
 
 Defined results: a null payload is empty; a null URL is empty, control characters in one are
 percent-encoded; a null page_id is never the smallest unless all are null, and then every record is a
-response; repeated rows of the smallest page_id are responses all; other columns are not read; an
-empty table gives no file and no row.
+response; repeated rows of the smallest page_id are responses all; very long payloads
+are one record, held by one task; other columns are not read; an empty table gives no file and no row.
 """
 
 from __future__ import annotations
@@ -80,10 +80,14 @@ def write(pages: DataFrame, folder: str | None = None, min_revisit: int = 0, pay
     body = F.coalesce(F.col(payload), F.lit("")).cast("binary")
     rows = pages.select("page_id", "url", body.alias("payload"), F.sha1(body).alias("digest"))
     first = pages.select("page_id", F.sha1(body).alias("digest"), F.octet_length(body).alias("size"))
-    first = first.where(F.col("size") >= min_revisit).groupBy("digest").agg(F.min("page_id").alias("first"))
-    rows = rows.join(first, "digest", "left")
-    revisits = F.col("first").isNotNull() & ~F.col("first").eqNullSafe(F.col("page_id"))
-    rows = rows.select("page_id", "url", "payload", "digest", F.when(revisits, F.col("first")).alias("refers_to"))
+    digests = first.where(F.col("size") >= min_revisit)
+    # Only digests met again are looked up, by ids and digests alone; payloads meet their verdict by page.
+    first = digests.groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1 and first is not null")
+    revisits = digests.join(first.select("digest", "first"), "digest").where(~F.col("first").eqNullSafe(F.col("page_id")))
+    revisits = revisits.groupBy("page_id", "digest").agg(F.min("first").alias("refers_to"))
+    revisits = revisits.select(F.col("page_id").alias("again"), F.col("digest").alias("again_digest"), "refers_to")
+    same = F.col("page_id").eqNullSafe(F.col("again")) & (F.col("digest") == F.col("again_digest"))
+    rows = rows.join(revisits, same, "left").select("page_id", "url", "payload", "digest", "refers_to")
 
     def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = None
@@ -145,4 +149,7 @@ def read(index: DataFrame, gap: int = GAP, size: int = RANGE) -> DataFrame:
                 if made:
                     yield pa.RecordBatch.from_pylist(made, _RECORD)
 
-    return ranges(index, gap, size).mapInArrow(fetch, RECORD)
+    # The index is small and would be one task's; its ranges are dealt over as many as the bytes ask for.
+    n_bytes = index.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
+    spread = ranges(index, gap, size).repartition(max(1, -(-n_bytes // size)), "file", "start")
+    return spread.mapInArrow(fetch, RECORD)

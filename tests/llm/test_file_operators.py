@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from edgegeom.llm import bpe, packing, token_files, units, warc
+from tests.llm.conftest import prose
 
 WORD, BYTE = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("byte_bpe_50k.json")
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -101,18 +102,43 @@ def test_elias_fano():
     assert len(token_files.EliasFano.encode(big).parts()[1]) * 8 < 10_000 * (2 + 11 + 1)
 
 
+def check_token_files(got, rows):
+    """Documents in ascending doc_id, those of one id in any order, gapless."""
+    want, at = {}, 0
+    for (i, _), ids in zip(rows, library(BYTE, [t for _, t in rows]), strict=True):
+        want.setdefault(i, []).append(np.array([*ids, 0], "<u4").tobytes())
+    assert [r.doc_id for r in got] == sorted((i for i, _ in rows), key=lambda i: (i is not None, i or 0))
+    for r in got:
+        want[r.doc_id].remove(bytes(r.ids))
+        assert r.start == at and r.n_tokens == len(r.ids) // 4
+        at += r.n_tokens
+
+
 def test_token_files_come_back(spark, docs, no_docs, monkeypatch):
     monkeypatch.setattr(token_files, "SHARD_IDS", 500)
-    rows = sorted(((r.doc_id, r.text or "") for r in docs.collect()), key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
     got = token_files.read(token_files.write(docs, BYTE)).orderBy("start").collect()
-    at = 0
-    assert len(got) == len(rows)
-    for r, (i, _), ids in zip(got, rows, library(BYTE, [t for _, t in rows]), strict=True):
-        assert (r.doc_id, r.start, r.n_tokens, bytes(r.ids)) == (i, at, len(ids) + 1, np.array([*ids, 0], "<u4").tobytes())
-        at += len(ids) + 1
+    check_token_files(got, [(r.doc_id, r.text or "") for r in docs.collect()])
     assert token_files.read(token_files.write(no_docs, BYTE)).count() == 0
 
 
+def test_token_files_bear_any_ids(spark, monkeypatch):
+    """The least and largest longs in one range, and a third of all rows under one id and under none."""
+    rng = random.Random(13)
+    rows = [(i, prose(rng, 3)) for i in (-(2**63), -(2**62), -1, 0, 1, 2**62, 2**63 - 1)]
+    rows += [(5, prose(rng, rng.randint(0, 9))) for _ in range(60)] + [(None, prose(rng, 2)) for _ in range(60)] + [(7, "copy")] * 60
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        for partitions in ("1", "16"):
+            spark.conf.set("spark.sql.shuffle.partitions", partitions)
+            manifest = token_files.write(docs, BYTE)
+            check_token_files(token_files.read(manifest).orderBy("start").collect(), rows)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert manifest.agg(F.max("documents")).first()[0] < len(rows) // 3  # neither id is one task's
+
+
 @pytest.mark.parametrize("least", [0, 5])
 def test_archives_come_back(spark, least, monkeypatch):
     monkeypatch.setattr(warc, "FILE_BYTES", 2000)
@@ -139,6 +165,17 @@ def test_archives_come_back(spark, least, monkeypatch):
     assert warc.read(warc.write(pages.limit(0))).count() == 0
 
 
+def test_archives_are_read_by_many_tasks(spark):
+    pages = spark.createDataFrame([(i, "u", "copy" if i % 3 == 0 else random.Random(i).randbytes(300).hex()) for i in range(300)], "page_id bigint, url string, html string")
+    index = warc.write(pages)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        read = warc.read(index, size=10_000).withColumn("task", F.spark_partition_id())
+        assert read.select("task").distinct().count() > 3 and read.count() == 300
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
 def test_records_are_checked():
     raw = warc.record(1, "u", b"abc", base64.b32encode(hashlib.sha1(b"abc").digest()).decode(), None)
     assert warc.parse(raw)["payload"] == b"abc"
