@@ -8,7 +8,7 @@ that rank. A length may hold a third of all pieces, so ranks are row numbers wit
 number of pieces in the parts before.
 
 Defined results: a null text is empty, its document the end id alone; repeated rows are packed each;
-ties go by the order columns, then arbitrarily; other columns are carried along by :func:`pack`, whose
+very long texts are encoded whole in their task and cut into as many pieces as they need; ties go by the order columns, then arbitrarily; other columns are carried along by :func:`pack`, whose
 own working columns have reserved names; an empty table gives no rows.
 """
 
@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from ..staging import stage
 from .common import text_of
-from .units import Encoder, small_batches, widened
+from .units import encoder_of, small_batches, widened
 
 CAPACITY = 2048
 #: Pieces in a salted part of a length, on average.
@@ -37,7 +37,7 @@ P = "__pack_"
 def token_pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = CAPACITY) -> DataFrame:
     """``doc_id, start, length, doc_tokens, ids`` of every piece; ids as little-endian unsigned 32-bit integers."""
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(tokenizer)
+        encoder = encoder_of(tokenizer)
         end = np.array([end_id], dtype="<u4").tobytes()
         for batch in batches:
             names, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()

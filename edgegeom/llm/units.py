@@ -1,4 +1,4 @@
-"""Encoding with the tokenizers library, each distinct unit of text once per task."""
+"""Encoding with the tokenizers library, each distinct unit of text once per worker process."""
 
 from __future__ import annotations
 
@@ -9,11 +9,14 @@ import re
 import sys
 import unicodedata
 from array import array
+from itertools import chain
 
 import numpy as np
 
-#: Units whose ids a task keeps; the store is emptied when it is full.
-KEPT_UNITS = 1_000_000
+#: Units whose ids a worker process keeps; the store is emptied when it is full.
+KEPT_UNITS = 600_000
+#: Units that one text joins.
+JOINED = 2048
 #: Frequent marks after words; and characters that Python counts as white space and the tokenizers' patterns do not.
 MARKS = frozenset(".,;:!?")
 ODD_SPACE = re.compile("[\x1c-\x1f]")
@@ -64,12 +67,41 @@ class Encoder:
         self.kind = np.dtype(f"<u{self.width}")
         self.code = "H" if self.width == 2 else "I"
         self.known: dict[str, bytes] = {}
+        if self.rule == "spaced":  # a byte-level token has a character for each of its bytes
+            self.byte_lengths = np.zeros(self.tokenizer.get_vocab_size(), dtype=np.int64)
+            for token, i in self.tokenizer.get_vocab().items():
+                self.byte_lengths[i] = len(token)
 
     def _units(self, text: str) -> list[str]:
         if self.rule == "whole" or ODD_SPACE.search(text):
             return [text]
         return SPACED.findall(text) if self.rule == "spaced" else text.split()
 
+    def _learn_joined(self, fresh: set[str]) -> list[str]:
+        """Learns the units that start with a single space, many in one text; what is left to encode alone.
+
+        No pre-token reaches over such a start, so the text's ids are the units' ids one after the other, and
+        the bytes that the ids stand for tell where each unit ends.
+        """
+        known, rest = self.known, []
+        spaced: list[str] = []
+        for u in fresh:
+            (spaced if u[0] == " " and not u[1:2].isspace() and len(u) > 1 else rest).append(u)
+        for low in range(0, len(spaced), JOINED):
+            units = spaced[low : low + JOINED]
+            ids = np.array(self.tokenizer.encode_batch_fast(["".join(units)], add_special_tokens=False)[0].ids, dtype=np.int64)
+            ends = np.cumsum(list(map(len, map(str.encode, units))))
+            told = np.cumsum(self.byte_lengths[ids])
+            stops = np.searchsorted(told, ends) + 1
+            if len(told) != stops[-1] or not np.array_equal(told[stops - 1], ends):  # a pattern that joins units after all
+                rest += units
+                continue
+            data, at = ids.astype(self.kind).tobytes(), 0
+            for unit, stop in zip(units, (stops * self.width).tolist(), strict=True):
+                known[unit] = data[at:stop]
+                at = stop
+        return rest
+
     def __call__(self, texts: list[str | None]) -> list[bytes]:
         gc.disable()  # hundreds of thousands of small results and no cycle among them
         try:
@@ -87,15 +119,29 @@ class Encoder:
         ended = [] if self.rule == "whole" else [u for u in fresh if u[-1] in MARKS and _stays_letter(u[-2:-1])]
         if ended:
             fresh = fresh.difference(ended).union({u[:-1] for u in ended}.difference(known), {u[-1] for u in ended}.difference(known))
+        if self.rule == "spaced":
+            fresh = self._learn_joined(fresh)
         fresh = list(fresh)
         # The fast form gives the same ids and leaves out the offsets.
-        for unit, made in zip(fresh, self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False), strict=True):
-            known[unit] = array(self.code, made.ids).tobytes()
+        made = [x.ids for x in self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False)]
+        ids, at = array(self.code, chain.from_iterable(made)).tobytes(), 0
+        for unit, n in zip(fresh, map(len, made), strict=True):
+            known[unit] = ids[at : (at := at + n * self.width)]
         for u in ended:
             known[u] = known[u[:-1]] + known[u[-1]]
         return [b"".join(map(known.__getitem__, units)) for units in divided]
 
 
+_ENCODERS: dict[str, Encoder] = {}
+
+
+def encoder_of(path: str) -> Encoder:
+    """The encoder of a vocabulary file in this process: a worker's later tasks find the units of earlier ones."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = Encoder(path)
+    return _ENCODERS[path]
+
+
 def widened(ids: bytes, kind: np.dtype) -> bytes:
     """The same ids as little-endian unsigned 32-bit integers."""
     return np.frombuffer(ids, dtype=kind).astype("<u4").tobytes()
