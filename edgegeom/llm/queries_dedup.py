@@ -16,7 +16,9 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    # A span may cut a character; what is left of one is shown as the replacement character.
+    text = F.make_valid_utf8(F.col("kept").cast("string")).alias("kept_text")
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), text)
 
 
 QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op6_suffix_dedup)}

@@ -21,7 +21,8 @@ Of an anchor met more than ``CHUNK`` times equal contexts are counted first: all
 again go, and each context is one from here on. The different ones are dealt over chunks; every pair of
 chunks is a task, so no task holds more than two chunks, and no pair of contexts is missed.
 
-Defined results: a null text is empty; shorter texts stay whole; repeated rows are copies; strings
+Defined results: a null text is empty; shorter texts stay whole; very long ones are read
+whole in their task, and their contexts are of bounded length; repeated rows are copies; strings
 are judged on the input, not on what is left; other columns are kept and those named as the results
 replaced; an empty table gives no rows.
 """
@@ -226,7 +227,8 @@ def _contexts(docs: DataFrame, texts: DataFrame, length: int, chunk: int) -> tup
     met = texts.select("text_no", F.explode(F.arrays_zip(*_ANCHOR)).alias("x")).select(
         "text_no", F.col("x.hashes").alias("anchor"), F.col("x.places").alias("place"), F.col("x.lows").alias("low"), F.col("x.highs").alias("high")
     )
-    again = met.groupBy("anchor").agg(F.count(F.lit(1)).alias("times")).where("times > 1")
+    # Written counts leave both sides of the join to be dealt anew, so a hot anchor's rows are split over tasks.
+    again = stage(met.groupBy("anchor").agg(F.count(F.lit(1)).alias("times")).where("times > 1"), "again")
     met = stage(met.join(again, "anchor"), "met")
     often = F.col("times") > chunk
     few = _cut(docs, texts, met.where(~often), length).select(
@@ -243,7 +245,7 @@ def _contexts(docs: DataFrame, texts: DataFrame, length: int, chunk: int) -> tup
     counted = stage(counted, "counted")
     twice = many.select(*same, "text_no", "places", F.length("context").alias("size"))
     twice = twice.join(counted.where("n > 1").select(*same), same).select("text_no", "places", "left", "size")
-    sizes = counted.groupBy("anchor").agg(F.count(F.lit(1)).alias("contexts"))
+    sizes = stage(counted.groupBy("anchor").agg(F.count(F.lit(1)).alias("contexts")), "sizes")
     chunks = F.ceil(F.col("contexts") / chunk).cast("int")
     # A context met again is only held against others here; its own ranges are those of ``twice``.
     own = F.when(F.col("n") == 1, F.array("one.place")).otherwise(F.array().cast("array<int>"))
