@@ -5,14 +5,18 @@
    the wanted probability. Texts of equal sets are one node, counted by an aggregation with partial
    sums; from here on copies cost nothing.
 2. Nodes are shuffled on band hashes; the nodes of a band are linked to its least one, and the connected
-   parts of these links are the candidates. Each part is dealt over chunks of ``CHUNK`` nodes, and every
-   pair of chunks is a block that one task verifies: pairs that share a band are compared on their full
-   shingle sets. A block returns per node the number of its links and one link of a spanning forest,
-   so pairs are never written and a part of any size needs bounded memory.
+   parts of these links are the candidates. A part is verified as a whole, each pair of its nodes that share
+   a band once, or bucket by bucket, each pair in the first band it shares: whichever is fewer pairs. A group
+   of near copies is in many equal buckets and goes as a whole; a chain of texts that hardly resemble
+   each other is a part of any length with small buckets, and its work stays linear. What is verified together
+   is dealt over chunks of ``CHUNK`` nodes, and every pair of chunks is a block that one task takes: pairs are
+   compared on their full shingle sets. A block returns per node the number of its links and one link of a
+   spanning forest, so pairs are never written and a group of any size needs bounded memory.
 3. Connected components of the verified links are the classes.
 
 Defined results: a text without a word (null, empty) is linked to nothing and is its own class; a text
-of fewer words than a shingle has is one shingle; repeated rows are copies, also of the same doc_id; a
+of fewer words than a shingle has is one shingle; repeated rows are copies, also of the same doc_id; very
+long texts count whole, a shingle set being one value; a
 null doc_id is a document like another, and is a class's id only if all its ids are null; classes of
 equal least ids share the ``class_id`` and differ in ``root``; other columns are not read; an empty
 table gives no rows.
@@ -40,6 +44,8 @@ THRESHOLD = 0.8
 RECALL, MOST_HASHES = 0.9999, 128
 #: Nodes of a candidate part that one side of a block holds.
 CHUNK = 256
+#: Columns that tell blocks apart; the band of a group that is a whole part.
+KEYS, WHOLE = ["band", "part", "low", "high"], -1
 #: Shared shingles that one product of a block's incidence matrix takes.
 SLAB = 4096
 
@@ -90,15 +96,17 @@ def signatures(docs: DataFrame, threshold: float = THRESHOLD, width: int = WIDTH
     return given.mapInArrow(sign, "doc_id bigint, text_hash bigint, n_grams int, digest binary, bands array<bigint>")
 
 
-def _links(left: list[dict], right: list[dict] | None, threshold: float) -> list[tuple[int, int]]:
-    """Index pairs over ``left + right`` that share a band and reach the threshold."""
+def _links(left: list[dict], right: list[dict] | None, threshold: float, band: int = WHOLE) -> list[tuple[int, int]]:
+    """Index pairs over ``left + right`` that reach the threshold and share a band, or ``band`` and none before it."""
     rows = left + (right or [])
     sets = [np.frombuffer(r["grams"], dtype=np.uint64) for r in rows]
     bands = np.array([r["bands"] for r in rows])
     split = len(left) if right else len(rows)
     met = np.zeros((split, len(rows)), dtype=bool)
-    for k in range(bands.shape[1]):
+    for k in range(bands.shape[1] if band == WHOLE else band):
         met |= bands[:split, k][:, None] == bands[None, :, k]
+    if band != WHOLE:
+        met = ~met
     if right:
         met[:, :split] = False
     else:
@@ -133,7 +141,7 @@ def _verify(threshold: float):
                 x.clear()
             return out
 
-        for group in sorted_groups(batches, ["part", "low", "high"]):
+        for group in sorted_groups(batches, KEYS):
             rows = [r for i, r in enumerate(group) if not i or r["node"] != group[i - 1]["node"]]
             inside = rows[0]["low"] == rows[0]["high"]
             left = rows if inside else [r for r in rows if r["chunk"] == r["low"]]
@@ -149,7 +157,7 @@ def _verify(threshold: float):
                     i = parent[i]
                 return i
 
-            for i, j in _links(left, right, threshold):
+            for i, j in _links(left, right, threshold, rows[0]["band"]):
                 count[i] += all_rows[j]["copies"]
                 count[j] += all_rows[i]["copies"]
                 a, b = top(i), top(j)
@@ -167,28 +175,43 @@ def _verify(threshold: float):
     return verify
 
 
-def _blocks(docs: DataFrame, classes: DataFrame, parts: DataFrame, width: int, chunk: int) -> DataFrame:
-    """A row for each node and block of its part, with the node's shingles."""
+def groups(parts: DataFrame, buckets: DataFrame, chunk: int) -> DataFrame:
+    """``node, groups``: what each node of ``parts(node, part)`` is verified in, as an array of (band, part, size).
+
+    ``buckets`` is ``(node, place, band, n)``, a row for each band of a node that n > 1 nodes have. A part of
+    one block, or of no more pairs than its buckets have together, is one group, with ``WHOLE`` for its band.
+    """
     sizes = parts.groupBy("part").agg(F.count(F.lit(1)).alias("size"))
-    chunks = F.ceil(F.col("size") / chunk).cast("int")
-    wanted = parts.join(sizes, "part").join(classes, "node").select(
-        F.col("rep.doc_id").alias("rep_id"), F.col("rep.text_hash").alias("rep_hash"), "part", "node", "copies", "bands",
-        F.pmod(F.xxhash64("node"), chunks).cast("int").alias("chunk"), chunks.alias("chunks"),
+    # A bucket of n nodes adds n for each of them.
+    split = buckets.join(parts, "node").groupBy("part").agg(F.sum("n").alias("pairs"))
+    sizes = stage(sizes.join(split, "part").withColumn("whole", (F.col("size") <= chunk) | (F.col("size") * F.col("size") <= F.col("pairs"))), "part-sizes")
+    placed = parts.join(sizes, "part")
+    whole = placed.where("whole").select("node", F.array(F.struct(F.lit(WHOLE).alias("band"), "part", "size")).alias("groups"))
+    apart = buckets.join(placed.where("not whole").select("node"), "node").groupBy("node").agg(
+        F.collect_list(F.struct(F.col("place").alias("band"), F.col("band").alias("part"), F.col("n").alias("size"))).alias("groups"))
+    return whole.union(apart)
+
+
+def _blocks(docs: DataFrame, classes: DataFrame, found: DataFrame, width: int, chunk: int) -> DataFrame:
+    """A row for each node and block of its groups, with the node's shingles."""
+    wanted = found.join(classes, "node").select(
+        F.col("rep.doc_id").alias("rep_id"), F.col("rep.text_hash").alias("rep_hash"), "groups", "node", "copies", "bands"
     )
     texts = docs.select("doc_id", F.xxhash64(text_of()).alias("text_hash"), text_of().alias("text"))
     met = texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("rep_id")) & (F.col("text_hash") == F.col("rep_hash")))
-    met = met.select("part", "chunk", "chunks", "node", "copies", "bands", "text")
+    met = met.select("groups", "node", "copies", "bands", "text")
 
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(width)
         for batch in batches:
-            made = [shingler(t).tobytes() for t in batch.column(6).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:6], pa.array(made, pa.binary())], [*batch.schema.names[:6], "grams"])
+            made = [shingler(t).tobytes() for t in batch.column(4).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(made, pa.binary())], [*batch.schema.names[:4], "grams"])
 
-    rows = met.mapInArrow(grams, "part bigint, chunk int, chunks int, node bigint, copies bigint, bands array<bigint>, grams binary")
-    other = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other")
-    rows = rows.select("part", "chunk", "node", "copies", "bands", "grams", other)
-    return rows.select("part", F.least("chunk", "other").alias("low"), F.greatest("chunk", "other").alias("high"), "chunk", "node", "copies", "bands", "grams")
+    rows = met.mapInArrow(grams, "groups array<struct<band:int,part:bigint,size:bigint>>, node bigint, copies bigint, bands array<bigint>, grams binary")
+    rows = rows.select(F.inline("groups"), "node", "copies", "bands", "grams")
+    chunks = F.ceil(F.col("size") / chunk).cast("int")
+    rows = rows.withColumn("chunk", F.pmod(F.xxhash64("node"), chunks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), chunks - 1)))
+    return rows.select("band", "part", F.least("chunk", "other").alias("low"), F.greatest("chunk", "other").alias("high"), "chunk", "node", "copies", "bands", "grams")
 
 
 def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, width: int = WIDTH, chunk: int = CHUNK) -> DataFrame:
@@ -203,12 +226,13 @@ def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, width: int = WID
         F.min(F.struct("doc_id", "text_hash")).alias("rep"), F.min("doc_id").alias("least_id"), F.count(F.lit(1)).alias("copies"), F.any_value("bands").alias("bands")
     )
     classes = stage(classes.withColumn("node", F.monotonically_increasing_id()), "nodes")
-    bands = classes.select("node", F.explode("bands").alias("band"))
-    least = bands.groupBy("band").agg(F.min("node").alias("v"), F.count(F.lit(1)).alias("n")).where("n > 1").select("band", "v")
-    met = connected(bands.join(least, "band").select(F.col("node").alias("u"), "v"), "candidates")
+    bands = classes.select("node", F.posexplode("bands").alias("place", "band"))
+    least = stage(bands.groupBy("band").agg(F.min("node").alias("v"), F.count(F.lit(1)).alias("n")).where("n > 1"), "least")
+    buckets = stage(bands.join(least, "band").select("node", "place", "band", "n", "v"), "buckets")
+    met = connected(buckets.select(F.col("node").alias("u"), "v"), "candidates")
     parts = met.select("node", F.col("root").alias("part")).union(met.select("root", "root").distinct())
-    keys = ["part", "low", "high"]
-    blocks = _blocks(docs, classes, parts, width, chunk).repartition(*keys).sortWithinPartitions(*keys, "node")
+    found = groups(parts, buckets.drop("v"), chunk)
+    blocks = _blocks(docs, classes, found, width, chunk).repartition(*KEYS).sortWithinPartitions(*KEYS, "node")
     found = stage(blocks.mapInArrow(_verify(threshold), "node bigint, links bigint, root bigint"), "links")
     roots = connected(found.select(F.col("node").alias("u"), F.col("root").alias("v")), "classes")
     links = found.groupBy("node").agg(F.sum("links").alias("links"))

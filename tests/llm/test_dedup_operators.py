@@ -101,6 +101,38 @@ def test_suffix_order():
         assert suffix_order(s) == sorted(range(len(s)), key=lambda i: s[i:])
 
 
+@pytest.mark.parametrize("chunk", [2, 5, 256])
+def test_buckets_verify_what_whole_parts_do(spark, docs, monkeypatch, chunk):
+    """Every part goes bucket by bucket, then every part as a whole."""
+    df = docs.select("doc_id", "text")
+    told = lambda: sorted(((r.doc_id, r.text_hash, r.class_id, r.n_copies, r.n_links) for r in jaccard.jaccard_join(df, 0.5, 2, chunk).collect()), key=repr)
+    usual, split = told(), jaccard.groups
+    monkeypatch.setattr(jaccard, "groups", lambda parts, buckets, chunk: split(parts, buckets.withColumn("n", F.lit(0).cast("bigint")), 0).select(
+        "node", F.transform("groups", lambda x: F.struct(x["band"].alias("band"), x["part"].alias("part"), F.lit(40).cast("bigint").alias("size"))).alias("groups")))
+    assert told() == usual
+
+
+def test_a_chain_of_dissimilar_texts_stays_linear(spark, monkeypatch):
+    """Each text shares half of its words with the next one; one-row bands link them all to one part."""
+    monkeypatch.setattr(jaccard, "choose_bands", lambda threshold: (24, 1))
+    n, seen, split = 1500, [], jaccard.groups
+    rng = random.Random(6)
+    word = [f"w{i}x{rng.random()}" for i in range(20 * n + 40)]
+    rows = [(i, " ".join(word[20 * i : 20 * i + 40])) for i in range(n)]
+
+    def counted(parts, buckets, chunk):
+        found = stage(split(parts, buckets, chunk), "groups")
+        largest = parts.groupBy("part").count().agg(F.max("count")).first()[0]
+        pairs = found.select(F.inline("groups")).agg(F.sum("size")).first()[0]
+        seen.append((largest, pairs))
+        return found
+
+    monkeypatch.setattr(jaccard, "groups", counted)
+    out = jaccard.jaccard_join(spark.createDataFrame(rows, "doc_id bigint, text string"), 0.8, 1, 64).collect()
+    assert all(r.n_links == 0 and r.class_id == r.doc_id for r in out) and len(out) == n
+    assert seen[0][0] > 1000 and seen[0][1] < 100 * n
+
+
 def brute_repeats(rows, length):
     data = [(t or "").encode() for _, t in rows]
     seen = {}
@@ -161,7 +193,7 @@ def test_pipeline_stages_against_brute_force(spark, tables):
         assert new.columns == docs.columns
         after = new.collect()
         if name == "suffix-array dedup":
-            want = {x: k.decode("utf-8", "ignore") for x, _, _, _, k in brute_repeats([(r.doc_id, r.text) for r in before], 400)}
+            want = {x: k.decode("utf-8", "ignore") for x, _, _, _, k in brute_repeats([(r.doc_id, r.text) for r in before], corpus_pipeline.REPEATED_BYTES)}
             assert {r.doc_id: r.text or "" for r in after} == want
             assert all(r.n_chars == len(r.text) for r in after)
         else:
@@ -175,5 +207,15 @@ def test_pipeline_stages_against_brute_force(spark, tables):
     assert sorted(r.doc_id for r in got) == sorted(r.doc_id for r in docs.collect()) and all(r.n == r.m for r in got)
 
 
+def test_pipeline_cuts_passages_of_over_fifty_words(spark, tables):
+    rng = random.Random(12)
+    passage = " ".join(rng.choice("able baker cargo delta eagle fable gamma hotel".split()) + str(i) for i in range(51))
+    rows = [(i, f"{prose(rng, 60)} {passage} {prose(rng, 60)}") for i in range(3)] + [(9, prose(rng, 200))]
+    df = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    assert 250 < len(passage) < 400
+    got = {r.doc_id: r.text for r in corpus_pipeline.repeated_strings(spark, df, "").collect()}
+    assert all(passage not in got[i] and len(got[i]) > 500 for i in range(3)) and got[9] == rows[3][1]
+
+
 def test_pipeline_on_an_empty_table(spark, tables):
     assert corpus_pipeline.run(spark, f"{tables}/none").count() == 0
