@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 import brute
-from edgegeom.operators import blocks as K, local as L
+from edgegeom.operators import blocks as K, clean as N, local as L
 from edgegeom.operators.clean import prepare
 from edgegeom.columns import EDGE_KEY
 from graphs import frame
@@ -44,3 +44,34 @@ def test_no_wedge_is_a_row(spark):
         plan = made._jdf.queryExecution().optimizedPlan().toString()
         assert "FlatMapGroupsInArrow" in plan and "posexplode" not in plan
         assert plan.count("Join Inner") <= 1
+
+
+def hops(adj, source, most):
+    found, edge = {source: 0}, {source}
+    for step in range(1, most + 1):
+        edge = {w for x in edge for w in adj.get(x, ())} - found.keys()
+        found |= dict.fromkeys(edge, step)
+    return found
+
+
+@pytest.mark.parametrize("block", [K.BLOCK, 60, 0])
+@pytest.mark.parametrize("depth", [1, 2, 3, 4, 6])
+def test_walks(spark, block, depth):
+    rng = random.Random(3)
+    graphs = {f"g{i}": [(u, v) for u, v in brute.random_graph(rng, 24, 0.08)] or [(0, 1)] for i in range(4)}
+    edges = frame(spark, graphs).localCheckpoint()
+    near = {(g, s): hops(brute.adjacency(e), s, depth) for g, e in graphs.items() for s in range(-1, 24)}
+    sources = spark.createDataFrame(list(near), "graph_id string, source bigint")
+    got = N.bounded_distances(edges, sources, depth, block=block).collect()
+    want = {(g, s, n, d) for (g, s), found in near.items() for n, d in found.items()}
+    assert len(got) == len(want) and {tuple(r) for r in got} == want
+    asked = [(g, s, n) for g, s in near for n in (s, -1, 99, *rng.sample(range(24), 5))]
+    got = N.set_distances(edges, spark.createDataFrame(asked, "graph_id string, source bigint, node bigint"), depth, 10, block).collect()
+    assert sorted(tuple(r) for r in got) == sorted((g, s, n, near[g, s].get(n, 10)) for g, s, n in asked)
+
+
+def test_balls_are_not_joined_to_pairs(spark):
+    edges = frame(spark, {"g": [(u, (u + k) % 60) if u < (u + k) % 60 else ((u + k) % 60, u) for u in range(60) for k in (1, 7)]})
+    pairs = spark.createDataFrame([("g", u, 59 - u) for u in range(60)], "graph_id string, source bigint, node bigint")
+    plan = N.set_distances(edges, pairs)._jdf.queryExecution().optimizedPlan().toString()
+    assert "FlatMapGroupsInArrow" in plan and "middle" not in plan
