@@ -75,3 +75,18 @@ def test_balls_are_not_joined_to_pairs(spark):
     pairs = spark.createDataFrame([("g", u, 59 - u) for u in range(60)], "graph_id string, source bigint, node bigint")
     plan = N.set_distances(edges, pairs)._jdf.queryExecution().optimizedPlan().toString()
     assert "FlatMapGroupsInArrow" in plan and "middle" not in plan
+
+
+@pytest.mark.parametrize("block", [K.BLOCK, 40, 0])
+def test_exclusive_neighbors(many, block):
+    graphs, degreed = many
+    want = set()
+    for g, edges in graphs.items():
+        adj = brute.adjacency(edges)
+        want |= {(g, u, v, "u", n) for u, v in edges for n in adj[u] - adj[v] - {v}} | {(g, u, v, "v", n) for u, v in edges for n in adj[v] - adj[u] - {u}}
+    made = L.exclusive_neighbors(degreed, block=block)
+    got = [tuple(r) for r in made.collect()]
+    assert len(got) == len(want) and set(got) == want
+    if block == K.BLOCK:
+        # No row of a neighbour is joined.
+        assert "edge_part" not in made._jdf.queryExecution().optimizedPlan().toString()
