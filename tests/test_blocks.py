@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 import brute
@@ -17,6 +18,71 @@ def test_packed_lists_come_back(ids):
     assert K._unpack(K._pack(np.array(ids))).tolist() == ids
 
 
+def test_many_lists_come_back_at_once():
+    rng = np.random.default_rng(2)
+    lists = [None] + [np.unique(rng.integers(-top, top, n)) for top in (3, 200, 70_000, 1 << 40, 1 << 62) for n in (1, 2, 9, 500)] + [None]
+    ids = [x for x in lists if x is not None]
+    whole = K._pack_all(np.concatenate(ids), np.array([*map(len, ids)]))
+    assert whole.to_pylist() == [K._pack(x) for x in ids]
+    data = pa.array([None, *whole.to_pylist(), None], pa.binary())
+    for part in (slice(None), slice(3, 9), slice(0, 1)):
+        flat, size = K._unpack_all(data[part])
+        want = [x for x in lists[part] if x is not None]
+        assert flat.tolist() == [y for x in want for y in x.tolist()]
+        assert size.tolist() == [0 if x is None else len(x) for x in lists[part]]
+
+
+@pytest.mark.parametrize("size", [1, 2, 3, 50])
+def test_lists_of_sorted_arcs(size):
+    """Nodes that end within a batch, at its end, or go on over several."""
+    nodes = [("a", 1, [5]), ("a", 2, [1, 3, 9]), ("b", 2, [4]), ("b", 7, [*range(0, 900, 100)]), ("c", 7, [8, 9])]
+    rows = [(g, n, d, 0.5) for g, n, ends in nodes for d in ends]
+    schema = pa.schema([("graph_id", pa.string()), ("node", pa.int64()), ("d", pa.int64()), ("load", pa.float64())])
+    batches = [pa.RecordBatch.from_pylist([dict(zip(schema.names, r)) for r in rows[at:at + size]], schema) for at in range(0, len(rows), size)]
+    made = [x for batch in K._pack_sorted(iter([batches[0].slice(0, 0), *batches])) for x in batch.to_pylist()]
+    assert [(x["graph_id"], x["node"], K._unpack(x["ns"]).tolist(), x["k"], x["load"]) for x in made] == [(*x, len(x[2]), len(x[2]) / 2) for x in nodes]
+
+
+def lists_of(edges, own):
+    adj = brute.adjacency(edges)
+    nodes = sorted(adj)
+    data = K._pack_all(np.array([x for n in nodes for x in sorted(adj[n])]), np.array([len(adj[n]) for n in nodes]))
+    return K.Lists(np.array(nodes), np.array([n in own for n in nodes]), data)
+
+
+@pytest.mark.parametrize("shift", [1, 1 << 33])
+@pytest.mark.parametrize("cells", [1, 60, 1 << 23])
+def test_counts_do_not_depend_on_the_run(monkeypatch, cells, shift):
+    """Runs of one node, of a few and of all of them, with numbers of their own where these are fewer."""
+    rng = random.Random(4)
+    edges = [(u * shift, v * shift) for u, v in brute.random_graph(rng, 40, 0.15)]
+    own = {n * shift for n in range(0, 40, 3)}
+    adj = brute.adjacency(edges)
+    monkeypatch.setattr(K, "CELLS", cells)
+    monkeypatch.setattr(K, "STEP", max(1, cells // 4))
+    got = {}
+    for part in K._count_codegrees(lists_of(edges, own), None):
+        for u, v, through, is_open in zip(*(part[c].tolist() for c in ("u", "v", "through", "open"))):
+            got.setdefault((u, v), []).append((through, is_open))
+    want = {}
+    for p in own & adj.keys():
+        for c in adj[p]:
+            others = {q: (adj[p] & adj[q]) - {c} for q in adj[c] - {p}}
+            open_ = sum(any(w not in adj[c] for w in common) for q, common in others.items() if q not in adj[p])
+            want.setdefault((min(p, c), max(p, c)), []).append((max(map(len, others.values()), default=0), open_))
+    assert {k: sorted(x) for k, x in got.items()} == {k: sorted(x) for k, x in want.items()}
+
+
+def test_runs_do_not_shrink_in_a_wide_block():
+    """Nodes of a block that have no neighbour in common: once a run had room for a row of all of them, for few nodes."""
+    n = 60_000
+    lists = lists_of([(u, n + 5 * u + k) for u in range(n) for k in range(5)], set(range(n)))
+    assert len(lists.ids) == 6 * n
+    steps = [*lists.near_steps()]
+    assert sum(len(own) for own, _ in steps) == n and len(steps) < 100
+    assert max(cells for _, cells in steps) <= K.CELLS
+
+
 @pytest.fixture(scope="module")
 def many(spark):
     rng = random.Random(5)

@@ -123,6 +123,14 @@ def test_all_pairs_of_a_large_order(spark):
     assert lots.count() == 435 + 1 and {r.graph_id for r in lots.collect()} == {"5"}
 
 
+def test_lines_of_small_orders_are_not_dealt_over_chunks(spark):
+    table = spark.createDataFrame([(1, i, 10 * (i % 4)) for i in range(7)] + [(2, 1, 0), (2, 2, 10)], "l_orderkey bigint, l_linenumber int, l_partkey bigint")
+    made = co_order_edges(table)
+    assert sorted((r.u, r.v) for r in made.collect()) == [(0, 10), (0, 20), (0, 30), (10, 20), (10, 30), (20, 30)]
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert "xxhash64" not in plan and "Generate" not in plan
+
+
 def test_report_csv_is_tolerant(spark, tmp_path):
     (tmp_path / "r.csv").write_text("U,V,BF,note\n0,1,0.5,x\n1,2,bad,y\n,3,1,z\n")
     raw = spark.read.option("header", True).csv(str(tmp_path)).withColumn("graph_id", F.lit("g"))
