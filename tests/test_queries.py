@@ -45,3 +45,12 @@ def test_query(spark, duck, name):
     at = [order.index(c) for c in columns]
     assert sorted(tuple(plain(r[c]) for c in columns) for r in got.collect()) == sorted(
         tuple(plain(r[i]) for i in at) for r in want)
+
+
+def test_report_buckets_makes_its_edges_once(spark, monkeypatch):
+    from edgegeom.plans import catalog
+
+    made, by_flag = [], catalog.by_flag
+    monkeypatch.setattr(catalog, "by_flag", lambda *args: made.append(args) or by_flag(*args))
+    catalog.report_buckets(spark, SF_DIR)
+    assert len(made) == 1
