@@ -156,3 +156,26 @@ def test_exclusive_neighbors(many, block):
     if block == K.BLOCK:
         # No row of a neighbour is joined.
         assert "edge_part" not in made._jdf.queryExecution().optimizedPlan().toString()
+
+
+@pytest.mark.parametrize("most", [1, 300, 1 << 25])
+def test_lists_reach_the_blocks_that_need_them(monkeypatch, most):
+    """Blocks that begin within a graph, with it, and before it; negative ids; lists dealt in small parts."""
+    monkeypatch.setattr(K, "DEALT", most)
+    rng = random.Random(6)
+    graphs = {f"g{i}": brute.adjacency([(u - 9, v - 9) for u, v in brute.random_graph(rng, 30, 0.2)]) for i in range(3)}
+    every = sorted((g, n) for g, adj in graphs.items() for n in adj)
+    starts = [(*every[at], 2 * at) for at in (0, 7, 8, 25, 61)]
+    block = {x: max(s for s in starts if s[:2] <= x)[2] for x in every}
+    rows = [{"graph_id": g, "node": n, "ns": K._pack(np.array(sorted(graphs[g][n])))} for g, n in every]
+    schema = pa.schema([("graph_id", pa.string()), ("node", pa.int64()), ("ns", pa.binary())])
+    batches = [pa.RecordBatch.from_pylist(rows[at:at + 40], schema) for at in range(0, len(rows) + 40, 40)]
+    got = []
+    for x in K._deal(starts)(iter(batches)):
+        for i in range(x.num_rows):
+            row = pa.Table.from_batches([x.slice(i, 1)])
+            nodes, own, data = K._opened(row)
+            got += [(row["block"][0].as_py(), row["graph_id"][0].as_py(), n, o, K._unpack(d)) for n, o, d in zip(nodes.tolist(), own.tolist(), data.to_pylist())]
+    want = {(b, g, n, b == block[g, n]) for g, n in every for b in {block[g, n], *(block[g, x] for x in graphs[g][n])}}
+    assert len(got) == len(want) and {x[:4] for x in got} == want
+    assert all(ids.tolist() == sorted(graphs[g][n]) for _, g, n, _, ids in got)

@@ -67,3 +67,25 @@ def test_two_hubs_share_a_hundred_thousand_neighbours(spark):
     found = got.groupBy("n_quad", "codeg_max").agg(F.count("*").alias("edges")).collect()
     # A leaf's edge meets all other leaves and the other hub; those of the two joined leaves miss each other.
     assert {(r.n_quad, r.codeg_max): r.edges for r in found} == {(n, n - 1): 2 * (n - 2), (n - 1, n - 1): 4}
+
+
+@pytest.mark.parametrize("heavy_degree", [512, 5])
+def test_structure_of_every_edge(many, heavy_degree):
+    """With and without graphs that have heavy nodes beside the others, edges on no cycle included."""
+    graphs, degreed = many
+    listed = {tuple(r)[:3]: tuple(r)[3:] for r in listed_counts(degreed).collect()}
+    want = set()
+    for g, edges in graphs.items():
+        adj = brute.adjacency(edges)
+        for u, v in edges:
+            n_quad, most = listed.get((g, u, v), (0, 0))
+            want.add((g, u, v, len(adj[u]), len(adj[v]), len(adj[u] & adj[v]), n_quad, most, most * max(len(adj[u]), len(adj[v]))))
+    got = [tuple(r) for r in L.local_structure(degreed, heavy_degree).collect()]
+    assert len(got) == len(want) and set(got) == want
+
+
+def test_structure_is_one_walk(spark):
+    """Neither lists nor counts are joined: arcs were met with blocks, and triangles walked apart from 4-cycles."""
+    degreed = prepare(frame(spark, {"g": [(u, u + k) for u in range(50) for k in (1, 2, 5)]}))
+    plan = L.local_structure(degreed)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("FlatMapGroupsInArrow") == 1 and "MapInArrow" in plan and "Join" not in plan
