@@ -101,7 +101,7 @@ def encode(docs: DataFrame, path: str, pattern: str, chunk: int = CHUNK, overlap
         coder = encoding(path, pattern)
         for batch in batches:
             names, texts = batch.column(0), batch.column(1).to_pylist()
-            for at, some in small_batches(texts):
+            for at, some in small_batches(texts, 512):
                 made = [encode_pieces(coder, t) for t in some]
                 yield pa.RecordBatch.from_arrays([names.slice(at, len(some)), pa.array(made, pa.binary())], ["doc_id", "ids"])
 

@@ -182,3 +182,30 @@ def test_records_are_checked():
     with pytest.raises(ValueError, match="damaged"):
         warc.parse(raw.replace(b"abc", b"abd"))
     assert zlib.decompress(zlib.compress(raw)) == raw
+
+
+@pytest.mark.parametrize("path", [WORD, BYTE])
+def test_new_words_are_encoded_many_in_a_call(path):
+    """No call for each word, and words that hold more than one pre-token, or none, stay right."""
+    words = ["".join(chr(97 + (i * k) % 26) for k in range(2, 9)) for i in range(1, 2000)]
+    texts = [" ".join(words[at : at + 100]) for at in range(0, len(words), 100)] + [" ".join(map(str.title, words[:50])), "a" * 3000, "don't ab1cd x-y ​ z", "", None]
+    own, calls = units.Encoder(path), []
+
+    class Counted:
+        def __init__(self, tokenizer):
+            self.tokenizer = tokenizer
+
+        def encode_batch_fast(self, rows, **how):
+            calls.append(len(rows))
+            return self.tokenizer.encode_batch_fast(rows, **how)
+
+    own.tokenizer, own.plain = Counted(own.tokenizer), own.plain and Counted(own.plain)
+    made = own(texts)
+    assert [np.frombuffer(x, own.kind).tolist() for x in made] == library(path, texts)
+    assert sum(calls) < 100
+
+
+def test_batches_end_by_texts_and_characters():
+    texts = ["ab", None, "c" * 9, "", "d", "e"]
+    assert [*units.small_batches(texts, 2, 5)] == [(0, ["ab", None]), (2, ["c" * 9]), (3, ["", "d"]), (5, ["e"])]
+    assert [*units.small_batches([])] == [] and [*units.small_batches(texts)] == [(0, texts)]
