@@ -5,6 +5,7 @@ import random
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 import brute
 from edgegeom.operators import blocks as K, clean as N, local as L
@@ -179,3 +180,61 @@ def test_lists_reach_the_blocks_that_need_them(monkeypatch, most):
     want = {(b, g, n, b == block[g, n]) for g, n in every for b in {block[g, n], *(block[g, x] for x in graphs[g][n])}}
     assert len(got) == len(want) and {x[:4] for x in got} == want
     assert all(ids.tolist() == sorted(graphs[g][n]) for _, g, n, _, ids in got)
+
+
+@pytest.mark.parametrize("size", [1, 2, 3, 50])
+def test_arcs_of_one_key_come_in_order(size):
+    """Keys that end within a batch or go on over several, some of them shared by nodes and graphs."""
+    rng = random.Random(size)
+    nodes = [(3, "a", 1), (3, "b", 1), (3, "a", 1 << 44), (5, "b", 2), (8, None, 2), (8, "a", 2), (9, "a", 3)]
+    rows = [(g, n, d, 1.0, key) for key, g, n in nodes for d in range(0, 40, 1 + n % 7)]
+    rng.shuffle(rows)
+    rows.sort(key=lambda r: r[4])
+    schema = pa.schema([("graph_id", pa.string()), ("node", pa.int64()), ("d", pa.int64()), ("load", pa.float64()), ("key", pa.int64())])
+    batches = [pa.RecordBatch.from_pylist([dict(zip(schema.names, r)) for r in rows[at:at + size]], schema) for at in range(0, len(rows), size)]
+    made = [x for batch in K._pack_sorted(K._in_order(iter([batches[0].slice(0, 0), *batches]))) for x in batch.to_pylist()]
+    assert len(made) == len(nodes)
+    assert {(x["graph_id"], x["node"]): K._unpack(x["ns"]).tolist() for x in made} == {(g, n): [*range(0, 40, 1 + n % 7)] for _, g, n in nodes}
+
+
+def test_lists_are_sorted_by_one_number(spark):
+    """A sort by one number takes no comparisons of rows; ids that agree in their lower bits stay apart."""
+    rows = [(g, n << 44, d) for g in ("a", "b") for n in range(-3, 4) for d in range(n + 5)]
+    arcs = spark.createDataFrame(rows, "graph_id string, s bigint, d bigint").withColumn("load", F.lit(1.0))
+    made = K.packed_lists(arcs).collect()
+    assert {(x.graph_id, x.node): (K._unpack(x.ns).tolist(), x.k, x.load) for x in made} == {
+        (g, n << 44): ([*range(n + 5)], n + 5, n + 5.0) for g in ("a", "b") for n in range(-3, 4)}
+
+
+@pytest.mark.parametrize("hops", [0, 1, 2, 3, 4])
+def test_runs_are_cut_by_the_paths_of_own_nodes(monkeypatch, hops):
+    """Every run ends before the node that reaches ``STEP`` paths of up to that many arcs, counted for own nodes."""
+    edges = brute.random_graph(random.Random(6), 30, 0.2)
+    adj = brute.adjacency(edges)
+    own = {*range(0, 30, 2)} & {*adj}
+    load = dict.fromkeys(adj, 1)
+    for _ in range(hops):
+        load = {n: 1 + sum(load[x] for x in adj[n]) for n in adj}
+    want, gone = [], 0
+    for n in sorted(own):
+        gone += load[n]
+        if want and gone < 90:
+            want[-1].append(n)
+        else:
+            want.append([n])
+            gone = load[n]
+    monkeypatch.setattr(K, "STEP", 90)
+    lists = lists_of(edges, own)
+    assert [lists.ids[x].tolist() for x in lists.steps(hops)] == want
+
+
+def test_paths_of_two_arcs_read_no_list_of_another_node():
+    """Runs of two arcs are cut by sizes alone, so lists of other nodes are not followed."""
+    edges = brute.random_graph(random.Random(6), 30, 0.2)
+    lists, read = lists_of(edges, {0, 4, 8}), []
+    ends = lists.ends
+    lists.ends = lambda nodes: read.append(lists.ids[nodes].tolist()) or ends(nodes)
+    flat, lists.flat = lists.flat, lists.flat.copy()
+    keep = np.concatenate([np.arange(a, a + k) for a, k in zip(lists.start[lists.of[lists.own]], lists.size[lists.of[lists.own]])])
+    lists.flat[np.setdiff1d(np.arange(len(flat)), keep)] = len(lists.ids)  # no place
+    assert len([*lists.near_steps()]) == 1 and read == [[0, 4, 8]]

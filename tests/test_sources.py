@@ -4,7 +4,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from edgegeom.operators.clean import node_count
+from edgegeom.operators.clean import node_count, with_degrees
 from edgegeom.plans.report import bounds_from_forman, edge_report
 from edgegeom.plans.suite import manifest, resume_suite, run_suite
 from edgegeom.sources import reports as S
@@ -131,6 +131,28 @@ def test_lines_of_small_orders_are_not_dealt_over_chunks(spark):
     assert "xxhash64" not in plan and "Generate" not in plan
 
 
+def test_joins_sort_by_numbers_first(spark):
+    """Graphs have few names: sorted by these first, rows are compared in full at almost every step."""
+    lines = spark.createDataFrame([(1, i, 10 * i, "A") for i in range(7)], "l_orderkey bigint, l_linenumber int, l_partkey bigint, flag string")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        edges = co_order_edges(lines, F.col("flag"))
+        plans = [x._jdf.queryExecution().executedPlan().toString() for x in (edges, with_degrees(edges))]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    for plan in plans:
+        assert "Sort [" in plan and "Sort [graph_id" not in plan, plan
+
+
+def test_a_large_order_of_many_graphs_is_dealt_within_each(spark):
+    """An order is large in all graphs together, in one of them, or in none."""
+    lines = [(1, i, i, str(i % 3)) for i in range(12)] + [(2, i, 50 + i, "0" if i < 9 else "1") for i in range(12)]
+    table = spark.createDataFrame(lines, "l_orderkey bigint, l_linenumber int, l_partkey bigint, flag string")
+    want = {(g, u, v) for o, _, u, g in lines for p, _, v, h in lines if o == p and g == h and u < v}
+    for chunk_lines in (3, 4, 8, 11, 12):
+        assert {tuple(x) for x in co_order_edges(table, F.col("flag"), chunk_lines).collect()} == want
+
+
 def test_report_csv_is_tolerant(spark, tmp_path):
     (tmp_path / "r.csv").write_text("U,V,BF,note\n0,1,0.5,x\n1,2,bad,y\n,3,1,z\n")
     raw = spark.read.option("header", True).csv(str(tmp_path)).withColumn("graph_id", F.lit("g"))
