@@ -8,7 +8,7 @@ from contextlib import contextmanager
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..columns import EDGE_KEY, GRAPH, REPORT_COLUMNS
-from ..staging import stage
+from ..staging import freed_shuffles, stage
 
 STATS = ("STRUCT<count: BIGINT, mean: DOUBLE, std: DOUBLE, min: DOUBLE, q05: DOUBLE, q25: DOUBLE, "
          "median: DOUBLE, q75: DOUBLE, q95: DOUBLE, max: DOUBLE>")
@@ -36,7 +36,8 @@ def _by_graph(rows: DataFrame) -> DataFrame:
 
 def write_report(report: DataFrame, path: str) -> None:
     """Parquet, one folder per graph, named by its exact id."""
-    _by_graph(report).write.partitionBy(GRAPH).parquet(path)
+    with freed_shuffles(report.sparkSession):
+        _by_graph(report).write.partitionBy(GRAPH).parquet(path)
 
 
 def read_report(spark: SparkSession, path: str) -> DataFrame:
@@ -51,7 +52,8 @@ def read_report(spark: SparkSession, path: str) -> DataFrame:
 
 def write_report_csv(report: DataFrame, path: str) -> None:
     """CSV with a header line, one folder per graph, for exchange with other tools."""
-    _by_graph(report).write.partitionBy(GRAPH).option("header", True).csv(path)
+    with freed_shuffles(report.sparkSession):
+        _by_graph(report).write.partitionBy(GRAPH).option("header", True).csv(path)
 
 
 def read_csv_text(spark: SparkSession, path: str) -> DataFrame:
@@ -88,7 +90,8 @@ def save_report_table(rows: DataFrame, name: str, path: str, buckets: int) -> Da
     ``rows.count() / ROWS_PER_BUCKET`` buckets, and the same for all tables of a run.
     """
     dealt = rows.repartition(buckets, *EDGE_KEY)
-    dealt.write.bucketBy(buckets, *EDGE_KEY).sortBy(*EDGE_KEY).option("path", path).saveAsTable(name)
+    with freed_shuffles(rows.sparkSession):
+        dealt.write.bucketBy(buckets, *EDGE_KEY).sortBy(*EDGE_KEY).option("path", path).saveAsTable(name)
     return rows.sparkSession.table(name)
 
 
