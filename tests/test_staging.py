@@ -73,3 +73,43 @@ def test_waves_leave_results_only(spark, monkeypatch, home):
         adj = brute.adjacency(edges)
         want |= {(g, u, v): (len(adj[u]), len(adj[v]), len(adj[u] & adj[v])) for u, v in edges}
     assert got == want
+
+
+@pytest.mark.parametrize("block", [K.BLOCK, 12])
+def test_triangles_in_waves(spark, monkeypatch, block):
+    rng = random.Random(block)
+    graphs = {f"g{i}": brute.random_graph(rng, 25, 0.3) for i in range(3)}
+    for name, x in {"LEAST": 12, "WAVE": 1, "WAVE_PER_CORE": 0, "HOME": 9, "LEAST_HOME": 9}.items():
+        monkeypatch.setattr(K, name, x)
+    waves = []
+    monkeypatch.setattr(K, "_deal", lambda starts, wave=None, f=K._deal: waves.append(wave) or f(starts, wave))
+    with scratch(spark) as folder:
+        made = L.triangles_per_edge(prepare(frame(spark, graphs)), block)
+        assert {x.name.rsplit("-", 1)[0] for x in pathlib.Path(folder.removeprefix("file:")).iterdir() if any(x.rglob("*.parquet"))} == {"degreed", "found"}
+        got = {(r.graph_id, r.u, r.v): r.n_tri for r in made.collect()}
+    want = {}
+    for g, edges in graphs.items():
+        adj = brute.adjacency(edges)
+        want |= {(g, u, v): len(adj[u] & adj[v]) for u, v in edges if adj[u] & adj[v]}
+    assert got == want and len(waves) > 1
+
+
+def test_lists_of_exclusive_neighbors_are_not_joined(spark):
+    degreed = prepare(frame(spark, {"g": [(u, u + k) for u in range(50) for k in (1, 2, 5)]}))
+    assert "Join" not in L.exclusive_neighbors(degreed)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_long_walks_do_not_need_a_small_graph_again_and_again(spark):
+    """Each block of a graph of few arcs would hold most of it, so there are as many as keep the cores at work."""
+    rows = [(g, n, 1900.0, 3) for g in ("a", "b") for n in range(400)]
+    loads = stage(spark.createDataFrame(rows, "graph_id string, node bigint, load double, k int"), "loads")
+    cores = spark.sparkContext.defaultParallelism
+    alone, _, many = K.in_blocks(loads, 2000)
+    together, _, few = K.in_blocks(loads, 2000, loads)
+    assert many > 700 and few <= 4 * cores + 1
+    assert together.count() == alone.count() == 800 and together.agg({"block": "max"}).first()[0] < few
+    # The arcs of own nodes of many small graphs are bounded as well.
+    rows = [(f"g{i}", n, 500.0, 40) for i in range(100) for n in range(40)]
+    loads = stage(spark.createDataFrame(rows, "graph_id string, node bigint, load double, k int"), "loads")
+    held = K.in_blocks(loads, 2000, loads)[0].groupBy("block").count().agg({"count": "max"}).first()[0]
+    assert held <= 2000 // 40 + 1
